@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .simhash import op1_simhash_near_dedup
+from . import chat, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_quality_rules": quality.op2_quality_rules,
+    "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_chat_rotation": chat.op4_chat_rotation,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_quality_rules": quality.SQL, "op3_secret_scan": secrets.SQL, "op4_chat_rotation": chat.SQL}
