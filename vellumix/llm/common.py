@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -72,3 +74,13 @@ def pieces(batch: pa.RecordBatch, limit: int, name: str = "text") -> list[pa.Rec
 
 def long_id(name: str = "doc_id"):
     return F.col(name).cast("long").alias(name)
+
+
+def worker_cache() -> dict:
+    """A dict that lives as long as the Python worker: what a task builds (an automaton, a vocabulary) serves the next ones."""
+    name = "vellumix_worker_cache"
+    if name not in sys.modules:
+        module = types.ModuleType(name)
+        module.known = {}
+        sys.modules[name] = module
+    return sys.modules[name].known
