@@ -16,41 +16,24 @@ names. Empty tables give empty results, and an empty benchmark leaves docs as th
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces, table, text_of, worker_cache
+from .words import lower
 
 MIN_WORDS, WINDOW, WINDOW_STEP = 8, 5, 4
 PIECE_BYTES, GROUP_CHARS = 1 << 20, 20_000_000
-#: Letters whose lower case has another number of bytes keep their case, in texts and items alike, so offsets don't move.
-MOVING = "".join(c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]) if len(c.lower().encode()) != len(c.encode()))
 KIND = np.zeros(256, np.uint8)  # 1: part of a word, 2: between texts
 KIND[[*range(48, 58), *range(97, 123), *range(65, 91), *range(128, 256)]] = 1
 KIND[0] = 2
 HITS = "doc_id long, item_id long, start int, end int, n_words int"
 
 
-def lower(texts: pa.Array) -> pa.Array:
-    """Lower case with as many bytes for each character as before."""
-    low = pc.utf8_lower(texts)
-    moving = pc.match_substring_regex(texts, f"[{MOVING}]")
-    if pc.any(moving).as_py():
-        out = low.to_pylist()
-        for i in np.flatnonzero(moving.to_numpy(zero_copy_only=False)):
-            part = re.split(f"([{re.escape(MOVING)}])", texts[i].as_py())
-            part[::2] = pc.utf8_lower(pa.array(part[::2], pa.string())).to_pylist()
-            out[i] = "".join(part)
-        low = pa.array(out, pa.string())
-    return low
-
-
 class Normal:
     """Texts in normal form, one after another with NUL between them, and the way back."""
 

@@ -1,8 +1,29 @@
-"""Hashes of all words of many texts at once."""
+"""Words of many texts at once."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Letters whose lower case has another number of bytes keep their case, in texts and items alike, so offsets don't move.
+MOVING = "".join(c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]) if len(c.lower().encode()) != len(c.encode()))
+
+
+def lower(texts: pa.Array) -> pa.Array:
+    """Lower case with as many bytes for each character as before."""
+    low = pc.utf8_lower(texts)
+    moving = pc.match_substring_regex(texts, f"[{MOVING}]")
+    if pc.any(moving).as_py():
+        out = low.to_pylist()
+        for i in np.flatnonzero(moving.to_numpy(zero_copy_only=False)):
+            part = re.split(f"([{re.escape(MOVING)}])", texts[i].as_py())
+            part[::2] = pc.utf8_lower(pa.array(part[::2], pa.string())).to_pylist()
+            out[i] = "".join(part)
+        low = pa.array(out, pa.string())
+    return low
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,9 +53,14 @@ class WordHasher:
 
     def __call__(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Text number and hash of every word, in order."""
+        start, _, h = self.spans(raw, at)
+        return np.searchsorted(at, start, side="right") - 1, h
+
+    def spans(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and hash of every word, in order."""
         n = len(raw)
         if n == 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         self.grow(n + 1)
         word = self.is_word[raw]
         first = np.zeros(n + 1, bool)
@@ -46,4 +72,4 @@ class WordHasher:
         start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(self.code[raw] * self.power[:n], out=total[1:])
-        return np.searchsorted(at, start, side="right") - 1, mix((total[stop] - total[start]) * self.inverse[start])
+        return start, stop, mix((total[stop] - total[start]) * self.inverse[start])
