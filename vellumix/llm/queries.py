@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, hmm, pieces_bpe, quality, secrets, simhash
+from . import chat, decontaminate, hmm, pieces_bpe, pii, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_chat_rotation": chat.op4_chat_rotation,
+    "op5_pii": pii.op5_pii,
     "op6_hmm_scores": hmm.op6_hmm_scores,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_sentencepiece": pieces_bpe.op8_sentencepiece,
