@@ -4,22 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumix.llm import simhash
-from vellumix.llm.common import cut
+from vellumix.llm import decontaminate, pieces_bpe, pii, quality, simhash
+from vellumix.llm.common import cut, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a rule speaks against go."""
+    return quality.filter_docs(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: the one with the smallest doc_id."""
     return simhash.deduplicate(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
-#: Fingerprint groups, the automaton and merge rounds have no SQL form; tests compare run() with a brute-force version.
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a test item go."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and terms that disclose them are generalised or removed; n_chars, where there is one, is counted again."""
+    clean = pii.sanitise_columns(docs)
+    if "n_chars" not in clean.columns:
+        return clean
+    return clean.selectExpr(*(f"CAST(length(text) AS {dict(docs.dtypes)[c]}) AS n_chars" if c == "n_chars" else f"`{c}`" for c in clean.columns))
+
+
+def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their ids, their number, and whether they decode to the text."""
+    return pieces_bpe.encode_columns(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("sentence_pieces", sentence_pieces),
+]
+#: Fingerprint groups, the automaton, sanitised texts and merge rounds have no SQL form; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
