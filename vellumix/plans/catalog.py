@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scans, texts  # noqa: F401
+from . import lookups, scans, texts, trees  # noqa: F401
 from .registry import QUERIES, SQL
 
 
