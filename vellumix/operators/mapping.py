@@ -72,8 +72,8 @@ def section_numbers(nodes: DataFrame, names: list[str] = SECTIONS) -> DataFrame:
     return rows.select("doc_id", "pre", F.array_join(F.concat(F.array(N.roman(F.col("p")[0]["up_n"])), rest), ".").alias("number"))
 
 
-def apply_rules(nodes: DataFrame, rules: list[Rule], dropped: list[str] = (), unknown: Column | None = None) -> DataFrame:
-    """doc_id and xml of every document. Elements in `dropped` go with all below them; elements without a rule leave their content."""
+def apply_rules(nodes: DataFrame, rules: list[Rule], dropped: list[str] = (), around: tuple[Column, Column] | None = None) -> DataFrame:
+    """doc_id and xml of every document. `around`: what stands outside of a node's own opening and closing. Elements in `dropped` go with all below them; elements without a rule leave their content."""
     if dropped:
         gone = F.col("local").isin(list(dropped))
         nodes = tree.inside(nodes, gone).filter(~F.col("inside") & ~gone).drop("inside")
@@ -84,7 +84,9 @@ def apply_rules(nodes: DataFrame, rules: list[Rule], dropped: list[str] = (), un
         opening = F.when(fits, o) if opening is None else opening.when(fits, o)
         closing = F.when(fits, c) if closing is None else closing.when(fits, c)
     rows = nodes.filter("kind <> 'pi'").withColumn("text", T.xml_escape(F.col("text")))
-    return tree.serialise(rows, F.coalesce(opening, F.lit("")), F.coalesce(closing, F.lit("")))
+    before, after = around or (F.lit(""), F.lit(""))
+    empty = F.lit("")
+    return tree.serialise(rows, F.concat(F.coalesce(before, empty), F.coalesce(opening, empty)), F.concat(F.coalesce(closing, empty), F.coalesce(after, empty)))
 
 
 def unknown_elements(nodes: DataFrame, rules: list[Rule], dropped: list[str] = ()) -> DataFrame:
@@ -242,7 +244,10 @@ def to_article(nodes: DataFrame) -> DataFrame:
     numbers = uses.select("doc_id", "ref", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")).alias("ref_number"))
     rows = rows.withColumn("ref", F.coalesce(F.col("attrs")["linkend"], F.col("attrs")["endterm"]))
     rows = rows.join(labels, ["doc_id", "ref"], "left").join(numbers, ["doc_id", "ref"], "left")
-    return apply_rules(rows, article_rules(), DROPPED)
+    from .articles import lead_in
+
+    rows = rows.join(lead_in(nodes), ["doc_id", "pre"], "left")
+    return apply_rules(rows, article_rules(), DROPPED, around=(F.when(F.col("opens"), F.lit('<section noNumber="1">')), F.when(F.col("closes"), F.lit("</section>"))))
 
 
 def to_docbook(nodes: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lookups, markup, scans, sequences, texts, trees  # noqa: F401
+from . import constructs, lookups, markup, scans, sequences, texts, trees  # noqa: F401
 from .registry import QUERIES, SQL
 
 

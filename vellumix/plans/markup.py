@@ -27,14 +27,14 @@ def shred_articles(t, _):
 @query("N02 N10 N17 N18 N23", """SELECT doc_id, '<document><entete><titre>' || source || '</titre></entete><section id="I"><title>' || lang || '</title>' || array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''),
 lambda x: '<paragraph>' || replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</paragraph>'), '') || '</section></document>' AS xml FROM documents""")
 def articles_mapped(t, _):
-    return mapping.to_article(markup.shred(_articles(t), "doc_id", "content"))
+    return mapping.to_article(markup.shredded(_articles(t), "doc_id", "content"))
 
 
 @query("O01 O04", """SELECT doc_id, '<article xmlns="http://docbook.org/ns/docbook" xmlns:xlink="http://www.w3.org/1999/xlink" version="5.2"><info><title>' || source || '</title></info><section><title>' || lang || '</title>' || array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''),
 lambda x: '<para>' || replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</para>'), '') || '</section></article>' AS xml FROM documents""")
 def articles_there_and_back(t, _):
-    there = mapping.to_article(markup.shred(_articles(t), "doc_id", "content"))
-    return mapping.to_docbook(markup.shred(there, "doc_id", "xml"))
+    there = mapping.to_article(markup.shredded(_articles(t), "doc_id", "content"))
+    return mapping.to_docbook(markup.shredded(there, "doc_id", "xml"))
 
 
 @query("A08 M5 C15")
@@ -45,12 +45,12 @@ def shred_pages(t, _):
 
 @query("A08 N37 O04")
 def pages_mapped(t, _):
-    return mapping.html_to_article(markup.shred(t("pages"), "page_id", "html", "html"))
+    return mapping.html_to_article(markup.shredded(t("pages"), "page_id", "html", "html"))
 
 
 @query("C15 C11 D25", "SELECT page_id, list_transform(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1), lambda x: replace(x, '&amp;', '&'))[1] AS title FROM pages")
 def page_headings(t, _):
-    nodes = markup.shred(t("pages"), "page_id", "html", "html")
+    nodes = markup.shredded(t("pages"), "page_id", "html", "html")
     value = tree.string_value(nodes, nodes.filter("local = 'h1'"))
     return value.groupBy(F.col("doc_id").alias("page_id")).agg(F.min_by("value", "pre").alias("title"))
 
@@ -62,12 +62,12 @@ def sanity_of_articles(t, _):
     c = F.regexp_replace("content", "<para>([^<]*[|][^<]*)</para>", "<para><screen>$1</screen></para>")
     book = F.replace(F.replace(c, F.lit("<article "), F.lit("<book ")), F.lit("</article>"), F.lit("</book>"))
     rows = _articles(t).join(t("documents").select("doc_id", "lang"), "doc_id").select("doc_id", F.when(F.col("lang") == "de", book).otherwise(c).alias("content"))
-    return checks.sanity(markup.shred(rows, "doc_id", "content")).groupBy("check", "severity").agg(F.count("*").alias("n"))
+    return checks.sanity(markup.shredded(rows, "doc_id", "content")).groupBy("check", "severity").agg(F.count("*").alias("n"))
 
 
 @query("R-V1 R-W P12 B11 B12")
 def grammar_of_pages(t, _):
-    nodes = markup.shred(t("pages"), "page_id", "html", "html")
+    nodes = markup.shredded(t("pages"), "page_id", "html", "html")
     unknown = mapping.unknown_elements(nodes, mapping.HTML, ["script", "style", "nav", "footer", "meta", "head", "body", "a"])
     return unknown.groupBy("element").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
@@ -75,7 +75,7 @@ def grammar_of_pages(t, _):
 @query("A09 A10 P04 P06 P07 Q02 Q10 M8", "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(2 + len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS BIGINT) AS n_paras, md5(source || lang || array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), '')) AS text_md5 FROM documents")
 def word_round_trip(t, _):
     """Articles are written as word-processing files and read again; the text and the paragraphs are the same."""
-    files = word.write(word.paragraphs_of(markup.shred(_articles(t), "doc_id", "content")))
+    files = word.write(word.paragraphs_of(markup.shredded(_articles(t), "doc_id", "content")))
     back = word.read(files, "doc_id", "file")
     text = F.array_join(F.transform("runs", lambda r: r["text"]), "")
     ordered = F.array_sort(F.collect_list(F.struct("pos", text.alias("s"))))
@@ -86,5 +86,5 @@ def word_round_trip(t, _):
 lambda x: '<para>' || replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</para>'), '') || '</section></article>' AS xml FROM documents""")
 def word_to_articles(t, _):
     """Word-processing files become the articles that they were made from."""
-    paras = word.paragraphs_of(markup.shred(_articles(t), "doc_id", "content"))
+    paras = word.paragraphs_of(markup.shredded(_articles(t), "doc_id", "content"))
     return word.to_docbook(word.read(word.write(paras), "doc_id", "file"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tree import NODE
+from .shared import cut
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 IMPLIED = {"p": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "section", "article", "footer", "header", "nav"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
@@ -158,6 +159,11 @@ def shred(docs: DataFrame, doc_id: str, content: str, fmt: str = "xml") -> DataF
     return rows.mapInArrow(_batches({"xml": shred_xml, "html": shred_html}[fmt]), NODE)
 
 
+def shredded(docs: DataFrame, doc_id: str, content: str, fmt: str = "xml") -> DataFrame:
+    """The nodes as a table in the shared folder, for plans that use them several times: documents are parsed once."""
+    return cut(shred(docs, doc_id, content, fmt))
+
+
 def read_folder(spark: SparkSession, folder: str, ext: str = "xml", depth: int | None = 1) -> DataFrame:
     """path, name, ext and content of the files of a folder with an extension; depth 1 is the folder itself, None any depth. Names that begin with search-results are left out."""
     df = spark.read.option("recursiveFileLookup", depth != 1).option("pathGlobFilter", f"*.{ext}").text(folder, wholetext=True)
