@@ -3,44 +3,20 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, drop, shared_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["cut", "drop", "long_id", "pieces", "shared_folder", "table", "text_of", "utf8", "worker_cache"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; only where that is unset (tests, a single
-    machine) is a folder of our own made."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vellumix-"))
-    return sc._jsc.sc().getCheckpointDir().get()
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written once as a table in the shared folder and read from there, so that nothing before is run
-    again when an executor is lost. checkpoint() would run the last stage twice."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.cut_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes a table made by cut() that nothing reads any more."""
-    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
