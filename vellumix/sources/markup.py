@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -166,9 +167,12 @@ def shredded(docs: DataFrame, doc_id: str, content: str, fmt: str = "xml") -> Da
 
 def read_folder(spark: SparkSession, folder: str, ext: str = "xml", depth: int | None = 1) -> DataFrame:
     """path, name, ext and content of the files of a folder with an extension; depth 1 is the folder itself, None any depth. Names that begin with search-results are left out."""
-    df = spark.read.option("recursiveFileLookup", depth != 1).option("pathGlobFilter", f"*.{ext}").text(folder, wholetext=True)
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/*", "/")
-    df = df.select(path.alias("path"), F.col("value").alias("content"))
+    plain = lambda path: F.regexp_replace(path, "^[a-z]+:/*", "/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", depth != 1).option("pathGlobFilter", f"*.{ext}").load(folder)
+    df = files.select(plain("path").alias("path"), F.decode("content", "UTF-8").alias("content"))
+    # scans skip files of no length: they come from Spark's own listing, by their names alone
+    listed = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string").select(plain("path").alias("path"))
+    df = df.unionByName(listed.join(files.select(plain("path").alias("path")), "path", "left_anti").withColumn("content", F.lit("")))
     name = F.substring_index("path", "/", -1)
     df = df.select("path", F.regexp_replace(name, "[.][^.]+$", "").alias("name"), F.lit(ext).alias("ext"), "content").filter(~F.col("name").startswith("search-results"))
     if depth not in (None, 1):
