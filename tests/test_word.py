@@ -38,3 +38,19 @@ def test_empty_input(spark):
     df = paras(spark, BODY).limit(0)
     assert word.write(df).count() == 0 and word.to_docbook(df).count() == 0
     assert word.read(spark.createDataFrame([(1, None)], "doc_id long, file binary"), "doc_id", "file").count() == 0
+
+
+def test_tables_and_images(spark):
+    file = word._file([], [[["a", ""], ["<c>", "d"]], [["x"]]], {"p.png": b"\x89PNG", "q.jpg": b"J"})
+    df = spark.createDataFrame([(1, bytearray(file)), (2, None), (3, bytearray(word._file([])))], "doc_id long, file binary")
+    found = word.cells(df, "doc_id", "file")
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1, 1, "a"), (1, 1, 1, 2, ""), (1, 1, 2, 1, "<c>"), (1, 1, 2, 2, "d"), (1, 2, 1, 1, "x")]
+    xml = {r.tbl: r.xml for r in word.tables_docbook(found).collect()}
+    assert xml == {1: "<informaltable><tr><td><para>a</para></td><td></td></tr><tr><td><para>&lt;c&gt;</para></td><td><para>d</para></td></tr></informaltable>", 2: "<informaltable><tr><td><para>x</para></td></tr></informaltable>"}
+    assert sorted((r.doc_id, r.name, bytes(r.image)) for r in word.images(df, "doc_id", "file").collect()) == [(1, "p.png", b"\x89PNG"), (1, "q.jpg", b"J")]
+
+
+def test_properties(spark):
+    people = "<author><personname>Ann Lee</personname></author><author><orgname>Org</orgname></author>"
+    docs = spark.createDataFrame([(1, HEAD + f"<info><title>Root</title>{people}</info><section><title>Below</title></section></article>")], "doc_id long, content string")
+    assert tuple(word.properties(markup.shred(docs, "doc_id", "content")).first()) == (1, "Root", "Ann Lee; Org")

@@ -88,3 +88,16 @@ def word_to_articles(t, _):
     """Word-processing files become the articles that they were made from."""
     paras = word.paragraphs_of(markup.shredded(_articles(t), "doc_id", "content"))
     return word.to_docbook(word.read(word.write(paras), "doc_id", "file"))
+
+
+@query("A10 A11 Q07 Q09 P08 M19", """SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(1 AS INTEGER) AS tbl, '<informaltable>' || string_agg('<tr><td><para>' || c_custkey || '</para></td><td><para>' || c_name || '</para></td></tr>', '' ORDER BY c_custkey) || '</informaltable>' AS xml FROM customer GROUP BY c_nationkey""")
+def word_tables(t, _):
+    """Tables are written into word-processing files, read back cell by cell, and written as markup."""
+    row = F.struct("c_custkey", F.array(F.col("c_custkey").cast("string"), F.col("c_name")).alias("c"))
+    rows = t("customer").groupBy(F.col("c_nationkey").cast("long").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["c"]).alias("rows"))
+    return word.tables_docbook(word.cells(word.write_tables(rows), "doc_id", "file"))
+
+
+@query("P16", "SELECT doc_id, source AS title, 'Dummy' AS creators FROM documents")
+def word_properties(t, _):
+    return word.properties(markup.shredded(_articles(t), "doc_id", "content"))

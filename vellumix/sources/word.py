@@ -37,7 +37,12 @@ NUMBERING = (
 STYLES = {"note": "Note", "tip": "Tip", "warning": "Warning", "caution": "Caution", "important": "Important", "programlisting": "ProgramListing", "screen": "Screen"}
 
 
-def _file(paras: list[dict]) -> bytes:
+def _table(rows: list[list[str]]) -> str:
+    cell = lambda text: f'<w:tc><w:p><w:r><w:t xml:space="preserve">{escape(text)}</w:t></w:r></w:p></w:tc>'
+    return "<w:tbl>" + "".join(f"<w:tr>{''.join(map(cell, r))}</w:tr>" for r in rows) + "</w:tbl>"
+
+
+def _file(paras: list[dict], tables: list[list[list[str]]] = (), media: dict[str, bytes] | None = None) -> bytes:
     links: list[str] = []
     body = []
     for p in paras:
@@ -62,11 +67,13 @@ def _file(paras: list[dict]) -> bytes:
         for name, text in (
             ("[Content_Types].xml", TYPES),
             ("_rels/.rels", RELS),
-            ("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{W}" xmlns:r="{R}"><w:body>{"".join(body)}</w:body></w:document>'),
+            ("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{W}" xmlns:r="{R}"><w:body>{"".join(body)}{"".join(map(_table, tables))}</w:body></w:document>'),
             ("word/_rels/document.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}</Relationships>'),
             ("word/numbering.xml", NUMBERING),
         ):
             z.writestr(zipfile.ZipInfo(name), text)  # no date: the same paragraphs give the same bytes
+        for name, data in (media or {}).items():
+            z.writestr(zipfile.ZipInfo(f"word/media/{name}"), data)
     return out.getvalue()
 
 
@@ -126,6 +133,17 @@ def write(paras: DataFrame) -> DataFrame:
     return docs.mapInArrow(each, "doc_id long, file binary")
 
 
+def write_tables(tables: DataFrame) -> DataFrame:
+    """doc_id and file for rows of doc_id and rows, an array of arrays of cell texts."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = [_file([], [rows]) for rows in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["doc_id", "file"])
+
+    return tables.select("doc_id", "rows").mapInArrow(each, "doc_id long, file binary")
+
+
 def paragraphs_of(nodes: DataFrame) -> DataFrame:
     """DocBook nodes as paragraphs: one for each title and para, styled by what is around it; one run for each text."""
     elem = mapping.context(nodes)
@@ -208,4 +226,58 @@ def _inline(r):
     return F.when(r["href"].isNotNull(), F.concat(F.lit('<link xlink:href="'), T.xml_escape(r["href"]), F.lit('">'), out, F.lit("</link>"))).otherwise(out)
 
 
-__all__ = ["paragraphs_of", "read", "to_docbook", "write"]
+def images(files: DataFrame, doc_id: str, file: str) -> DataFrame:
+    """doc_id, name and bytes of every picture within the files."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if f:
+                    with zipfile.ZipFile(io.BytesIO(f)) as z:
+                        found = [(n.rpartition("/")[2], z.read(n)) for n in z.namelist() if n.startswith("word/media/")]
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.int64()), pa.array([n for n, _ in found], pa.string()), pa.array([b for _, b in found], pa.binary())], ["doc_id", "name", "image"])
+
+    return files.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(file).alias("file")).mapInArrow(each, "doc_id long, name string, image binary")
+
+
+def cells(files: DataFrame, doc_id: str, file: str) -> DataFrame:
+    """doc_id, table, row, column (each from 1) and text of every table cell; paragraphs within a cell are joined by line ends, an empty cell has an empty text."""
+    w = f"{{{W}}}"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not f:
+                    continue
+                with zipfile.ZipFile(io.BytesIO(f)) as z:
+                    body = E.fromstring(z.read("word/document.xml")).find(f"{w}body")
+                out = [
+                    (i, t, r, c, "\n".join("".join(x.text or "" for x in p.iter(f"{w}t")) for p in cell.findall(f"{w}p")))
+                    for t, table in enumerate(body.iter(f"{w}tbl"), 1)
+                    for r, row in enumerate(table.findall(f"{w}tr"), 1)
+                    for c, cell in enumerate(row.findall(f"{w}tc"), 1)
+                ]
+                cols = list(zip(*out)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], ["doc_id", "tbl", "row", "col", "text"])
+
+    return files.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(file).alias("file")).mapInArrow(each, "doc_id long, tbl int, row int, col int, text string")
+
+
+def tables_docbook(found: DataFrame) -> DataFrame:
+    """doc_id, tbl and xml of every table of cells()."""
+    cell = F.concat(F.lit("<td>"), F.when(F.col("text") != "", F.concat(F.lit("<para>"), F.replace(T.xml_escape(F.col("text")), F.lit("\n"), F.lit("</para><para>")), F.lit("</para>"))).otherwise(F.lit("")), F.lit("</td>"))
+    rows = found.groupBy("doc_id", "tbl", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", cell.alias("s")))), lambda x: x["s"]), "").alias("s"))
+    body = rows.groupBy("doc_id", "tbl").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "s"))), lambda x: F.concat(F.lit("<tr>"), x["s"], F.lit("</tr>"))), "").alias("s"))
+    return body.select("doc_id", "tbl", F.concat(F.lit("<informaltable>"), "s", F.lit("</informaltable>")).alias("xml"))
+
+
+def properties(nodes: DataFrame) -> DataFrame:
+    """doc_id, title (of the root, not of what is below it) and creators, parted by a separator, for a file's properties."""
+    from ..operators import articles
+
+    head = articles.header(nodes).select("doc_id", "title")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "fullname")))
+    return head.join(articles.authors(nodes).groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["fullname"]), "; ").alias("creators")), "doc_id")
+
+
+__all__ = ["cells", "images", "paragraphs_of", "properties", "read", "tables_docbook", "to_docbook", "write", "write_tables"]
