@@ -74,7 +74,7 @@ def test_run_equals_brute_force(spark, tmp_path):
 def test_stages_keep_columns_and_take_empty_tables(spark, docs, tmp_path):
     spark.createDataFrame(corpus()[1], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for data in (corpus()[0], []):
-        df = docs(data).selectExpr("*", "1 AS item_id", "'x' AS entity", "2 AS words")
+        df = docs(data).selectExpr("*", "1 AS item_id", "'x' AS entity", "2 AS words", "3 AS __vellumix_tokens", "4 AS __gone", "5 AS `a.b c`")
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             out = stage(spark, df, str(tmp_path))
             assert out.columns[: len(df.columns)] == df.columns and (len(out.columns) == len(df.columns)) == (k < 4)

@@ -4,15 +4,37 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.shared import cut, drop, shared_folder
 
-__all__ = ["cut", "drop", "long_id", "pieces", "shared_folder", "table", "text_of", "utf8", "worker_cache"]
+__all__ = ["cut", "drop", "free_name", "map_batches", "pieces", "shared_folder", "table", "text_of", "utf8", "worker_cache"]
+
+
+PIECE_ROWS = 1 << 15
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A name for a helper column that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def map_batches(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """mapInArrow for columns of any name: it can't take names with dots itself."""
+    names = df.columns
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(renamed, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,20 +60,16 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batch: pa.RecordBatch, limit: int, name: str = "text") -> list[pa.RecordBatch]:
-    """The batch cut into slices of at most `limit` bytes of text, or one row where a row alone is longer."""
+    """The batch cut into slices of at most `limit` bytes of text and PIECE_ROWS rows, or one row where a row alone is longer."""
     _, at = utf8(text_of(batch, name))
     out, start = [], 0
     while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(at, at[start] + limit, side="right")) - 1)
+        end = max(start + 1, min(start + PIECE_ROWS, int(np.searchsorted(at, at[start] + limit, side="right")) - 1))
         out.append(batch.slice(start, end - start))
         start = end
     return out
 
 
-def long_id(name: str = "doc_id"):
-    return F.col(name).cast("long").alias(name)
-
-
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker: what a task builds (an automaton, a vocabulary) serves the next ones."""
     name = "vellumix_worker_cache"

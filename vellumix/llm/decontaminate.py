@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table, text_of, worker_cache
+from .common import map_batches, pieces, table, text_of, worker_cache
 from .words import lower
 
 MIN_WORDS, WINDOW, WINDOW_STEP = 8, 5, 4
@@ -189,7 +189,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int =
     """The rows of docs without a passage of a test item."""
     at = docs.columns.index("text")
     for items in _groups(benchmark):
-        docs = docs.mapInArrow(_clean_batches(items, at, min_words), docs.schema)
+        docs = map_batches(docs, _clean_batches(items, at, min_words), docs.schema)
     return docs
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,23 +41,26 @@ WORD = re.compile(r"\w+")
 CLOSES = {"p": BLOCK - {"br", "body", "html"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 
-def blocks(page: str) -> list[tuple[str, int, tuple[int, ...], str, int, int]]:
-    """Text, characters within links, path of element numbers, tag, container (1 content, -1 boilerplate, 0 says nothing) and level of each block."""
+def blocks(page: str) -> list[tuple[str, int, int, str, int, int, int]]:
+    """Text, characters within links, parent element, tag, container (1 content, -1 boilerplate, 0 says nothing), level, and lowest level since the block before, of each block."""
     out: list = []
     stack = [("#root", 0, 0)]  # tag, element number, what the container says
     text: list[str] = []
     linked = in_link = 0
     number = at = 0
+    low = 1
+    open_ = Counter()
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, low
         if text:
             s = "".join(text)
             if "&" in s:
                 s = html.unescape(s)
             s = " ".join(s.split())
             if s:
-                out.append((s, linked, tuple(x[1] for x in stack), stack[-1][0], stack[-1][2], len(stack)))
+                out.append((s, linked, stack[-2][1] if len(stack) > 1 else -1, stack[-1][0], stack[-1][2], len(stack), low))
+                low = len(stack)
             text.clear()
         linked = 0
 
@@ -81,14 +84,18 @@ def blocks(page: str) -> list[tuple[str, int, tuple[int, ...], str, int, int]]:
             continue
         flush()
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while open_[name]:
+                last = stack.pop()[0]
+                open_[last] -= 1
+                if last == name:
                     break
+            low = min(low, len(stack))
         else:
             while len(stack) > 1 and name in CLOSES.get(stack[-1][0], ()):
-                stack.pop()
+                open_[stack.pop()[0]] -= 1
+            low = min(low, len(stack))
             if name not in VOID:
+                open_[name] += 1
                 number += 1
                 says = 1 if name in GOOD else -1 if name in BAD else 0
                 if not says and m[4] and (c := CLASS.search(m[4])):
@@ -108,7 +115,7 @@ TAGS = {t: k for k, ts in enumerate((("p",), ("li", "dd", "dt"), ("td", "th"), (
 def features(found: list) -> list[tuple[int, ...]]:
     """A number for each of five features of each block."""
     out, n = [], len(found)
-    for i, (s, linked, _, tag, _, _) in enumerate(found):
+    for i, (s, linked, _, tag, *_) in enumerate(found):
         words, share = len(WORD.findall(s)), linked / len(s)
         length = 0 if words < 3 else 1 if words < 8 else 2 if words < 20 else 3 if words < 60 else 4
         links = 0 if share == 0 else 1 if share < 0.2 else 2 if share < 0.6 else 3
@@ -155,21 +162,12 @@ def edges(found: list) -> dict[tuple[int, int], int]:
     """Smoothness between blocks."""
     out: dict[tuple[int, int], int] = {}
     last: dict[int, int] = {}
-    before: tuple[int, ...] = ()
-    for j, b in enumerate(found):
-        path = b[2]
+    for j, (_, _, parent, _, _, level, low) in enumerate(found):
         if j:
-            same = 0
-            for x, y in zip(before, path):
-                if x != y:
-                    break
-                same += 1
-            out[j - 1, j] = ADJACENT // (1 + len(before) + len(path) - 2 * same)
-        parent = path[-2] if len(path) > 1 else -1
+            out[j - 1, j] = ADJACENT // (1 + found[j - 1][5] + level - 2 * low)
         if (i := last.get(parent)) is not None:
             out[i, j] = out.get((i, j), 0) + SIBLING
         last[parent] = j
-        before = path
     return out
 
 

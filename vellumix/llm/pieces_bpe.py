@@ -11,7 +11,7 @@ those of the library. Every batch is decoded again: `round_trip` says that the i
 
 Defined results. A null text has null ids, an empty text none; both have 0 tokens. Whole texts of any length are encoded. Equal
 ranks (ties) merge from the left. Repeated rows and null doc_ids are kept. Only doc_id and text are read by encode();
-encode_columns() keeps all columns of its input and refuses one that has its new columns' names. Empty tables give empty results.
+encode_columns() keeps all columns of its input, but for such with its new columns' names, which it replaces. Empty tables give empty results.
 decode() takes any ids: control and unknown ids give nothing, invalid UTF-8 becomes U+FFFD, null ids a null text.
 """
 
@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from .common import pieces, table, worker_cache
+from .common import map_batches, pieces, table, worker_cache
 from .words import mix
 
 MODEL = os.environ.get("VELLUMIX_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -280,11 +281,8 @@ def _model(path: str) -> bytes:
 def encode_columns(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """docs with piece_ids, n_pieces and round_trip."""
     new = ["piece_ids", "n_pieces", "round_trip"]
-    if clash := set(new) & set(docs.columns):
-        raise ValueError(f"columns are named like the new ones: {sorted(clash)}")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in new)).withColumn("text", F.col("text").cast("string"))
     proto, at = _model(model), docs.columns.index("text")
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(proto)
@@ -294,7 +292,7 @@ def encode_columns(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 ids, n, same = encode_array(text if pa.types.is_string(text.type) else text.cast(pa.string()), vocab)
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(n.astype(np.int32)), same], [*part.schema.names, *new])
 
-    return docs.mapInArrow(run, f"{types}, piece_ids array<int>, n_pieces int, round_trip boolean")
+    return map_batches(docs, run, StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(new, (ArrayType(IntegerType()), IntegerType(), BooleanType())))]))
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:

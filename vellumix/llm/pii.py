@@ -25,8 +25,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import cut, drop, pieces, table, text_of, utf8
+from .common import cut, drop, map_batches, pieces, table, text_of, utf8
 from .words import WordHasher, lower
 
 NEAR, MIN_CONTEXTS, REMOVE_BITS, GENERALISE_BITS = 300, 3, 0.5, 1.5
@@ -275,13 +276,12 @@ def sanitise_columns(docs: DataFrame, counts: bool = False) -> DataFrame:
         some = found.filter(F.pmod(F.xxhash64("entity"), F.lit(groups)) == g).toArrow()
         terms = Terms(some["entity"].to_numpy(), some["term"].to_numpy(), some["remove"].to_numpy(zero_copy_only=False))
         last = g == groups - 1
-        out = out.mapInArrow(_clean_batches(terms, at, len(docs.columns), last, counts), _schema(docs, counts))
-    return out if groups else out.mapInArrow(_clean_batches(None, at, len(docs.columns), True, counts), _schema(docs, counts))
+        out = map_batches(out, _clean_batches(terms, at, len(docs.columns), last, counts), _schema(docs, counts))
+    return out if groups else map_batches(out, _clean_batches(None, at, len(docs.columns), True, counts), _schema(docs, counts))
 
 
-def _schema(docs: DataFrame, counts: bool) -> str:
-    more = [f"{c} int" for c in COUNTS] if counts else []
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + more)
+def _schema(docs: DataFrame, counts: bool) -> StructType:
+    return StructType([*docs.schema.fields, *(StructField(c, IntegerType()) for c in COUNTS if counts)])
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ for how many words the rule speaks (short texts say little about ratios). A docu
 Defined results. A null text counts as empty; an empty text, or one without a word, breaks `enough_words` only. Whole texts
 of any length are measured. A value equal to a bound (a tie) is within it. Repeated rows are judged each for itself, and a
 null doc_id is kept as it is. Only doc_id and text are read by judge(); filter_docs() returns all columns of its input,
-whatever they are called, but for a column named like WORK, which is refused. An empty table gives an empty result.
+whatever they are called. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 SYMBOLS = "#$%&*|!^~<>{}[]=_+@\\"
 STOP_WORDS = sorted(
@@ -105,12 +105,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def filter_docs(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that no rule speaks against, with their columns."""
-    if WORK in docs.columns:
-        raise ValueError(f"a column is named {WORK}")
+    work = free_name(docs, WORK)
     needed = {r.measure for r in rules} | {"n_words"}
-    rows = docs.withColumn(WORK, tokens())
-    rows = rows.withColumn(WORK, F.struct(*(c.alias(k) for k, c in measures().items() if k in needed)))
-    return rows.filter(broken(rules, {k: F.col(f"{WORK}.{k}") for k in needed}) == "").drop(WORK)
+    rows = docs.withColumn(work, tokens())
+    rows = rows.withColumn(work, F.struct(*(c.alias(k) for k, c in measures(work).items() if k in needed)))
+    return rows.filter(broken(rules, {k: F.col(f"{work}.{k}") for k in needed}) == "").drop(work)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

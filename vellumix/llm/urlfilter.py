@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, table
+from .common import cut, drop, free_name, map_batches, table
 
 #: A list of unwanted sites; any other list is a parameter.
 LISTED = (
@@ -167,8 +167,8 @@ def flag(pages: DataFrame, listed: DataFrame) -> DataFrame:
 def filter_pages(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """The rows of pages that aren't blocked, with all columns."""
     at = pages.columns.index("url")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    rows = pages.select("*", F.transform(keys(F.col("url")), hashes).alias("__keys"))
+    held = free_name(pages, "__keys")
+    rows = pages.withColumn(held, F.transform(keys(F.col("url")), hashes))
     for cascade in _levels(pages, listed):
 
         def run(batches: Iterator[pa.RecordBatch], cascade: tuple = cascade) -> Iterator[pa.RecordBatch]:
@@ -178,8 +178,8 @@ def filter_pages(pages: DataFrame, listed: DataFrame) -> DataFrame:
                 done = next(one(iter([pa.RecordBatch.from_arrays(cols, ["a", "b", "c", "d"])])))
                 yield b.filter(pa.array(~np.asarray(done.column(3))))
 
-        rows = rows.mapInArrow(run, types + ", `__keys` array<struct<h1: bigint, h2: bigint>>")
-    return rows.drop("__keys")
+        rows = map_batches(rows, run, rows.schema)
+    return rows.drop(held)
 
 
 def listed_sites(spark: SparkSession) -> DataFrame:
