@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vellumix.llm import decontaminate, pieces_bpe, pii, quality, simhash
 from vellumix.llm.common import cut, table
@@ -26,9 +27,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and terms that disclose them are generalised or removed; n_chars, where there is one, is counted again."""
     clean = pii.sanitise_columns(docs)
-    if "n_chars" not in clean.columns:
-        return clean
-    return clean.selectExpr(*(f"CAST(length(text) AS {dict(docs.dtypes)[c]}) AS n_chars" if c == "n_chars" else f"`{c}`" for c in clean.columns))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in clean.columns else clean
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
