@@ -9,7 +9,7 @@ from .registry import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["scan_extension"](spark, sf_dir)
+    return QUERIES["reconcile_title_h1"](spark, sf_dir)
 
 
 __all__ = ["QUERIES", "SQL", "flagship"]

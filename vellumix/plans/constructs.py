@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import articles, mapping
-from ..sources import markup
+from ..sources import markup, word
 from .registry import query
 
 HEAD = '<article xmlns="http://docbook.org/ns/docbook" xmlns:xlink="http://www.w3.org/1999/xlink" version="5.2">'
@@ -127,3 +127,18 @@ def nesting_findings(t, _):
     piece = F.when(F.col("c_acctbal") < 0, "<set/>").when(F.col("c_mktsegment") == "BUILDING", "<part/>").otherwise("<para/>")
     docs = t("customer").groupBy("c_nationkey").agg(F.concat(F.lit("<article>"), F.array_join(F.collect_list(piece), ""), F.lit("</article>")).alias("content"))
     return articles.nesting(markup.shredded(docs, "c_nationkey", "content")).groupBy("doc_id", "check").agg(F.count("*").alias("n"))
+
+
+WORDS = (
+    '<info><title>X</title></info><section><title>One</title><para>a <emphasis role="bold">X</emphasis><emphasis>i</emphasis> <code>P</code><code>{i}</code> x<superscript>2</superscript></para>'
+    "<itemizedlist><listitem><para>X</para></listitem><listitem><para>P</para></listitem></itemizedlist><section><title>Inner</title><note><para>X</para><para>P</para></note><programlisting>int P;</programlisting></section></section>"
+    '<section><title>Two</title><orderedlist><listitem><para>z</para></listitem></orderedlist><para><link xlink:href="https://x.org/?a=1&amp;b=P">l</link></para></section>'
+)
+
+
+@query("P06 P09 P11 P13 P15 Q08 Q10 Q11 Q12 F17 D20", f"SELECT p_partkey AS doc_id, {_sql((HEAD + WORDS + '</article>').replace('{i}', '<replaceable>v</replaceable>'))} AS xml FROM part")
+def word_constructs(t, _):
+    """Articles with headings, lists, notes, listings and formats, through word-processing files and back; italics within code come back as replaceable."""
+    docs = t("part").select("p_partkey", _fill((HEAD + WORDS + "</article>").replace("{i}", "<emphasis>v</emphasis>")).alias("content"))
+    files = word.write(word.paragraphs_of(markup.shredded(docs, "p_partkey", "content")))
+    return word.to_docbook(word.read(files, "doc_id", "file"))

@@ -188,8 +188,7 @@ def to_docbook(paras: DataFrame) -> DataFrame:
     rows = sequence.list_moves(rows, ["doc_id"], ["pos"], "num_id", "num_lvl")
     rows = rows.withColumn("open_sections", F.coalesce(F.last("level", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.withColumn("box_before", F.lag("box").over(w)).withColumn("box_after", F.lead("box").over(w)).withColumn("last", F.lead("pos").over(w).isNull())
-    one = lambda r: _inline(r)
-    content = F.array_join(F.transform("runs", one), "")
+    content = F.array_join(F.transform("runs", _inline), "")
     closes = F.when(F.col("level").isNotNull() & (F.col("level") <= F.col("open_sections")), F.repeat(F.lit("</section>"), F.col("open_sections") - F.col("level") + 1)).otherwise(F.lit(""))
     item = F.when(F.col("num_id") == "2", "orderedlist").otherwise("itemizedlist")
     begin = F.concat(F.repeat(F.concat(F.lit("<"), item, F.lit("><listitem>")), F.floor(F.col("opens") / 2).cast("int")), F.when(F.col("opens") % 2 == 1, "<listitem>").otherwise(""))
@@ -213,17 +212,20 @@ def to_docbook(paras: DataFrame) -> DataFrame:
 
 
 def _inline(r):
-    """A run's text within the tags of its formats."""
-    out = T.xml_escape(F.coalesce(r["text"], F.lit("")))
-    wrap = lambda on, before, after: F.when(on, F.concat(F.lit(before), out, F.lit(after))).otherwise(out)
-    out = wrap(r["vert"] == "superscript", "<superscript>", "</superscript>")
-    out = wrap(r["vert"] == "subscript", "<subscript>", "</subscript>")
-    out = wrap(r["italic"] & r["style"].eqNullSafe("Code"), "<replaceable>", "</replaceable>")
-    out = wrap(r["italic"] & ~r["style"].eqNullSafe("Code"), "<emphasis>", "</emphasis>")
-    for flag, role in (("bold", "bold"), ("underline", "underline"), ("strike", "strikethrough")):
-        out = wrap(r[flag], f'<emphasis role="{role}">', "</emphasis>")
-    out = wrap(r["style"].eqNullSafe("Code"), "<code>", "</code>")
-    return F.when(r["href"].isNotNull(), F.concat(F.lit('<link xlink:href="'), T.xml_escape(r["href"]), F.lit('">'), out, F.lit("</link>"))).otherwise(out)
+    """A run's text within the tags of its formats, the outermost first. The text is mentioned once, so the expression stays small."""
+    code = r["style"].eqNullSafe("Code")
+    tags = [
+        (r["href"].isNotNull(), F.concat(F.lit('<link xlink:href="'), T.xml_escape(F.coalesce(r["href"], F.lit(""))), F.lit('">')), "</link>"),
+        (code, F.lit("<code>"), "</code>"),
+        *((r[flag], F.lit(f'<emphasis role="{role}">'), "</emphasis>") for flag, role in (("strike", "strikethrough"), ("underline", "underline"), ("bold", "bold"))),
+        (r["italic"] & ~code, F.lit("<emphasis>"), "</emphasis>"),
+        (r["italic"] & code, F.lit("<replaceable>"), "</replaceable>"),
+        (r["vert"] == "subscript", F.lit("<subscript>"), "</subscript>"),
+        (r["vert"] == "superscript", F.lit("<superscript>"), "</superscript>"),
+    ]
+    begin = [F.when(on, tag).otherwise(F.lit("")) for on, tag, _ in tags]
+    end = [F.when(on, F.lit(tag)).otherwise(F.lit("")) for on, _, tag in reversed(tags)]
+    return F.concat(*begin, T.xml_escape(F.coalesce(r["text"], F.lit(""))), *end)
 
 
 def images(files: DataFrame, doc_id: str, file: str) -> DataFrame:
