@@ -75,3 +75,32 @@ def test_scores_of_cases(docs):
         assert (by[i][0].n_words, by[i][0].log_likelihood, by[i][0].bits_per_word) == (0, 0.0, None)
     assert by[None][0].log_likelihood == pytest.approx(by[None][0].bits_per_word * -3 * math.log(2))
     assert hmm.score(df.limit(0)).count() == 0 and hmm.score(df.filter("text IS NULL")).first().n_words == 0
+
+
+def grammar(n, seed, words=3000):
+    """Sentences of two kinds of words in turn; most words are rare."""
+    r = np.random.default_rng(seed)
+    kinds = [[f"{c}{k}" for k in range(words)] for c in "ab"]
+    share = 1 / np.arange(1, words + 1)
+    pick = [r.choice(words, 12 * n, p=share / share.sum()) for _ in kinds]
+    return [" ".join(kinds[(j + i) % 2][pick[(j + i) % 2][12 * i + j]] for j in range(12)) for i in range(n)]
+
+
+def test_every_word_has_its_own_emission(docs, monkeypatch):
+    monkeypatch.setattr(hmm, "BUCKET_WORDS", 64)  # many buckets
+    text = grammar(2000, 6)
+    df = docs(list(enumerate(text))).repartition(3)
+    model = hmm.train(df, hmm.blocks(df))
+    rows = model.words.collect()
+    h = np.concatenate([np.frombuffer(r.h, np.uint64) for r in rows])
+    c = np.concatenate([np.frombuffer(r.c, np.float64).reshape(-1, hmm.STATES) for r in rows])
+    assert len(rows) > 16 and len(set(h.tolist())) == len(h) == len(set(" ".join(text).split()))
+    assert np.allclose((c / model.occupied).sum(axis=0), 1)  # likelihoods are of words
+    assert math.isclose(c.sum(), 12 * len(text) + hmm.PRIOR * hmm.STATES + hmm.WORD_PRIOR * len(h), rel_tol=1e-4)
+
+
+def test_made_up_words_score_below_known_ones(docs):
+    text = [". ".join(grammar(40, k, 50)) for k in range(30)]
+    junk = " ".join(f"q{k:07d}" for k in range(480))  # each word once
+    got = {r.doc_id: r.bits_per_word for r in hmm.score(docs([*enumerate(text), (99, junk)])).collect()}
+    assert got[99] > max(v for k, v in got.items() if k != 99)

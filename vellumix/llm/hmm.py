@@ -1,15 +1,16 @@
 """Language-model scores of a hidden Markov model that is trained on the corpus.
 
-A sequence is a sentence: the words between two of . ! ? ; | or line ends. Its symbols are the words in lower case; a word that makes up less
-than WORD_SHARE of the corpus's words stands as the class of rare words of its length, so there are at most 1 / WORD_SHARE + CLASSES symbols, however
-large the corpus. Words are counted over all documents; each Baum-Welch step sums the expected counts of transitions and
-emissions of all sentences of all documents across partitions. The scaled forward recursion then gives every sentence's exact
-log-likelihood, and a document's is the sum over its sentences.
+A sequence is a sentence: the words between two of . ! ? ; | or line ends. Its symbols are the words in lower case, every distinct word of the
+corpus for itself. The emission table is a distributed table of buckets of word hashes; it is never collected or shipped. Documents stand in blocks
+with the block's distinct words. Each Baum-Welch step asks the buckets for the emissions of every block's words, runs the E-step block by
+block, and sums the expected counts by word. The first model comes from a small sample, trained on the driver from a start
+without symmetry; then steps over all sentences of all documents follow until one gains less than TOLERANCE bits a word. The scaled forward
+recursion then gives every sentence's exact log-likelihood, and a document's is the sum over its sentences.
 
 Defined results. A null or empty text, or one without words, has n_words 0, log_likelihood 0 and no bits_per_word. Texts of any
-length are trained on and scored whole. Repeated rows count and are scored each for itself, a null doc_id is kept. Ties don't arise: a word
-with exactly the share counts as frequent. Only doc_id and text are read. An empty table, or one without words, gives no model and no scores but the
-zeros above. Sums of floating-point counts depend on their order, so scores agree from run to run to about 9 digits.
+length are trained on and scored whole. Repeated rows count and are scored each for itself, a null doc_id is kept. Ties don't arise. Only doc_id and
+text are read. An empty table, or one without words, gives no model and no scores but the zeros above. Emissions and counts travel in single
+precision and sums depend on their order, so scores agree from run to run to about 5 digits.
 """
 
 from __future__ import annotations
@@ -20,15 +21,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, drop, pieces, table, text_of, utf8
-from .words import WordHasher
+from .words import WordHasher, mix
 
-STATES, STEPS, WORD_SHARE, CLASSES, SEED = 8, 3, 1e-5, 48, 11
+STATES, WORD_SHARE, CLASSES, SEED = 8, 1e-5, 48, 11
 PIECE_BYTES, HELD, CHUNK_WORDS = 1 << 20, 1 << 21, 1 << 18
+BLOCK_WORDS, BLOCK_ROWS, BUCKET_WORDS = 1 << 20, 1 << 17, 1 << 14
+TOLERANCE, SAMPLE_WORDS, SAMPLE_CHARS, SAMPLE_STEPS = 0.005, 1 << 18, 1 << 17, 20
 PRIOR = 1.0  # words' worth of the corpus's own word shares, added to each state's counts
+WORD_PRIOR = 0.5  # added to each word's counts, in the states' proportions, so that words seen once aren't tied to one state
 BREAK = np.zeros(256, bool)
 BREAK[list(b".!?;|\n\r")] = True
 
@@ -237,40 +242,258 @@ def estimate(coded: DataFrame, model: Model, width) -> tuple[np.ndarray, np.ndar
     return every[n + s], every[n : n + s], every[:n], float(every[n + s + 1, 0])
 
 
-def train(coded: DataFrame, shares: np.ndarray, width, states: int = STATES, steps: int = STEPS) -> Model:
-    model = start_model(shares, states)
-    for _ in range(steps):
-        first, pairs, emitted, _ = estimate(coded, model, width)
-        model = next_model(first, pairs, emitted, shares)
-    return model
+# every word: blocks of documents, buckets of words
 
+BLOCK = "block long, ids array<long>, words binary, sentences binary, symbols binary, sizes binary, vocab binary"
+WORDS = "bucket int, h binary, n binary, c binary, total array<double>"
+SCORES = "doc_id long, n_words int, n_sentences int, log_likelihood double, bits_per_word double"
 
-def _score_batches(model: Model, width):
+
+def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher, number, held, n_words, n_rows = WordHasher(), TaskContext.get().partitionId() << 32, [], 0, 0
+
+    def block() -> pa.RecordBatch:
+        ids = pa.concat_arrays([x[0] for x in held])
+        words, sentences, h, size = (np.concatenate(x) for x in list(zip(*held))[1:])
+        vocab, sym = np.unique(h, return_inverse=True)
+        cols = [words.astype(np.uint32), sentences.astype(np.uint32), sym.astype(np.uint32), size.astype(np.uint32), vocab]
+        ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        return pa.RecordBatch.from_arrays([pa.array([number]), ids, *(pa.array([x.tobytes()]) for x in cols)], ["block", "ids", "words", "sentences", "symbols", "sizes", "vocab"])
+
+    for batch in batches:
+        for part in pieces(batch, PIECE_BYTES):
+            doc, h, _, breaks = _words(text_of(part), hasher)
+            first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (breaks[1:] != breaks[:-1])))) if len(doc) else doc
+            held.append((part.column(0), np.bincount(doc, minlength=part.num_rows), np.bincount(doc[first], minlength=part.num_rows), h, np.diff(np.append(first, len(doc)))))
+            n_words, n_rows = n_words + len(h), n_rows + part.num_rows
+            if n_words >= BLOCK_WORDS or n_rows >= BLOCK_ROWS:
+                yield block()
+                number, held, n_words, n_rows = number + 1, [], 0, 0
+    if held:
+        yield block()
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """All rows in blocks: their words as places in the block's sorted distinct words, and their sentences' lengths."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return cut(rows.mapInArrow(_block_batches, BLOCK))
+
+
+@dataclass
+class Trained:
+    words: DataFrame  # bucket; sorted hashes, corpus counts and expected counts by state of its words
+    bits: int  # a word's bucket is this many first bits of its hash
+    initial: np.ndarray
+    transition: np.ndarray
+    occupied: np.ndarray  # sum of the expected counts by state
+    gains: list[float]  # log-likelihood, in bits a word, of the corpus before each step
+
+
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
+
+
+def _binary(t: pa.Table, name: str, dtype) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), dtype) for x in t[name]]
+
+
+def _word_row(bucket: int, h: np.ndarray, n: np.ndarray, c: np.ndarray) -> pa.Table:
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "h": [h.tobytes()], "n": [n.tobytes()], "c": [c.tobytes()], "total": pa.array([c.sum(axis=0)], pa.list_(pa.float64()))})
+
+
+def _totals(words: DataFrame, states: int) -> np.ndarray:
+    rows = words.select(F.posexplode("total").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(states)
+    out[[r.k for r in rows]] = [r.x for r in rows]
+    return out
+
+
+def _sample_model(docs: DataFrame, total: int, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where training starts: hashes and state shares of a sample's words, initial states and transitions. Bounded, as it fits the driver."""
+    rows = docs.select(F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")).filter("text IS NOT NULL")
+    if total > SAMPLE_WORDS:
+        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < max(1, 1_000_000 * SAMPLE_WORDS // total))
+    doc, h, _, breaks = _words(rows.toArrow()["text"].combine_chunks().cast(pa.string()), WordHasher())
+    vocab, sym = np.unique(h, return_inverse=True)
+    r = np.random.default_rng(SEED)
+    transition = r.dirichlet(np.ones(states), states)
+    if not len(h):
+        return vocab, np.zeros((0, states)), np.full(states, 1 / states), transition
+    first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (breaks[1:] != breaks[:-1]))))
+    size = np.diff(np.append(first, len(h)))
+    shares = np.bincount(sym) / len(sym)
+    x = np.stack([(mix(vocab + np.uint64(k)) >> np.uint64(40)).astype(float) / (1 << 24) for k in range(states)], axis=1)
+    emission = shares[:, None] * (x + 1e-3) ** 2  # far from symmetric, so that training doesn't begin on a plateau
+    model, before, step = Model(np.full(states, 1 / states), transition, emission / emission.sum(axis=0)), -np.inf, 0
+    while True:
+        sweep = Sweep(sym, size, model)
+        now = sweep.log_likelihood().sum() / np.log(2) / len(sym)
+        counts = sweep.counts()
+        model = next_model(*counts, shares)
+        if step >= SAMPLE_STEPS and now - before < TOLERANCE:
+            emitted = counts[2] + WORD_PRIOR * counts[2].sum(axis=0) / len(sym)
+            return vocab, emitted / emitted.sum(axis=1, keepdims=True), model.initial, model.transition
+        before, step = now, step + 1
+
+
+def _first_words(bits: int, vocab: np.ndarray, share: np.ndarray, states: int):
+    other = share.mean(axis=0) if len(share) else np.full(states, 1 / states)
+
+    def run(t: pa.Table) -> pa.Table:
+        h, n = t["h"].to_numpy().view(np.uint64), t["n"].to_numpy()
+        order = np.argsort(h)
+        h, n = h[order], n[order].astype(np.int64)
+        at = np.minimum(np.searchsorted(vocab, h), max(0, len(vocab) - 1))
+        part = np.tile(other, (len(h), 1))
+        if len(vocab):
+            known = vocab[at] == h
+            part[known] = share[at[known]]
+        return _word_row(int(_bucket(h[:1], bits)[0]), h, n, n[:, None] * part)
+
+    return run
+
+
+def _ask_batches(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sym, size in _chunks(batches, width):
-            ll = Sweep(sym, size, model).log_likelihood()
-            sentences = np.array([len(x) // 4 for x in part.column(3).to_pylist()], np.int64)
-            words = part.column(1).to_numpy()
-            doc = np.repeat(np.arange(part.num_rows), sentences)
-            total = np.bincount(doc, ll, minlength=part.num_rows).astype(float)
-            bits = pa.array(-total / np.log(2) / np.maximum(words, 1), mask=words == 0)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sentences.astype(np.int32)), pa.array(total), bits], ["doc_id", "n_words", "n_sentences", "log_likelihood", "bits_per_word"])
+        for batch in batches:
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = np.frombuffer(raw, np.uint64)
+                if not len(h):
+                    continue
+                bucket = _bucket(h, bits)
+                first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+                parts = [x.tobytes() for x in np.split(h, first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([number] * len(first), pa.int64()), pa.array(parts, pa.binary())], ["bucket", "block", "h"])
 
     return run
 
 
-def score(docs: DataFrame, states: int = STATES, steps: int = STEPS, share: float = WORD_SHARE) -> DataFrame:
-    """doc_id, n_words, n_sentences, log_likelihood (natural) and bits_per_word of every row."""
+def _answer(occupied: np.ndarray):
+    def run(asked: pa.Table, words: pa.Table) -> pa.Table:
+        s = len(occupied)
+        h = _binary(words, "h", np.uint64)[0] if words.num_rows else np.zeros(0, np.uint64)
+        e = _binary(words, "c", np.float64)[0].reshape(-1, s) / occupied if words.num_rows else np.zeros((0, s))
+        out = []
+        for want in _binary(asked, "h", np.uint64):
+            at = np.minimum(np.searchsorted(h, want), max(0, len(h) - 1))
+            known = h[at] == want if len(h) else np.zeros(len(want), bool)
+            got = np.full((len(want), s), WORD_PRIOR / occupied.sum())  # a word that training didn't see
+            got[known] = e[at[known]]
+            out.append(got.astype(np.float32).tobytes())
+        return pa.table({"block": asked["block"], "bucket": asked["bucket"], "e": pa.array(out, pa.binary())})
+
+    return run
+
+
+def emissions(coded: DataFrame, model: Trained) -> DataFrame:
+    """block, bucket and, in the order of the block's words, their emissions."""
+    asked = coded.select("block", "vocab").mapInArrow(_ask_batches(model.bits), "bucket int, block long, h binary")
+    return asked.groupBy("bucket").cogroup(model.words.groupBy("bucket")).applyInArrow(_answer(model.occupied), "block long, bucket int, e binary")
+
+
+def _local(answers: pa.Table, block: pa.Table, model: Model) -> Iterator[Sweep]:
+    """Sweeps over a block's sentences, about CHUNK_WORDS words at a time."""
+    s = len(model.initial)
+    order = np.argsort(answers["bucket"].to_numpy())
+    e = _binary(answers, "e", np.float32)
+    model.emission = np.concatenate([e[k] for k in order]).reshape(-1, s).astype(float) if len(e) else np.zeros((0, s))
+    sym, size = _binary(block, "symbols", np.uint32)[0], _binary(block, "sizes", np.uint32)[0].astype(np.int64)
+    n, start = np.cumsum(size), 0
+    while start < len(size):
+        before = n[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(n, before + CHUNK_WORDS, side="right")))
+        yield Sweep(sym[before : n[end - 1]], size[start:end], model)
+        start = end
+
+
+def _count_block(initial: np.ndarray, transition: np.ndarray, bits: int):
+    s = len(initial)
+
+    def run(answers: pa.Table, block: pa.Table) -> pa.Table:
+        vocab = _binary(block, "vocab", np.uint64)[0]
+        first, pairs, emitted, ll = np.zeros(s), np.zeros((s, s)), np.zeros((len(vocab), s)), 0.0
+        for sweep in _local(answers, block, Model(initial, transition, None)):
+            f, p, e = sweep.counts()
+            first, pairs, ll = first + f, pairs + p, ll + sweep.log_likelihood().sum()
+            emitted += e
+        bucket = _bucket(vocab, bits)
+        begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(vocab) else np.zeros(0, np.int64)
+        edge = np.append(begin, len(vocab))
+        h = [vocab[a:b].tobytes() for a, b in zip(edge, edge[1:])] + [b""]
+        c = [emitted[a:b].astype(np.float32).tobytes() for a, b in zip(edge, edge[1:])] + [b""]
+        sums = [None] * len(begin) + [np.concatenate((first, pairs.ravel(), [ll]))]
+        return pa.table({"bucket": pa.array([*bucket[begin], -1], pa.int32()), "h": pa.array(h, pa.binary()), "c": pa.array(c, pa.binary()), "sums": pa.array(sums, pa.list_(pa.float64()))})
+
+    return run
+
+
+def _sum_words(total: int, occupied: np.ndarray):
+    states = len(occupied)
+
+    def run(counted: pa.Table, words: pa.Table) -> pa.Table:
+        h, n = _binary(words, "h", np.uint64)[0], _binary(words, "n", np.int64)[0]
+        c = PRIOR / total * n[:, None] + WORD_PRIOR * occupied / occupied.sum()
+        for some, x in zip(_binary(counted, "h", np.uint64), _binary(counted, "c", np.float32)):
+            c[np.searchsorted(h, some)] += x.reshape(-1, states)  # the words of a block are distinct
+        return _word_row(words["bucket"][0].as_py(), h, n, c)
+
+    return run
+
+
+def train(docs: DataFrame, coded: DataFrame, states: int = STATES, tolerance: float = TOLERANCE) -> Trained | None:
+    """Baum-Welch over all words and documents until a step gains less than `tolerance` bits a word. None without any word."""
     counts = cut(word_counts(docs))
-    vocab, n, total = frequent(counts, share)
+    total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
+    if not total:
+        drop(counts)
+        return None
+    bits = max(0, int(np.ceil(np.log2(distinct / BUCKET_WORDS))))
+    vocab, share, initial, transition = _sample_model(docs, total, states)
+    bucket = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
+    words = cut(counts.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_first_words(bits, vocab, share, states), WORDS))
     drop(counts)
-    coded = cut(symbols(docs, vocab))
-    width = np.uint16 if len(vocab) + CLASSES < 1 << 16 else np.uint32
-    rare = max(0, total - int(n.sum()))
-    shares = np.concatenate((n, np.full(CLASSES, (rare + 1) / CLASSES)))
-    shares = shares / shares.sum()
-    model = train(coded, shares, width, states, steps if total else 0)
-    return coded.mapInArrow(_score_batches(model, width), "doc_id long, n_words int, n_sentences int, log_likelihood double, bits_per_word double")
+    model = Trained(words, bits, initial, transition, _totals(words, states), [])
+    while True:
+        found = emissions(coded, model).groupBy("block").cogroup(coded.groupBy("block"))
+        found = cut(found.applyInArrow(_count_block(model.initial, model.transition, bits), "bucket int, h binary, c binary, sums array<double>"))
+        rows = found.filter("bucket = -1").select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
+        sums = np.zeros(states + states**2 + 1)
+        sums[[r.k for r in rows]] = [r.x for r in rows]
+        words = cut(found.filter("bucket >= 0").select("bucket", "h", "c").groupBy("bucket").cogroup(model.words.select("bucket", "h", "n").groupBy("bucket")).applyInArrow(_sum_words(total, model.occupied), WORDS))
+        drop(found)
+        drop(model.words)
+        first, pairs = sums[:states] + 1e-3, sums[states:-1].reshape(states, states) + 1e-3
+        gains = [*model.gains, sums[-1] / np.log(2) / total]
+        model = Trained(words, bits, first / first.sum(), pairs / pairs.sum(axis=1, keepdims=True), _totals(words, states), gains)
+        if len(gains) > 1 and gains[-1] - gains[-2] < tolerance:
+            return model
+
+
+def _score_block(initial: np.ndarray, transition: np.ndarray):
+    def run(answers: pa.Table, block: pa.Table) -> pa.Table:
+        words, sentences = (_binary(block, c, np.uint32)[0].astype(np.int64) for c in ("words", "sentences"))
+        ll = np.concatenate([np.zeros(0), *(x.log_likelihood() for x in _local(answers, block, Model(initial, transition, None)))])
+        total = np.bincount(np.repeat(np.arange(len(words)), sentences), ll, minlength=len(words)).astype(float)
+        bits = pa.array(-total / np.log(2) / np.maximum(words, 1), mask=words == 0)
+        ids = block["ids"].combine_chunks().flatten()
+        return pa.table({"doc_id": ids, "n_words": words.astype(np.int32), "n_sentences": sentences.astype(np.int32), "log_likelihood": total, "bits_per_word": bits})
+
+    return run
+
+
+def score_blocks(coded: DataFrame, model: Trained | None, states: int = STATES) -> DataFrame:
+    """The scores of all rows of the blocks; without a model there isn't a word either."""
+    if model is None:
+        zero = F.explode("ids").alias("doc_id"), F.lit(0).alias("n_words"), F.lit(0).alias("n_sentences"), F.lit(0.0).alias("log_likelihood"), F.lit(None).cast("double").alias("bits_per_word")
+        return coded.select(*zero)
+    answers = emissions(coded, model)
+    return answers.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_score_block(model.initial, model.transition), SCORES)
+
+
+def score(docs: DataFrame, states: int = STATES, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_id, n_words, n_sentences, log_likelihood (natural) and bits_per_word of every row."""
+    coded = blocks(docs)
+    return score_blocks(coded, train(docs, coded, states, tolerance))
 
 
 def op6_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
