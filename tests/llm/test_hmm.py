@@ -86,6 +86,20 @@ def grammar(n, seed, words=3000):
     return [" ".join(kinds[(j + i) % 2][pick[(j + i) % 2][12 * i + j]] for j in range(12)) for i in range(n)]
 
 
+def test_training_beats_the_unigram_on_held_out_text(docs):
+    train, held = grammar(3000, 4), grammar(300, 5)
+    df, other = docs(list(enumerate(train))).repartition(3), docs(list(enumerate(held)))
+    model = hmm.train(df, hmm.blocks(df))
+    counts = {}
+    for w in " ".join(train).split():
+        counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values())
+    unigram = -np.mean([math.log2(counts.get(w, 1) / total) for w in " ".join(held).split()])
+    got = hmm.score_blocks(hmm.blocks(other), model).selectExpr("-sum(log_likelihood) / sum(n_words) / ln(2)").first()[0]
+    assert got < unigram - 0.5
+    assert model.gains[-1] - model.gains[-2] < hmm.TOLERANCE and all(b > a - 1e-2 for a, b in zip(model.gains, model.gains[1:]))
+
+
 def test_every_word_has_its_own_emission(docs, monkeypatch):
     monkeypatch.setattr(hmm, "BUCKET_WORDS", 64)  # many buckets
     text = grammar(2000, 6)
