@@ -39,6 +39,18 @@ def test_secret_verdicts(docs):
     assert secrets.scan(docs([])).count() == 0
 
 
+def test_whole_keys_and_long_values(docs):
+    pem = lambda c, head="": f"-----BEGIN PRIVATE KEY-----\n{head}" + "\n".join(c * 64 for _ in range(20)) + "Q\n-----END PRIVATE KEY-----\n"
+    long = "aB3dE6gH9k" * 150
+    rows = [(1, pem("M"), "en", "a"), (2, '{"k": "' + pem("M").replace("\n", "\\n") + '"}', "en", "b"), (3, "k: |\n" + pem("M").replace("\n", "\n    "), "en", "c")]
+    rows += [(4, '{"k": "' + pem("N").replace("\n", "\\n") + '"}', "en", "a"), (5, pem("M", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"), "en", "a"), (6, pem("P", "Proc-Type: 4,ENCRYPTED\n\n"), "en", "b")]
+    rows += [(7, f"token={long}x", "en", "a"), (8, f"token={long}y", "en", "b"), (9, f"eyJ{long}.{long}.{long}", "en", "a")]
+    got = {r.doc_id: r for r in secrets.scan(docs(rows)).collect()}
+    assert sorted(got) == list(range(1, 10)) and got[9].kind == "web_token"
+    assert len({got[i].secret_sha256 for i in (1, 2, 3)}) == 1 and got[1].verdict == "copied"
+    assert len({got[i].secret_sha256 for i in (1, 4, 5, 6, 7, 8, 9)}) == 7 and all(got[i].n_owners == 1 for i in range(4, 10))
+
+
 def test_rotation(spark):
     rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "hi <|im_start|>"), (1, 2, "bob", "ho"), (1, 3, "ann", None), (1, 3, None, "?"), (None, 0, "ann", "lost"), (2, 0, "system", "alone"), (3, 0, "x", "y"), (3, 0, "x", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS speaker", "2 AS n_own")

@@ -25,7 +25,8 @@ COPIED, DISTINCT = 3, 10
 NAMES = r"(?i:api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret|secret|token|password|passwd)"
 ASSIGN = NAMES + r"[\x22\x27]?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}[\x22\x27]?"
 VALUE = r"[A-Za-z0-9_+/.=~-]{16,999}"
-KINDS = {
+#: The patterns of the SQL, which can't repeat more than 999 times nor read a key's escapes and headers.
+SQL_KINDS = {
     "aws_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
     "github_token": r"gh[pousr]_[0-9A-Za-z]{36,251}",
     "payment_key": r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,99}",
@@ -35,8 +36,13 @@ KINDS = {
     "web_token": r"eyJ[0-9A-Za-z_-]{8,999}\.[0-9A-Za-z_-]{8,999}\.[0-9A-Za-z_-]{8,999}",
     "assignment": ASSIGN + VALUE,
 }
-ANY = "|".join(KINDS.values())
-ASSIGNED = f"^{ASSIGN}({VALUE})$"
+#: The same without bounds. A private key runs to its END line, over escaped line ends, indents and headers; one without such a line is read as in SQL.
+BEGIN, END = "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", "-----END [A-Z ]{0,20}PRIVATE KEY-----"
+BODY = r"[A-Za-z0-9+/=\s\\:,.()]*+"
+KINDS = {k: p.replace(",999}", ",}").replace(",251}", ",}").replace(",99}", ",}") for k, p in SQL_KINDS.items()}
+KINDS["private_key"] = rf"{BEGIN}(?:{BODY}(?:-(?=[A-Za-z0-9]){BODY}){{0,64}}{END}|[A-Za-z0-9+/=\r\n]*)"
+ANY, SQL_ANY = "|".join(KINDS.values()), "|".join(SQL_KINDS.values())
+ASSIGNED, SQL_ASSIGNED = f"^{ASSIGN}({VALUE.replace(',999}', ',}')})$", f"^{ASSIGN}({VALUE})$"
 PLACEHOLDER = r"(?i)example|placeholder|changeme|change-me|your[_-]|dummy|redacted|xxxxxxxx|0123456789|abcdefgh"
 
 
@@ -54,6 +60,10 @@ def candidates(docs: DataFrame) -> DataFrame:
         kind = F.when(F.col("found").rlike(f"^(?:{pattern})$"), k).otherwise(kind)
     rows = rows.withColumn("kind", kind)
     value = F.when(F.col("kind") == "assignment", F.regexp_extract("found", ASSIGNED, 1)).otherwise(F.col("found"))
+    # the same key is the same value however its lines end and are indented
+    key = F.regexp_replace(F.regexp_replace("found", rf"{END}$", ""), r"(?:\\r)?\\n|\\r", "\n")
+    key = F.regexp_replace(F.regexp_replace(key, r"(?<=\n)[ \t]+|[ \t]+(?=\n)", ""), r"\n{2,}(?=$)", "\n")
+    value = F.when((F.col("kind") == "private_key") & F.col("found").rlike(f"{END}$"), key).otherwise(value)
     rows = rows.withColumn("value", value)
     return rows.select(
         "doc_id",
@@ -88,12 +98,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-_KIND = "CASE " + " ".join(f"WHEN regexp_matches(found, '^(?:{p})$') THEN '{k}'" for k, p in KINDS.items() if k != "assignment") + " ELSE 'assignment' END"
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(found, '^(?:{p})$') THEN '{k}'" for k, p in SQL_KINDS.items() if k != "assignment") + " ELSE 'assignment' END"
 SQL = rf"""
 WITH a AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo,
-  unnest(list_distinct(regexp_extract_all(text, '{ANY}'))) AS found FROM documents),
+  unnest(list_distinct(regexp_extract_all(text, '{SQL_ANY}'))) AS found FROM documents),
 b AS (SELECT *, {_KIND} AS kind FROM a),
-c AS (SELECT *, CASE WHEN kind = 'assignment' THEN regexp_extract(found, '{ASSIGNED}', 1) ELSE found END AS value FROM b),
+c AS (SELECT *, CASE WHEN kind = 'assignment' THEN regexp_extract(found, '{SQL_ASSIGNED}', 1) ELSE found END AS value FROM b),
 d AS (SELECT DISTINCT doc_id, owner, repo, kind, sha256(value) AS secret_sha256, CAST(len(list_distinct(string_split(value, ''))) AS INTEGER) AS n_characters,
   regexp_matches(value, '{PLACEHOLDER}') AS placeholder FROM c),
 e AS (SELECT secret_sha256, count(DISTINCT doc_id) AS n_docs, count(DISTINCT repo) AS n_repos, count(DISTINCT owner) AS n_owners FROM d GROUP BY 1)
