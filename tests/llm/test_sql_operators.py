@@ -39,6 +39,14 @@ def test_secret_verdicts(docs):
     assert secrets.scan(docs([])).count() == 0
 
 
+def test_long_clean_texts_stay(docs):
+    long = " ".join(f"the w{k % 20_000} of" for k in range(170_000))  # 510,000 words, 20,002 distinct
+    longer = " ".join(f"the w{k % 50_000} of" for k in range(340_000))  # over a million
+    df = docs([(1, long), (2, longer), (3, "the spam of " * 170_000)])
+    assert {r.doc_id: r.broken for r in quality.judge(df).collect()} == {1: "", 2: "", 3: "distinct_words"}
+    assert {r.doc_id for r in quality.filter_docs(df).collect()} == {1, 2}
+
+
 def test_whole_keys_and_long_values(docs):
     pem = lambda c, head="": f"-----BEGIN PRIVATE KEY-----\n{head}" + "\n".join(c * 64 for _ in range(20)) + "Q\n-----END PRIVATE KEY-----\n"
     long = "aB3dE6gH9k" * 150

@@ -11,7 +11,7 @@ whatever they are called. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,10 +38,12 @@ class Rule:
     low: float
     high: float
     from_words: int = 0
-    to_words: int = 1 << 30
+    to_words: int = 1 << 62
+    falls_from: int = 0  # from so many words on the lower bound falls with the root of their number, as the measure does in any language
 
 
-RULES = (
+#: The rules of the SQL; they speak against long texts for their length alone.
+SQL_RULES = (
     Rule("enough_words", "n_words", 3, 1_000_000),
     Rule("word_length", "mean_word_length", 2.0, 14.0, 20),
     Rule("symbols", "symbols_per_word", 0.0, 0.3, 10),
@@ -54,6 +56,9 @@ RULES = (
     Rule("bullet_lines", "bullet_line_ratio", 0.0, 0.9, 20),
     Rule("ellipsis_lines", "ellipsis_line_ratio", 0.0, 0.3, 20),
 )
+#: The same, but no text is too long, and the share of distinct words may fall with the length.
+WHOLE = {"enough_words": {"high": float("inf")}, "distinct_words": {"falls_from": 20_100}}
+RULES = tuple(replace(r, **WHOLE.get(r.name, {})) for r in SQL_RULES)
 
 
 def tokens(text: str = "text") -> Column:
@@ -92,7 +97,8 @@ def measures(at: str = WORK) -> dict[str, Column]:
 
 def broken(rules: tuple[Rule, ...], of: dict[str, Column]) -> Column:
     """The names of the rules that speak against the text, joined by commas in the rules' order."""
-    against = [F.when(of["n_words"].between(r.from_words, r.to_words) & ~of[r.measure].between(r.low, r.high), F.lit(r.name)) for r in rules]
+    low = lambda r: r.low * F.sqrt(r.falls_from / F.greatest(of["n_words"], F.lit(r.falls_from))) if r.falls_from else r.low
+    against = [F.when(of["n_words"].between(r.from_words, r.to_words) & ~of[r.measure].between(low(r), r.high), F.lit(r.name)) for r in rules]
     return F.concat_ws(",", *against)
 
 
@@ -116,9 +122,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
-def _sql(rules: tuple[Rule, ...] = RULES) -> str:
+def _sql(rules: tuple[Rule, ...] = SQL_RULES) -> str:
     quoted = ",".join(f"'{w}'" for w in STOP_WORDS)
-    against = ", ".join(f"CASE WHEN n_words BETWEEN {r.from_words} AND {r.to_words} AND NOT {r.measure} BETWEEN {r.low} AND {r.high} THEN '{r.name}' END" for r in rules)
+    against = ", ".join(f"CASE WHEN n_words BETWEEN {r.from_words} AND {min(r.to_words, 1 << 30)} AND NOT {r.measure} BETWEEN {r.low} AND {r.high} THEN '{r.name}' END" for r in rules)
     return rf"""
 WITH a AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, t, list_filter(string_split_regex(lower(t), '{WORD_GAP}'), lambda w: w <> '') AS words,
