@@ -145,7 +145,7 @@ def _rules_sql() -> str:
     return f"SELECT page_id, md5({c}) AS repaired, {c} <> html AS changed FROM pages"
 
 
-@query("M I01 I02 I03 R01-R59", _rules_sql())
+@query("M I01 I02 I03 R01-R59 (15 generic rules; the README lists what is left out)", _rules_sql())
 def repair_rules(t, _):
     fixed = repair.repair_documents(t("pages").select("page_id", "url", "html"), "url", "html", tuple(r for r in repair.RULES if "\\1" not in r.pattern))
     return fixed.select("page_id", F.md5("html").alias("repaired"), "changed")
