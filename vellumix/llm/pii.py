@@ -1,17 +1,24 @@
 """Information-theoretic sanitisation of personal data.
 
-Protected entities are e-mail and network addresses, phone, social-security and account numbers, and IBANs. They are always generalised to their
-kind, such as <EMAIL>. Beyond that, corpus co-occurrence tells how strongly a term (a word within NEAR characters of a
-mention) reveals an entity: with p(e) the share of documents that mention entity e, IC(e) = -log2 p(e) is what there is to protect and
-PMI(t; e) = log2 p(t, e) / (p(t) p(e)) what the term gives away. IC(e) - PMI(t; e) = -log2 p(e | t) bits stay hidden. A term
-that leaves at most REMOVE_BITS is removed, one that leaves at most GENERALISE_BITS becomes <NUMBER>, <NAME> or <TERM>, in all
-documents that mention the entity. Pairs need MIN_CONTEXTS different surroundings, so that copies of one text prove nothing. Document
-frequencies of terms are counted over all documents.
+Protected are e-mail and network addresses, phone, social-security and account numbers, and IBANs, each as a value and as what it
+shares with others (an address's domain, a number's leading digits, a network). Mentions are always generalised to their kind,
+such as <EMAIL>. Beyond that, corpus co-occurrence tells how strongly a term (any word of the document outside the mentions) reveals an
+entity. The event space is the document on both sides: p(e) and p(t) are shares of documents, IC(e) = -log2 p(e) is what there is to
+protect, PMI(t; e) = log2 p(t, e) / (p(t) p(e)) what the term gives away, and IC(e) - PMI(t; e) = -log2 p(e | t) bits stay hidden.
+
+p(e | t) is estimated as (k r + PRIOR p(e)) / (k + PRIOR), with r the share of the term's documents that mention the entity and k the number of
+different surroundings among them: a Beta prior of the corpus's own rate in place of a hard minimum, and copies of one text support nothing. A
+term that leaves at most REMOVE_BITS is removed, one that leaves at most GENERALISE_BITS becomes <NUMBER>, <NAME> or <TERM>, in all
+documents that mention the entity. An entity that is no secret, IC(e) <= GENERALISE_BITS, has nothing to protect beyond its mentions.
+
+Cost. Entities mentioned by exactly the same documents are one class. A term of document frequency n can only reach the threshold for a class of n(e)
+documents if n <= n(e) / r_min, where r_min solves the threshold for all k(e) surroundings; all others leave before any pair is made. Nothing that grows with
+the corpus is shipped: the COMMON most frequent terms at most are broadcast, so that no join key is hot, and the rest is joined by term, class and row.
 
 Defined results. Null texts stay null and empty ones empty. Texts of any length are read whole; texts without an entity stay as they
 are, byte for byte. A term exactly at a threshold (a tie) is treated by it; if several entities of a document want a term treated,
-removal wins. Repeated rows count as documents, and a null doc_id is kept. sanitise_columns() keeps all columns, whatever their names; sanitise()
-reads doc_id and text only. An empty table gives an empty result.
+removal wins. Repeated rows count as documents, and a null doc_id is kept. Account numbers and IBANs count whether or not their check digits are right.
+sanitise_columns() keeps all columns, whatever their names; sanitise() reads doc_id and text only. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,39 +30,48 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .common import cut, drop, map_batches, pieces, table, text_of, utf8
 from .words import WordHasher, lower
 
-NEAR, MIN_CONTEXTS, REMOVE_BITS, GENERALISE_BITS = 300, 3, 0.5, 1.5
-PIECE_BYTES, HELD, SHIPPED = 1 << 20, 1 << 21, 1 << 20
+PRIOR, REMOVE_BITS, GENERALISE_BITS = 1.0, 0.5, 1.5
+PIECE_BYTES, HELD, COMMON = 1 << 20, 1 << 21, 1 << 16
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 NUMBERS = re.compile(
-    rf"(?P<IP>(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.[0-9]))"
+    r"(?P<IP6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\w:]))"
+    rf"|(?P<IP>(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.[0-9]))"
     r"|(?P<IBAN>(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<SSN>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<PHONE>(?<!\w)\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-]))"
     r"|(?P<ACCOUNT>(?<!\w)[0-9](?:[ -]?[0-9]){8,18}(?!\w))"
 )
-LOCAL, DOMAIN = re.compile(r"[\w.+%-]+\Z"), re.compile(r"(?:[\w-]+\.)+[\w-]*\w")
-MAYBE = r"@|[0-9]"
+LOCAL, DOMAIN = re.compile(r"[\w.+%-]"), re.compile(r"(?:[\w-]+\.)+[\w-]*\w")
+MAYBE = r"@|[0-9]|::"
 COUNTS = ("n_entities", "n_generalised", "n_removed")
+HELPERS = ("uid", "ctx", "entities", "terms")
+#: So many leading letters and digits of a value are what it shares with others: country and area, bank, issuer, area.
+SHARED = {"PHONE": 5, "IBAN": 8, "ACCOUNT": 6, "SSN": 3}
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of every mention, in order, none within another."""
     out = []
-    at = text.find("@")
+    at, done = text.find("@"), 0
     while at >= 0:
-        left, right = LOCAL.search(text, max(0, at - 64), at), DOMAIN.match(text, at + 1)
-        if left and right:
-            out.append((left.start(), right.end(), "EMAIL"))
-        at = text.find("@", at + 1)
-    out += [(m.start(), m.end(), m.lastgroup) for m in NUMBERS.finditer(text)]
+        if right := DOMAIN.match(text, at + 1):
+            left = at
+            while left > done and LOCAL.match(text, left - 1):
+                left -= 1
+            if left < at:
+                out.append((left, right.end(), "EMAIL"))
+        done = at + 1
+        at = text.find("@", done)
+    out += [(m.start(), m.end(), "IP" if m.lastgroup == "IP6" else m.lastgroup) for m in NUMBERS.finditer(text)]
     out.sort(key=lambda m: (m[0], -m[1]))
     kept, end = [], 0
     for m in out:
@@ -65,167 +81,197 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     return kept
 
 
-def entity_key(text: str, mention: tuple[int, int, str]) -> int:
-    """A signed 64-bit hash of what is mentioned, however it is written."""
+def entity_names(text: str, mention: tuple[int, int, str]) -> tuple[str, str]:
+    """What is mentioned, however it is written, and what it shares with others of its kind."""
     start, end, kind = mention
-    value = text[start:end].lower() if kind in ("EMAIL", "IP") else re.sub(r"\W", "", text[start:end]).upper()
-    return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
+    if kind in ("EMAIL", "IP"):
+        value = text[start:end].lower()
+        shared = value.rpartition("@")[2] if kind == "EMAIL" else ".".join(value.split(".")[:3]) if "." in value else ":".join(value.split(":")[:3])
+    else:
+        value = re.sub(r"\W", "", text[start:end]).upper()
+        shared = value[: SHARED[kind]]
+    return f"{kind}:{value}", f"{kind}*{shared}"
+
+
+def _hash(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
-def _suspects(texts: pa.Array) -> list[tuple[int, str]]:
-    """Position and text of all rows that may mention an entity."""
+def entity_keys(text: str, found: list[tuple[int, int, str]]) -> list[int]:
+    """Signed 64-bit hashes of the entities of a text."""
+    return sorted({_hash(name.encode()) for m in found for name in entity_names(text, m)})
+
+
+def _mentioning(texts: pa.Array) -> list[tuple[int, str, list[tuple[int, int, str]]]]:
+    """Position, text and mentions of all rows that have any."""
     at = np.flatnonzero(pc.match_substring_regex(texts, MAYBE).to_numpy(zero_copy_only=False))
-    return list(zip(at.tolist(), texts.take(pa.array(at)).to_pylist()))
+    rows = ((i, t, entities(t)) for i, t in zip(at.tolist(), texts.take(pa.array(at)).to_pylist()))
+    return [r for r in rows if r[2]]
 
 
-def _term_hashes(texts: list[str], hasher: WordHasher) -> list[np.ndarray]:
-    raw, at = utf8(lower(pa.array(texts, pa.string())))
-    doc, h = hasher(raw, at)
-    return np.split(h, np.searchsorted(doc, np.arange(1, len(texts))))
+def _outside(text: str, found: list[tuple[int, int, str]]) -> str:
+    out, at = [], 0
+    for a, b, _ in found:
+        out.append(text[at:a])
+        at = b
+    return " ".join([*out, text[at:]])
 
 
-def _mention_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = WordHasher()
-    for batch in batches:
-        for part in pieces(batch, PIECE_BYTES):
-            keys, near, ctx, terms = [], [], [], []
-            for _, text in _suspects(text_of(part)):
-                found = entities(text)
-                around: dict[int, list[str]] = {}
-                for k, m in enumerate(found):
-                    left, right = max(0, m[0] - NEAR), min(len(text), m[1] + NEAR)
-                    if left and (gap := re.search(r"\W", text[left : m[0]])):
-                        left += gap.start()  # words are taken whole
-                    if right < len(text) and (gap := re.search(r"\W\w*\Z", text[m[1] : right])):
-                        right = m[1] + gap.start()
-                    side, at = [], left
-                    for a, b, _ in found[max(0, k - NEAR) : k + NEAR]:  # other mentions are no terms
-                        if b > left and a < right:
-                            side.append(text[at : max(a, at)])
-                            at = max(at, b)
-                    side.append(text[at : max(right, at)])
-                    around.setdefault(entity_key(text, m), []).append(" ".join(side))
-                for key, sides in around.items():
-                    keys.append(key)
-                    near.append(" ".join(sides))
-            if near:
-                for h in _term_hashes(near, hasher):
-                    ctx.append(int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True))
-                    terms.append(np.unique(h).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ctx, pa.int64()), pa.array(terms, pa.list_(pa.int64()))], ["entity", "context", "terms"])
-
-
-def mentions(docs: DataFrame) -> DataFrame:
-    """entity, context and the terms around it, once for every document and entity."""
-    rows = docs.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    return rows.mapInArrow(_mention_batches, "entity long, context long, terms array<long>")
+def _plain(batch: pa.RecordBatch, at: int) -> pa.Array:
+    text = batch.column(at)
+    return (text if pa.types.is_string(text.type) else text.cast(pa.string())).fill_null("")
+
 
+def _mark_batches(at: int):
+    """Rows with a mention: all their columns, a number, a hash of what surrounds the mentions, their entities and their terms."""
 
-def _frequency_batches(wanted: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = WordHasher(), [], 0
+        hasher, uid = WordHasher(), TaskContext.get().partitionId() << 33
+        for whole in batches:
+            for batch in pieces(whole, PIECE_BYTES, f"c{at}"):
+                rows = _mentioning(_plain(batch, at))
+                doc, h = hasher(*utf8(lower(pa.array([_outside(t, found) for _, t, found in rows], pa.string()))))
+                words = np.split(h, np.searchsorted(doc, np.arange(1, len(rows)))) if rows else []
+                cols = [
+                    pa.array(np.arange(uid, uid + len(rows))),
+                    pa.array([_hash(w.tobytes()) for w in words], pa.int64()),
+                    pa.array([entity_keys(t, found) for _, t, found in rows], pa.list_(pa.int64())),
+                    pa.array([np.unique(w).view(np.int64) for w in words], pa.list_(pa.int64())),
+                ]
+                uid += len(rows)
+                kept = batch.take(pa.array([r[0] for r in rows], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, *cols], [*batch.schema.names, *HELPERS])
+
+    return run
+
 
-        def merged():
-            h, n = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(h)
-            h, n = h[order], n[order]
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            return h[first], np.add.reduceat(n, first)
+def _rest_batches(at: int, counts: bool):
+    """Rows without a mention, as they are."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, PIECE_BYTES):
-                raw, at = utf8(lower(text_of(part)))
-                doc, h = hasher(raw, at)
-                if wanted is not None:
-                    place = np.searchsorted(wanted, h)
-                    place[place == len(wanted)] = 0
-                    hit = wanted[place] == h
-                    doc, h = doc[hit], h[hit]
-                if not len(h):
-                    continue
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                first = np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))
-                held.append(np.unique(h[first], return_counts=True))
-                size += len(held[-1][0])
-                if size > HELD:
-                    h, n = merged()
-                    held, size = [(h, n)], len(h)
-                    if size > HELD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["term", "n"])
-                        held, size = [], 0
-        if held:
-            h, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["term", "n"])
+            keep = np.ones(batch.num_rows, bool)
+            keep[[i for i, _, _ in _mentioning(_plain(batch, at))]] = False
+            batch = batch.filter(pa.array(keep))
+            zeros = [pa.array(np.zeros(batch.num_rows, np.int32))] * (len(COUNTS) if counts else 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *zeros], [*batch.schema.names, *(COUNTS if counts else ())])
 
     return run
 
 
-def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term and n, the number of documents that have it, for the terms given (and maybe others). Few terms are shipped to skip others early."""
-    few = terms.limit(SHIPPED + 1).toArrow()
-    wanted = np.sort(few["term"].to_numpy().view(np.uint64)) if few.num_rows <= SHIPPED else None
-    if wanted is not None and not len(wanted):
-        return terms.select("term", F.lit(0).cast("long").alias("n"))
-    rows = docs.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    return rows.mapInArrow(_frequency_batches(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+def marked(docs: DataFrame) -> DataFrame:
+    """All rows of docs that mention an entity, as a table: columns c0, c1 and so on, and HELPERS."""
+    at, n = docs.columns.index("text"), len(docs.columns)
+    fields = [StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)]
+    longs = ArrayType(LongType())
+    helpers = [StructField(c, t) for c, t in zip(HELPERS, (LongType(), LongType(), longs, longs))]
+    return cut(docs.toDF(*(f"c{k}" for k in range(n))).mapInArrow(_mark_batches(at), StructType([*fields, *helpers])))
 
 
-def disclosing(docs: DataFrame) -> DataFrame:
-    """entity, term, hidden_bits and whether to remove the term, for all pairs that disclose too much."""
-    found = cut(mentions(docs))
-    several = found.groupBy("entity").agg(F.count_distinct("context").alias("n")).filter(F.col("n") >= MIN_CONTEXTS).select("entity")
-    pairs = found.join(several, "entity").select("entity", "context", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.count_distinct("context").alias("n_contexts"))
-    pairs = cut(pairs.filter(F.col("n_contexts") >= MIN_CONTEXTS))
-    frequency = document_frequency(docs, pairs.select("term").distinct())
-    bits = -F.log2(F.col("n_both") / F.col("n"))
-    out = pairs.join(frequency, "term").select("entity", "term", bits.alias("hidden_bits"))
-    out = cut(out.filter(F.col("hidden_bits") <= GENERALISE_BITS).withColumn("remove", F.col("hidden_bits") <= REMOVE_BITS))
-    drop(found)
-    drop(pairs)
-    return out
+def _frequency_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher, held, size = WordHasher(), [], 0
 
+    def merged():
+        h, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        return h[first], np.add.reduceat(n, first)
 
-class Terms:
-    """Disclosing terms by entity, as sorted arrays."""
+    for batch in batches:
+        for part in pieces(batch, PIECE_BYTES):
+            raw, at = utf8(lower(text_of(part)))
+            doc, h = hasher(raw, at)
+            if not len(h):
+                continue
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            first = np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))
+            held.append(np.unique(h[first], return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD:
+                h, n = merged()
+                held, size = [(h, n)], len(h)
+                if size > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["term", "n"])
+                    held, size = [], 0
+    if held:
+        h, n = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["term", "n"])
+
+
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """term and n, the number of documents that have it, of all terms of the corpus."""
+    rows = docs.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    return rows.mapInArrow(_frequency_batches, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def entity_classes(found: DataFrame, n_docs: int) -> DataFrame:
+    """entity and its class; documents n_e and surroundings k_e of it, and the largest document frequency of a term that can disclose it."""
+    rows = found.select("uid", "ctx", F.explode("entities").alias("entity"))
+    stats = rows.groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct("ctx").alias("k_e"), F.bit_xor(F.xxhash64("uid")).alias("sig"))
+    least = 2.0**-GENERALISE_BITS
+    stats = stats.filter(-F.log2(F.col("n_e") / n_docs) > GENERALISE_BITS)
+    r_min = (least * (F.col("k_e") + PRIOR) - PRIOR * F.col("n_e") / n_docs) / F.col("k_e")
+    same = Window.partitionBy("n_e", "sig")
+    return stats.withColumn("cap", F.floor(F.col("n_e") / r_min + 1e-9)).withColumn("class", F.min("entity").over(same)).drop("sig")
+
+
+def disclosures(found: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of marked rows: entity and class; class, term, hidden_bits and remove of all pairs that disclose too much; and by uid the terms to treat."""
+    n_docs = docs.filter("text IS NOT NULL").count()
+    classes = cut(entity_classes(found, n_docs))
+    frequency = cut(document_frequency(docs))
+    total = frequency.agg(F.sum("n")).first()[0] or 0
+    common = frequency.filter(F.col("n") > total / COMMON)  # fewer than COMMON terms, as their frequencies sum up to at most total
+    of_doc = found.select("uid", F.explode("entities").alias("entity")).join(classes, "entity").select("uid", "class", "n_e", "cap").distinct()
+    of_doc = cut(of_doc)
+    caps = of_doc.groupBy("uid").agg(F.max("cap").alias("cap"))
+    rows = found.select("uid", "ctx", "terms").join(caps, "uid").select("uid", "ctx", "cap", F.explode("terms").alias("term"))
+    known = rows.join(F.broadcast(common), "term")
+    rare = rows.join(F.broadcast(common.select("term")), "term", "left_anti").join(frequency.filter(F.col("n") <= total / COMMON), "term")
+    able = known.unionByName(rare).filter(F.col("n") <= F.col("cap")).drop("cap")
+    able = cut(able.join(of_doc, "uid").filter(F.col("n") <= F.col("cap")).select("uid", "ctx", "class", "n_e", "term", "n"))
+    pairs = able.groupBy("class", "term", "n", "n_e").agg(F.count("*").alias("n_both"), F.count_distinct("ctx").alias("k"))
+    estimate = (F.col("k") * F.least(F.col("n_both") / F.col("n"), F.lit(1.0)) + PRIOR * F.col("n_e") / n_docs) / (F.col("k") + PRIOR)
+    pairs = pairs.select("class", "term", (-F.log2(estimate)).alias("hidden_bits")).filter(F.col("hidden_bits") <= GENERALISE_BITS)
+    pairs = cut(pairs.withColumn("remove", F.col("hidden_bits") <= REMOVE_BITS))
+    treat = able.select("uid", "class", "term").join(pairs, ["class", "term"]).groupBy("uid", "term").agg(F.max("remove").alias("remove"))
+    treat = cut(treat.groupBy("uid").agg(F.collect_list(F.struct("term", "remove")).alias("found")).select("uid", F.col("found.term").alias("treated"), F.col("found.remove").alias("removed")))
+    drop(frequency)
+    drop(of_doc)
+    drop(able)
+    return classes.select("entity", "class"), pairs, treat
 
-    def __init__(self, entity: np.ndarray, term: np.ndarray, remove: np.ndarray) -> None:
-        order = np.lexsort((term, entity))
-        self.entity, self.term, self.remove = entity[order], term[order].view(np.uint64), remove[order]
 
-    def of(self, keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted terms to treat where these entities are mentioned, and whether to remove them."""
-        keys = np.unique(np.array(keys, np.int64))
-        lo, hi = np.searchsorted(self.entity, keys), np.searchsorted(self.entity, keys, side="right")
-        at = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)]) if len(keys) else np.zeros(0, np.int64)
-        at = at[np.lexsort((~self.remove[at], self.term[at]))]
-        first = np.concatenate(([True], self.term[at][1:] != self.term[at][:-1])) if len(at) else np.zeros(0, bool)
-        return self.term[at][first], self.remove[at][first]
+def disclosing(docs: DataFrame) -> DataFrame:
+    """entity, term, hidden_bits and whether to remove the term, for all pairs that disclose too much."""
+    docs = docs.select(F.col("text").cast("string").alias("text"))
+    classes, pairs, _ = disclosures(marked(docs), docs)
+    return classes.join(pairs, "class").drop("class")
 
 
-def clean(text: str, terms: Terms | None, hasher: WordHasher, replace: bool = True) -> tuple[str, int, int, int]:
-    """The text without its entities (if replace) and disclosing terms; how many were replaced, generalised and removed."""
+def clean(text: str, term: np.ndarray, remove: np.ndarray, hasher: WordHasher) -> tuple[str, int, int, int]:
+    """The text without its entities and these terms (hashes); how many were replaced, generalised and removed."""
     found = entities(text)
-    if not found:
-        return text, 0, 0, 0
-    edits = [(a, b, f"<{kind}>") for a, b, kind in found] if replace else []
+    edits = [(a, b, f"<{kind}>") for a, b, kind in found]
     n = [len(edits), 0, 0]
-    term, remove = terms.of([entity_key(text, m) for m in found]) if terms is not None else ((), ())
     if len(term):
+        order = np.argsort(term)
+        term, remove = term[order], remove[order]
         raw, at = utf8(lower(pa.array([text])))
-        start, stop, h = hasher.spans(raw, at)
-        place = np.searchsorted(term, h)
-        place[place == len(term)] = 0
-        hit = np.flatnonzero(term[place] == h)
-        char = np.cumsum((raw & 0xC0) != 0x80) - 1  # the character that each byte belongs to
-        inside = np.zeros(len(text) + 1, bool)
+        inside = np.zeros(len(raw) + 1, np.int32)  # 1: where the text within the mentions goes on
+        byte = np.concatenate((np.flatnonzero((raw & 0xC0) != 0x80), [len(raw)]))  # where each character begins
+        char = np.cumsum((raw & 0xC0) != 0x80) - 1
         for a, b, _ in found:
-            inside[a:b] = True
-        for i in hit:
+            inside[byte[a]] += 1
+            inside[byte[b]] -= 1
+        inside = np.cumsum(inside)
+        bound = np.unique(np.concatenate(([0, len(raw)], *(byte[[a, b]] for a, b, _ in found))))
+        start, stop, h = hasher.spans(raw, bound)  # mentions end words
+        place = np.minimum(np.searchsorted(term, h), len(term) - 1)
+        for i in np.flatnonzero((term[place] == h) & (inside[start] == 0)):
             a, b = int(char[start[i]]), int(char[stop[i] - 1]) + 1
-            if inside[a]:
-                continue
             if remove[place[i]]:
                 edits.append((a, b + (text[b : b + 1] == " "), ""))
                 n[2] += 1
@@ -240,27 +286,24 @@ def clean(text: str, terms: Terms | None, hasher: WordHasher, replace: bool = Tr
     return "".join(out) + text[at:], *n
 
 
-def _clean_batches(terms: Terms | None, at: int, width: int, replace: bool, counts: bool):
+def _clean_batches(at: int, names: list[str], counts: bool):
+    """Marked rows, with the terms to treat in their last two columns, sanitised."""
+    width = len(names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            text = batch.column(at)
-            text = text if pa.types.is_string(text.type) else text.cast(pa.string())
-            cols = batch.columns
-            new, n = {}, np.zeros((3, batch.num_rows), np.int32)
-            if counts and len(cols) > width:  # from the pass before
-                n += np.stack([c.to_numpy() for c in cols[width:]])
-            for i, t in _suspects(text.fill_null("")):
-                done, *k = clean(t, terms, hasher, replace)
-                if sum(k):
-                    new[i] = done
-                    n[:, i] += np.array(k, np.int32)
-            if new:
-                mask = np.zeros(batch.num_rows, bool)
-                mask[list(new)] = True
-                text = pc.replace_with_mask(text, pa.array(mask), pa.array([new[i] for i in sorted(new)], pa.string()))
-            cols = [text if k == at else c for k, c in enumerate(cols[:width])]
-            yield pa.RecordBatch.from_arrays([*cols, *(map(pa.array, n) if counts else ())], [*batch.schema.names[:width], *(COUNTS if counts else ())])
+            term, remove = batch.column(width), batch.column(width + 1)
+            done = []
+            for i, text in enumerate(_plain(batch, at).to_pylist()):
+                some = term[i].values if term[i].is_valid else None
+                hashes = some.to_numpy().view(np.uint64) if some is not None else np.zeros(0, np.uint64)
+                flags = remove[i].values.to_numpy(zero_copy_only=False) if some is not None else np.zeros(0, bool)
+                done.append(clean(text, hashes, flags, hasher))
+            text, *n = zip(*done) if done else ((),) * 4
+            cols = [pa.array(text, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:width])]
+            cols += [pa.array(x, pa.int32()) for x in n] if counts else []
+            yield pa.RecordBatch.from_arrays(cols, [*names, *(COUNTS if counts else ())])
 
     return run
 
@@ -268,20 +311,14 @@ def _clean_batches(terms: Terms | None, at: int, width: int, replace: bool, coun
 def sanitise_columns(docs: DataFrame, counts: bool = False) -> DataFrame:
     """docs with their texts sanitised; with counts, the numbers of replaced entities, generalised and removed terms are added."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    at = docs.columns.index("text")
-    found = disclosing(docs)
-    groups = -(-found.count() // SHIPPED)
-    out = docs
-    for g in range(groups):  # terms first, SHIPPED pairs at a time, for they are found by the entities
-        some = found.filter(F.pmod(F.xxhash64("entity"), F.lit(groups)) == g).toArrow()
-        terms = Terms(some["entity"].to_numpy(), some["term"].to_numpy(), some["remove"].to_numpy(zero_copy_only=False))
-        last = g == groups - 1
-        out = map_batches(out, _clean_batches(terms, at, len(docs.columns), last, counts), _schema(docs, counts))
-    return out if groups else map_batches(out, _clean_batches(None, at, len(docs.columns), True, counts), _schema(docs, counts))
-
-
-def _schema(docs: DataFrame, counts: bool) -> StructType:
-    return StructType([*docs.schema.fields, *(StructField(c, IntegerType()) for c in COUNTS if counts)])
+    names, at = docs.columns, docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, *(StructField(c, IntegerType()) for c in COUNTS if counts)])
+    found = marked(docs)
+    classes, pairs, treat = disclosures(found, docs.select("text"))
+    drop(pairs)
+    rows = found.join(treat, "uid", "left").select(*(f"c{k}" for k in range(len(names))), "treated", "removed")
+    rest = map_batches(docs, _rest_batches(at, counts), schema)
+    return rest.union(rows.mapInArrow(_clean_batches(at, names, counts), schema))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
