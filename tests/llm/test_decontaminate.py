@@ -2,7 +2,10 @@
 
 import random
 import re
+import time
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -70,6 +73,34 @@ def test_scan_equals_brute_force(case):
     assert [h[1:] for h in many] == [h[1:] for t in docs for h in d.scan(pa.array([t[1] or ""]), known, a)]
 
 
+def test_hot_windows_give_the_same(case, monkeypatch):
+    docs, items = case
+    r = random.Random(9)
+    items = [x for x in items if x[0] is not None]
+    items += [(200 + i, "Which of the following is " + " ".join(r.choice(WORDS) for _ in range(r.choice([0, 1, 2, 3, 9])))) for i in range(40)]
+    texts = [t or "" for i, t in docs if i != 104] + [f"so {items[k][1]} then which of the following is {items[k + 1][1]}" for k in range(20, 50)]
+    known, a = d.automaton(items)
+    got = d.scan(pa.array(texts), known, a)
+    for k in (0, 1000):
+        monkeypatch.setattr(d, "HOT", k)
+        known, other = d.windows(items)
+        b = ahocorasick.Automaton()
+        for w, where in other.items():
+            b.add_word(w, (len(w), where))
+        b.make_automaton()
+        assert d.scan(pa.array(texts), known, b) == got
+        assert sorted({h[0] for h in got}) == np.flatnonzero(d.contaminated(pa.array(texts), known, b)).tolist()
+
+
+def test_many_items_of_one_beginning_cost_no_more():
+    items = [(i, f"which of the following is item{i} with answer{i * 7} and more of it") for i in range(100_000)]
+    known, a = d.automaton(items)
+    text = "which of the following is never asked in this text. " * 1600 + items[77_777][1]
+    began = time.process_time()
+    assert [h[1] for h in d.scan(pa.array([text]), known, a)] == [77_777]
+    assert time.process_time() - began < 5
+
+
 def test_hits_and_removal(spark, docs, case):
     rows, items = case
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 from vellumix.llm import htmlcut as h
 
@@ -25,6 +26,28 @@ def test_minimum_cut_equals_all_labellings():
         assert h.minimum_cut(cost, smooth) == smallest(cost, smooth), (cost, smooth)
 
 
+def test_fifty_thousand_disputed_blocks():
+    r = random.Random(3)
+    n = 50_000
+    smooth = {(i, i + 1): 1500 // (1 + i % 3) for i in range(n - 1)} | {(i, i + 3): 400 for i in range(n - 3)}
+    for spread in (300, 1500):
+        cost = [r.randint(-spread, spread) for _ in range(n)]
+        began = time.process_time()
+        side = h.minimum_cut(cost, smooth)
+        assert time.process_time() - began < 30
+        # no single block, and no run of blocks, is better off on the other side
+        at = lambda i: (smooth.get((i - 1, i), 0), smooth.get((i - 3, i), 0), smooth.get((i, i + 1), 0), smooth.get((i, i + 3), 0))
+        for i in r.sample(range(3, n - 3), 3000):
+            other = sum(w * (1 if side[i] == side[j] else -1) for w, j in zip(at(i), (i - 1, i - 3, i + 1, i + 3)))
+            assert other + (cost[i] if side[i] else -cost[i]) >= 0
+    one = h.minimum_cut([700] + [0] * 20_000 + [-600], {(i, i + 1): 1000 for i in range(20_001)})  # one long way
+    assert all(one)
+
+
+def test_quoted_attributes():
+    assert [b[0] for b in h.blocks('<p title="a > b">one</p><p title="x>two</p><p a=\'>\' b=1>three</p>')] == ["one", "two", "three"]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a><li><a href=/c>More</a></ul></nav><!-- x --><div class="ad">Buy now.</div>
 <article><h1>A long way home</h1><p>It was a dark night, and the rain fell on the roofs of the town &amp; the river. Nobody was out.<p>In the morning the sun came out again, and all the people of the town went down to the river to see it.</article>

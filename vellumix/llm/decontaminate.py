@@ -3,7 +3,8 @@
 Normal form: letters in lower case, every run of other characters (punctuation, white space, symbols) one space. The
 automaton holds, of every item, windows of WINDOW words that begin every WINDOW_STEP words, so it has about as many nodes as
 the items have characters, and any passage of WINDOW + WINDOW_STEP - 1 words holds a whole window. Texts are scanned once; each
-hit is extended to both sides as far as text and item agree, and counts if it has at least MIN_WORDS words or is the whole item. Offsets
+hit is extended to both sides as far as text and item agree, and counts if it has at least MIN_WORDS words or is the whole item. Where more than
+HOT items share a window, they are looked up by the MIN_WORDS words around it, so a hit costs the same however many begin alike. Offsets
 are mapped back to characters of the original text.
 
 Defined results. Null and empty texts have no hits, and null or empty items no windows. Items of fewer than WINDOW words
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, pieces, table, text_of, worker_cache
 from .words import lower
 
-MIN_WORDS, WINDOW, WINDOW_STEP = 8, 5, 4
+MIN_WORDS, WINDOW, WINDOW_STEP, HOT = 8, 5, 4, 8
 PIECE_BYTES, GROUP_CHARS = 1 << 20, 20_000_000
 KIND = np.zeros(256, np.uint8)  # 1: part of a word, 2: between texts
 KIND[[*range(48, 58), *range(97, 123), *range(65, 91), *range(128, 256)]] = 1
@@ -64,11 +65,11 @@ class Normal:
         return int(np.count_nonzero((self.raw[self.start[doc] : at] & 0xC0) != 0x80))
 
 
-def windows(items: list[tuple[int, str]]) -> tuple[list[tuple[int, str]], dict[str, list[tuple[int, int]]]]:
-    """Items with their normal forms, and for each window's text the items (by position) and places that have it."""
+def windows(items: list[tuple[int, str]], min_words: int = MIN_WORDS):
+    """Items with their normal forms, and for each window's text the items (by position) and places that have it; for those of more than
+    HOT items by the numbers of words before and behind, and these words with the window, that a hit has at least."""
     known, out = [], {}
-    for item_id, text in items:
-        normal = Normal(pa.array([text or ""], pa.string())).text
+    for (item_id, _), normal in zip(items, Normal(pa.array([text or "" for _, text in items], pa.string())).text.split("\0")):
         normal = f" {normal.strip()} "
         gap = [i for i, c in enumerate(normal) if c == " "]
         n = len(gap) - 1
@@ -77,17 +78,52 @@ def windows(items: list[tuple[int, str]]) -> tuple[list[tuple[int, str]], dict[s
         known.append((item_id, normal))
         for w in {*range(0, n - WINDOW + 1, WINDOW_STEP), n - WINDOW}:
             out.setdefault(normal[gap[w] : gap[w + WINDOW] + 1], []).append((len(known) - 1, gap[w]))
+    for window, where in out.items():
+        if len(where) > HOT:
+            out[window] = _by_words(known, where, window, min_words)
     return known, out
 
 
-def automaton(items: list[tuple[int, str]]):
+def _by_words(known: list[tuple[int, str]], where: list[tuple[int, int]], window: str, min_words: int) -> dict[tuple[int, int], dict[str, list[tuple[int, int]]]]:
+    out: dict[tuple[int, int], dict[str, list[tuple[int, int]]]] = {}
+    for item, place in where:
+        text = known[item][1]
+        end = place + len(window) - 1
+        before, behind = text.count(" ", 0, place), text.count(" ", end + 1)
+        more = max(0, min(min_words, before + WINDOW + behind) - WINDOW)
+        begins, ends = [place], [end]
+        for _ in range(min(more, before)):
+            begins.append(text.rindex(" ", 0, begins[-1]))
+        for _ in range(min(more, behind)):
+            ends.append(text.index(" ", ends[-1] + 1))
+        for left in range(max(0, more - behind), min(more, before) + 1):
+            passage = text[begins[left] : ends[more - left] + 1]
+            out.setdefault((left, more - left), {}).setdefault(passage, []).append((item, place))
+    return out
+
+
+def _around(s: str, begin: int, end: int, where) -> list[tuple[int, int]]:
+    """The items of a hot window that agree with the text for as many words as a hit needs."""
+    out = []
+    for (left, right), found in where.items():
+        i, e = begin, end
+        for _ in range(left):
+            i = s.rfind(" ", 0, i) if i > 0 else -1
+        for _ in range(right):
+            e = s.find(" ", e + 1) if e >= 0 else -1
+        if i >= 0 and e >= 0:
+            out += found.get(s[i : e + 1], ())
+    return out
+
+
+def automaton(items: list[tuple[int, str]], min_words: int = MIN_WORDS):
     """The items' normal forms and the automaton, once per Python worker."""
     import ahocorasick
 
-    key = "aho", hashlib.sha256(repr(items).encode()).digest()
+    key = "aho", min_words, hashlib.sha256(repr(items).encode()).digest()
     cache = worker_cache()
     if key not in cache:
-        known, found = windows(items)
+        known, found = windows(items, min_words)
         a = ahocorasick.Automaton()
         for text, where in found.items():
             a.add_word(text, (len(text), where))
@@ -96,17 +132,14 @@ def automaton(items: list[tuple[int, str]]):
     return cache[key]
 
 
-def scan(texts: pa.Array, known: list[tuple[int, str]], a, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int, int]]:
-    """Position of the text, item_id, start, end and number of words of every hit."""
-    if not known or not len(texts):
-        return []
-    normal = Normal(texts)
-    s = normal.text
-    spans: dict[tuple[int, int], tuple[int, int]] = {}
+def _extended(s: str, known: list[tuple[int, str]], a, min_words: int, skip=None) -> Iterator[tuple[int, int, int]]:
+    """Item (by position), begin and end of every hit; hits that begin at places of which skip() is true are left out."""
     reached: dict[tuple[int, int], int] = {}
     for end, (length, where) in a.iter(s):
-        for item, place in where:
-            begin = end - length + 1
+        begin = end - length + 1
+        if skip is not None and skip(begin):
+            continue
+        for item, place in where if isinstance(where, list) else _around(s, begin, end, where):
             if reached.get((item, begin - place), -1) > end:
                 continue  # within what an earlier window of this alignment was extended to
             text = known[item][1]
@@ -119,10 +152,23 @@ def scan(texts: pa.Array, known: list[tuple[int, str]], a, min_words: int = MIN_
             reached[item, begin - place] = e
             i, e = s.index(" ", i), s.rindex(" ", 0, e + 1)
             if s.count(" ", i, e) >= min(min_words, text.count(" ") - 1):
-                spans[item, i] = max(spans.get((item, i), (0, 0)), (e, item))
+                yield item, i, e
+                if skip is not None and skip(begin, True):
+                    break
+
+
+def scan(texts: pa.Array, known: list[tuple[int, str]], a, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int, int]]:
+    """Position of the text, item_id, start, end and number of words of every hit."""
+    if not known or not len(texts):
+        return []
+    normal = Normal(texts)
+    s = normal.text
+    spans: dict[tuple[int, int], int] = {}
+    for item, i, e in _extended(s, known, a, min_words):
+        spans[item, i] = max(spans.get((item, i), 0), e)
     out = []
     merged: list[list[int]] = []
-    for (item, i), (e, _) in sorted(spans.items()):
+    for (item, i), e in sorted(spans.items()):
         if merged and merged[-1][0] == item and i <= merged[-1][2]:
             merged[-1][2] = max(merged[-1][2], e)
         else:
@@ -134,6 +180,22 @@ def scan(texts: pa.Array, known: list[tuple[int, str]], a, min_words: int = MIN_
     return sorted(out)
 
 
+def contaminated(texts: pa.Array, known: list[tuple[int, str]], a, min_words: int = MIN_WORDS) -> np.ndarray:
+    """Whether each text has a hit; a text is left at its first."""
+    out = np.zeros(len(texts), bool)
+    if known and len(texts):
+        normal = Normal(texts)
+
+        def skip(begin: int, found: bool = False) -> bool:
+            doc = normal.doc(begin + 1)
+            out[doc] |= found
+            return bool(out[doc])
+
+        for _ in _extended(normal.text, known, a, min_words, skip):
+            pass
+    return out
+
+
 def _groups(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     """The items, in as many automata as memory asks for: one up to GROUP_CHARS characters."""
     out, size = [[]], 0
@@ -148,7 +210,7 @@ def _groups(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
 
 def _hit_batches(items: list[tuple[int, str]], min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, a = automaton(items)
+        known, a = automaton(items, min_words)
         for batch in batches:
             for part in pieces(batch, PIECE_BYTES):
                 hits = scan(text_of(part), known, a, min_words)
@@ -171,14 +233,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> D
 
 def _clean_batches(items: list[tuple[int, str]], at: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, a = automaton(items)
+        known, a = automaton(items, min_words)
         for batch in batches:
             text = batch.column(at)
             text = (text if pa.types.is_string(text.type) else text.cast(pa.string())).fill_null("")
             start, clean = 0, np.ones(batch.num_rows, bool)
             for part in pieces(pa.RecordBatch.from_arrays([text], ["text"]), PIECE_BYTES):
-                for h in scan(part.column(0), known, a, min_words):
-                    clean[start + h[0]] = False
+                clean[start : start + part.num_rows] = ~contaminated(part.column(0), known, a, min_words)
                 start += part.num_rows
             yield batch.filter(pa.array(clean))
 
