@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,3 +31,9 @@ def drop(df: DataFrame) -> None:
     jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
     path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more: it does so when the driver's JVM collects its garbage, which in a long loop is late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
