@@ -43,23 +43,53 @@ def test_long_sequences_do_not_underflow():
     assert abs(hmm.Sweep(sym, np.array([30_000]), model).log_likelihood()[0] / 30_000 - math.log(0.02)) < 0.2
 
 
-def test_each_step_raises_the_likelihood(spark, docs):
+def turns():
     r = np.random.default_rng(3)
     words = [["sun", "moon", "star"], ["runs", "sits", "falls"]]
-    text = [". ".join(" ".join(words[(i + k) % 2][r.integers(3)] for i in range(6)) for k in range(r.integers(1, 5))) for _ in range(80)]
+    return [". ".join(" ".join(words[(i + k) % 2][r.integers(3)] for i in range(6)) for k in range(r.integers(1, 5))) for _ in range(80)]
+
+
+def test_each_step_raises_the_likelihood(docs, monkeypatch):
+    monkeypatch.setattr(hmm, "SAMPLE_STEPS", 0)
+    monkeypatch.setattr(hmm, "SAMPLE_WORDS", 60)  # a start from which there is something to learn
+    text = turns()
     df = docs(list(enumerate(text))).repartition(3)
-    vocab, n, total = hmm.frequent(hmm.word_counts(df))
-    assert len(vocab) == 6 and total == sum(len(t.replace(".", "").split()) for t in text)
-    coded = hmm.symbols(df, vocab).cache()
-    shares = np.concatenate((n, np.full(hmm.CLASSES, 1e-3)))
-    shares = shares / shares.sum()
-    model, seen = hmm.start_model(shares, 2), []
-    for _ in range(12):
-        first, pairs, emitted, ll = hmm.estimate(coded, model, np.uint16)
-        assert math.isclose(emitted.sum(), total) and math.isclose(first.sum(), sum(len(t.split(". ")) for t in text))
-        model = hmm.next_model(first, pairs, emitted, shares)
-        seen.append(ll)
-    assert all(b >= a - 1e-6 * abs(a) for a, b in zip(seen, seen[1:])) and seen[-1] > seen[0] + 10
+    total = sum(len(t.replace(".", "").split()) for t in text)
+    model = hmm.train(df, hmm.blocks(df), 2, 1e-5)
+    seen = [g * total * math.log(2) for g in model.gains]
+    assert all(b >= a - 1e-4 * abs(a) for a, b in zip(seen, seen[1:])) and seen[-1] > seen[0] + 10, seen
+    assert math.isclose(model.occupied.sum(), total + hmm.PRIOR * 2 + hmm.WORD_PRIOR * 6, rel_tol=1e-4) and model.words.count() == 1
+
+
+def test_a_distributed_step_equals_one_over_all_sentences(docs, monkeypatch):
+    """From the same model, counts by blocks and buckets are those of a sweep on one machine, in the precision in which they travel."""
+    for name, k in (("BLOCK_WORDS", 300), ("CHUNK_WORDS", 64), ("COUNT_WORDS", 100), ("BUCKET_WORDS", 2)):
+        monkeypatch.setattr(hmm, name, k)
+    text = turns() + ["sun runs moon", "", None, "star " * 500]
+    df = docs(list(enumerate(text))).repartition(3)
+    coded = hmm.blocks(df)
+    model = hmm.train(df, coded, 2, 1e9)  # two steps
+    sents = [x.split() for t in text if t for x in t.split(". ")]
+    names = sorted({w for x in sents for w in x})
+    sym = np.array([names.index(w) for x in sents for w in x])
+    hashes = hmm._words(hmm.pa.array(names), hmm.WordHasher())[1]
+    rows = model.words.collect()
+    c = dict(zip(np.concatenate([np.frombuffer(r.h, np.uint64) for r in rows]).tolist(), np.concatenate([np.frombuffer(r.c, np.float64).reshape(-1, 2) for r in rows])))
+    emission = np.array([c[h] for h in hashes.tolist()]) / model.occupied
+    sweep = hmm.Sweep(sym, np.array([len(x) for x in sents]), hmm.Model(model.initial, model.transition, emission))
+    found = hmm.emissions(coded, model, False).groupBy("block").cogroup(coded.select("block", "vocab", "place", "symbols", "alive", "steps").groupBy("block"))
+    found = found.applyInArrow(hmm._count_block(model.initial, model.transition, model.occupied, model.bits), "bucket int, h binary, c binary, sums array<double>").collect()
+    got = {}
+    for r in found:
+        for h, x in zip(np.frombuffer(r.h, np.uint64).tolist(), hmm._unpacked(r.c, 2)):
+            got[h] = got.get(h, 0) + x
+    first, pairs, emitted = sweep.counts()
+    assert np.allclose([got[h] for h in hashes.tolist()], emitted, rtol=5e-3, atol=5e-2)
+    sums = np.sum([r.sums for r in found if r.sums], axis=0)
+    assert np.allclose(sums[:2], first, rtol=5e-3, atol=5e-2) and np.allclose(sums[2:6].reshape(2, 2), pairs, rtol=5e-3, atol=5e-2)
+    assert math.isclose(sums[6], sweep.log_likelihood().sum(), rel_tol=1e-4)
+    want = sum(sweep.log_likelihood())
+    assert math.isclose(hmm.score_blocks(coded, model).agg({"log_likelihood": "sum"}).first()[0], want, rel_tol=1e-5)
 
 
 def test_scores_of_cases(docs):

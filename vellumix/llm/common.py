@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..sources.shared import cut, drop, shared_folder
+from ..sources.shared import cut, drop, shared_folder, tidy
 
-__all__ = ["cut", "drop", "free_name", "map_batches", "pieces", "shared_folder", "table", "text_of", "utf8", "worker_cache"]
+__all__ = ["cut", "drop", "free_name", "map_batches", "pieces", "shared_folder", "table", "text_of", "tidy", "utf8", "worker_cache"]
 
 
 PIECE_ROWS = 1 << 15
