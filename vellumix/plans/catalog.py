@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import constructs, lookups, markup, references, scans, sequences, texts, trees  # noqa: F401
+from . import constructs, damage, lookups, markup, office, references, scans, sequences, texts, trees  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -62,7 +62,7 @@ def transform(spark: SparkSession, folder: str, target: str | None = None) -> Da
 def fix(spark: SparkSession, folder: str, day: str, authors: str = "") -> DataFrame:
     """name, content and changed of every document after the rules, dates and authors put in where they lack, and links flattened."""
     docs = documents(spark, folder)
-    out = repair.repair_documents(docs.select("doc_id", "name", F.col("content").alias("before"), "content"), "name", "content").drop("changed")
+    out = repair.repair_documents(docs.select("doc_id", "name", F.col("content").alias("before"), "content"), "name", "content", repair.BOTH).drop("changed")
     c = repair.inject_after(F.col("content"), "abstract", f"<pubdate>{day}</pubdate><date>{day}</date>", "<pubdate>")
     if authors:
         c = repair.inject_after(c, "pubdate", f"<authorgroup>{authors}</authorgroup>", "<authorgroup>")
