@@ -24,27 +24,57 @@ def folder(tmp_path):
     return d
 
 
-def test_transform_there_and_back(spark, folder, tmp_path):
-    cli.main(["transform", "--to", "article", "-i", str(folder), "-o", str(tmp_path / "out")], spark)
-    made = {r.out_path: r.value for r in spark.read.option("wholetext", True).text(str(tmp_path / "out")).collect()}
-    assert set(made) == {"one_article.xml", "two_article.xml", "index_article.xml", "bad_article.xml"}
+def names(folder):
+    return sorted(p.name for p in folder.iterdir())
+
+
+def test_transform_there_and_back(spark, folder, tmp_path, capsys):
+    out = tmp_path / "out"
+    cli.main(["transform", "--to", "article", "-i", str(folder), "-o", str(out)], spark)
+    assert names(out) == ["bad_article.xml", "index_article.xml", "one_article.xml", "two_article.xml"]
+    assert "empty: empty" in capsys.readouterr().err
     back = tmp_path / "articles"
     back.mkdir()
-    (back / "two.xml").write_text(made["two_article.xml"])
+    (back / "two.xml").write_text((out / "two_article.xml").read_text())
     got = {r.out_path: r.content for r in W.transform(spark, str(back), "docbook").collect()}
     assert "<section><anchor xml:id=\"s\"></anchor><title>S</title><para>x</para></section>" in got["two_db.xml"]
-    files = W.transform(spark, str(folder)).collect()
-    assert {f.out_path for f in files} == {"one.docx", "two.docx", "index.docx", "bad.docx"} and all(f.file[:2] == b"PK" for f in files)
-    words = tmp_path / "words"
-    words.mkdir()
-    for f in files:
-        (words / f.out_path).write_bytes(f.file)
-    got = {r.out_path: r.content for r in W.transform(spark, str(words), "docbook").collect()}
-    assert set(got) == {"one.xml", "two.xml", "index.xml"} and "<section><title>S</title><para>x</para></section>" in got["two.xml"]
     with pytest.raises(ValueError):
         W.transform(spark, str(folder), "odt")
 
 
+def test_transform_without_a_target_drops_nothing(spark, folder, tmp_path, capsys):
+    (folder / "art.xml").write_text('<document><entete><titre>A</titre></entete><section><title>S</title><paragraph>p</paragraph></section></document>')
+    (folder / "odd.xml").write_text("<svg/>")
+    out, words = tmp_path / "out", tmp_path / "words"
+    cli.main(["transform", "-i", str(folder), "-o", str(out)], spark)
+    assert names(out) == ["art_db.xml", "bad.docx", "index.docx", "one.docx", "two.docx"]
+    err = capsys.readouterr().err
+    assert "empty: empty" in err and "odd: format_not_recognised" in err
+    cli.main(["transform", "-i", str(out), "-o", str(words)], spark)  # and back
+    assert names(words) == ["art_db.docx", "bad.xml", "index.xml", "one.xml", "two.xml"]
+    assert "<section><title>S</title><para>x</para></section>" in (words / "two.xml").read_text()
+
+
+def test_merge_writes_files(spark, folder, tmp_path, capsys):
+    new = tmp_path / "new"
+    new.mkdir()
+    (new / "one.xml").write_text(f"{HEAD}<info><title>Proofread</title></info></article>")
+    (new / "three.xml").write_text(page("Three"))
+    cli.main(["merge", "--with", str(new), "--type", "after_proofreading", "-i", str(folder), "-o", str(tmp_path / "m")], spark)
+    assert names(tmp_path / "m") == ["one.xml"] and "<title>Proofread</title><abstract>" in (tmp_path / "m" / "one.xml").read_text()
+    err = capsys.readouterr().err
+    assert "three.xml: original_lacks" in err and "two.xml: altered_lacks" in err
+
+
+def test_members(spark, tmp_path):
+    a, b = tmp_path / "a", tmp_path / "b"
+    a.mkdir(), b.mkdir()
+    (a / "c.xml").write_text(f"{HEAD}<classsynopsis/><fieldsynopsis><varname>size</varname></fieldsynopsis><fieldsynopsis><varname>own</varname></fieldsynopsis></article>")
+    (b / "c.html").write_text('<h2 id="properties">P</h2><ul><li><b><a href="#s">size</a></b></li></ul>')
+    got = W.members_of(spark, str(a), str(b)).collect()
+    assert [(r.name, r.check, r.only_docbook, r.only_html) for r in got] == [("c", "properties", "own", "")]
+
+
 def test_fix_twice(spark, folder):
     got = {r.name: r for r in W.fix(spark, str(folder), "2024-01-01", "<author/>").collect()}
     assert "<pubdate>2024-01-01</pubdate><authorgroup><author/></authorgroup><date>" in got["one"].content and "&quot;" in got["one"].content

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, mapping, merge, reconcile, repair
-from ..sources import markup, word
+from ..operators import checks, mapping, merge, reconcile, repair, revise
+from ..sources import markup, members, office
 
 DOCBOOK, ARTICLE, WORD = "docbook", "article", "word"
 MARKS = {DOCBOOK: "http://docbook.org/ns/docbook", ARTICLE: "<document"}
@@ -36,29 +36,56 @@ def out_name(name: Column, source: str, target: str) -> Column:
     return F.concat(name, F.lit({ARTICLE: "_article", DOCBOOK: "_db"}.get(target, "") if same else ""), F.lit(f".{EXTENSION[target]}"))
 
 
+def _in_docbook(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """Articles and word-processing files in DocBook."""
+    some = docs.filter(F.col("fmt") == ARTICLE)
+    xml = mapping.to_docbook(markup.shredded(some, "doc_id", "content"))
+    texts = some.select("doc_id", out_name(F.col("name"), ARTICLE, DOCBOOK).alias("out_path")).join(xml, "doc_id").select("out_path", F.col("xml").alias("content"))
+    read = office.from_word(files, "doc_id", "file").filter("xml IS NOT NULL")
+    return texts.unionByName(files.select("doc_id", out_name(F.col("name"), WORD, DOCBOOK).alias("out_path")).join(read, "doc_id").select("out_path", F.col("xml").alias("content")))
+
+
+def _in_word(docs: DataFrame) -> DataFrame:
+    some = docs.filter(F.col("fmt") == DOCBOOK)
+    made = office.to_word(some, "doc_id", "content").filter("file IS NOT NULL")
+    return some.select("doc_id", out_name(F.col("name"), DOCBOOK, WORD).alias("out_path")).join(made, "doc_id").select("out_path", "file")
+
+
 def transform(spark: SparkSession, folder: str, target: str | None = None) -> DataFrame:
     """out_path and content (text) or file (bytes) of every document of a folder in the target format.
 
-    Without a target, DocBook becomes word-processing files and all else becomes DocBook."""
+    Without a target, DocBook becomes word-processing files and all else becomes DocBook. What can't be is told by problems()."""
     docs = documents(spark, folder)
     if target == ARTICLE:
         some = docs.filter(F.col("fmt") == DOCBOOK)
         xml = mapping.to_article(markup.shredded(some, "doc_id", "content"))
         return some.select("doc_id", out_name(F.col("name"), DOCBOOK, ARTICLE).alias("out_path")).join(xml, "doc_id").select("out_path", F.col("xml").alias("content"))
     if target == DOCBOOK:
-        some = docs.filter(F.col("fmt") == ARTICLE)
-        xml = mapping.to_docbook(markup.shredded(some, "doc_id", "content"))
-        texts = some.select("doc_id", out_name(F.col("name"), ARTICLE, DOCBOOK).alias("out_path")).join(xml, "doc_id")
-        files = word_documents(spark, folder)
-        read = word.to_docbook(word.read(files, "doc_id", "file"))
-        return texts.unionByName(files.select("doc_id", out_name(F.col("name"), WORD, DOCBOOK).alias("out_path")).join(read, "doc_id")).select("out_path", F.col("xml").alias("content"))
-    if target in (WORD, None):
-        some = docs.filter(F.col("fmt") == DOCBOOK)
-        made = word.write(word.paragraphs_of(markup.shredded(some, "doc_id", "content")))
-        return some.select("doc_id", out_name(F.col("name"), DOCBOOK, WORD).alias("out_path")).join(made, "doc_id").select("out_path", "file")
+        return _in_docbook(docs, word_documents(spark, folder))
+    if target == WORD:
+        return _in_word(docs)
+    if target is None:
+        text, nothing = _in_docbook(docs, word_documents(spark, folder)), F.lit(None)
+        return text.withColumn("file", nothing.cast("binary")).unionByName(_in_word(docs).withColumn("content", nothing.cast("string")))
     raise ValueError(f"no such format: {target}")
 
 
+def problems(spark: SparkSession, folder: str, target: str | None = None) -> DataFrame:
+    """name and problem of every document of a folder that a transformation leaves out, or of which it leaves something out."""
+    docs, files = documents(spark, folder), word_documents(spark, folder)
+    takes = {ARTICLE: (DOCBOOK,), DOCBOOK: (ARTICLE,), WORD: (DOCBOOK,), None: (DOCBOOK, ARTICLE)}[target]
+    why = F.when(F.length("content") == 0, "empty").when(F.col("fmt") == "other", "format_not_recognised").otherwise(F.concat(F.lit("format_not_taken:"), "fmt"))
+    out = docs.filter(~F.col("fmt").isin(*takes) | (F.length("content") == 0)).select("name", why.alias("problem"))
+    told = []
+    if target in (WORD, None):
+        told.append(office.to_word(docs.filter(F.col("fmt") == DOCBOOK), "doc_id", "content").join(docs.select("doc_id", "name"), "doc_id"))
+    if target in (DOCBOOK, None):
+        told.append(office.from_word(files, "doc_id", "file").join(files.select("doc_id", "name"), "doc_id"))
+    for df in told:
+        out = out.unionByName(df.select("name", F.explode("problems").alias("problem")))
+    return out
+
+
 def fix(spark: SparkSession, folder: str, day: str, authors: str = "") -> DataFrame:
     """name, content and changed of every document after the rules, dates and authors put in where they lack, and links flattened."""
     docs = documents(spark, folder)
@@ -99,6 +126,21 @@ def consistency(spark: SparkSession, docbook: str, html: str, local: str = "link
     return pages.join(sets, "name", "left")
 
 
+def members_of(spark: SparkSession, docbook: str, html: str) -> DataFrame:
+    """name, check and the members that either side lacks, of the pages of classes in two folders."""
+    a, b = documents(spark, docbook), markup.read_folder(spark, html, "html")
+    ident = F.xxhash64("name").alias("doc_id")
+    sides = (members.members(a.select(ident, "content"), "doc_id", "content", "docbook"), members.members(b.select(ident, "content"), "doc_id", "content", "html"))
+    return members.compare_members(*sides).join(a.select(ident, "name"), "doc_id").drop("doc_id")
+
+
+def merged(spark: SparkSession, original: str, altered: str, kind: str) -> DataFrame:
+    """out_path, content and problems of every document of either folder, merged with the one of the same name in the other."""
+    a, b = (documents(spark, x).select("name", F.col("content").alias(c)) for x, c in ((original, "o"), (altered, "n")))
+    out = revise.merge_documents(a.join(b, "name", "full"), "name", "o", "n", kind)
+    return out.select(F.concat("name", F.lit(".xml")).alias("out_path"), "content", "problems")
+
+
 def revisions(spark: SparkSession, old: str, new: str) -> DataFrame:
     """name, section and flag (added, deleted, changed, same) of every section of two versions of a folder; sections are known by their id, else by their place."""
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
-from urllib.parse import unquote
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -170,9 +169,9 @@ def read_folder(spark: SparkSession, folder: str, ext: str = "xml", depth: int |
     plain = lambda path: F.regexp_replace(path, "^[a-z]+:/*", "/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", depth != 1).option("pathGlobFilter", f"*.{ext}").load(folder)
     df = files.select(plain("path").alias("path"), F.decode("content", "UTF-8").alias("content"))
-    # scans skip files of no length: they come from Spark's own listing, by their names alone
-    listed = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string").select(plain("path").alias("path"))
-    df = df.unionByName(listed.join(files.select(plain("path").alias("path")), "path", "left_anti").withColumn("content", F.lit("")))
+    # scans skip files of no length
+    empty = listing(spark, folder, ext, depth != 1).filter("size = 0").select(plain("path").alias("path"), F.lit("").alias("content"))
+    df = df.unionByName(empty)
     name = F.substring_index("path", "/", -1)
     df = df.select("path", F.regexp_replace(name, "[.][^.]+$", "").alias("name"), F.lit(ext).alias("ext"), "content").filter(~F.col("name").startswith("search-results"))
     if depth not in (None, 1):
@@ -181,6 +180,46 @@ def read_folder(spark: SparkSession, folder: str, ext: str = "xml", depth: int |
     return df
 
 
-def write_documents(docs: DataFrame, folder: str, key: str = "out_path", content: str = "content") -> None:
-    """One text file per row below one folder per output path; rows with the same path share its folder."""
-    docs.select(F.col(content).alias("value"), F.col(key)).write.mode("overwrite").partitionBy(key).text(folder)
+def _filesystem(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
+def listing(spark: SparkSession, folder: str, ext: str, deep: bool = False) -> DataFrame:
+    """path and size of the files with an extension; a task lists them, so their names don't go through the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for _ in batches:
+            system, base = _filesystem(folder)
+            found = [f for f in system.get_file_info(fs.FileSelector(base, recursive=deep)) if f.type == fs.FileType.File and f.path.endswith(f".{ext}") and not f.base_name.startswith((".", "_"))]
+            yield pa.RecordBatch.from_arrays([pa.array([f.path for f in found], pa.string()), pa.array([f.size for f in found], pa.int64())], ["path", "size"])
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, "path string, size long")
+
+
+def write_files(docs: DataFrame, folder: str) -> int:
+    """Each row of out_path and content (text) or file (bytes) becomes that file below a folder that all executors share; returns how many.
+
+    A file that is there is replaced, so a task that runs again does no harm. Rows of one path replace each other; rows without content are left out."""
+    texts, files = ("content" in docs.columns), ("file" in docs.columns)
+    rows = docs.select("out_path", F.col("content").cast("string") if texts else F.lit(None).cast("string").alias("content"), F.col("file") if files else F.lit(None).cast("binary").alias("file"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _filesystem(folder)
+        done = 0
+        for batch in batches:
+            for name, text, data in zip(*(c.to_pylist() for c in batch.columns)):
+                data = data if data is not None else None if text is None else text.encode()
+                if data is None or name is None or ".." in name.split("/"):
+                    continue
+                path = f"{base.rstrip('/')}/{name.lstrip('/')}"
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(path) as out:
+                    out.write(data)
+                done += 1
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
+
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
