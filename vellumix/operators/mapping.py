@@ -74,7 +74,10 @@ def section_numbers(nodes: DataFrame, names: list[str] = SECTIONS) -> DataFrame:
 
 def apply_rules(nodes: DataFrame, rules: list[Rule], dropped: list[str] = (), around: tuple[Column, Column] | None = None) -> DataFrame:
     """doc_id and xml of every document. `around`: what stands outside of a node's own opening and closing. Elements in `dropped` go with all below them; elements without a rule leave their content."""
-    if dropped:
+    told = "gone" in nodes.columns  # by sources.context
+    if told:
+        nodes = nodes.filter("NOT gone")
+    elif dropped:
         gone = F.col("local").isin(list(dropped))
         nodes = tree.inside(nodes, gone).filter(~F.col("inside") & ~gone).drop("inside")
     opening = closing = None
@@ -233,7 +236,10 @@ DROPPED = [*SYNOPSES, "tfoot", "extendedlink", "bibliorelation", "remark"]
 
 
 def to_article(nodes: DataFrame) -> DataFrame:
-    """doc_id and xml of DocBook nodes in the article markup."""
+    """doc_id and xml of DocBook nodes in the article markup. Nodes that sources.context made need one exchange, others some twenty."""
+    if "gone" in nodes.columns:
+        lead = (F.when(F.col("opens"), F.lit('<section noNumber="1">')).otherwise(F.lit("")), F.when(F.col("closes"), F.lit("</section>")).otherwise(F.lit("")))
+        return apply_rules(nodes, article_rules(), DROPPED, around=(F.concat("around_open", lead[0]), F.concat(lead[1], "around_close")))
     rows = context(nodes).join(section_numbers(nodes), ["doc_id", "pre"], "left")
     ident = F.col("attrs")["xml:id"]
     titles = nodes.filter("local = 'title'").select("doc_id", F.col("parent").alias("pre"), F.col("pre").alias("title_pre"))
@@ -252,7 +258,7 @@ def to_article(nodes: DataFrame) -> DataFrame:
 
 def to_docbook(nodes: DataFrame) -> DataFrame:
     """doc_id and xml of article-markup nodes in DocBook; br ends a footnote's paragraph and goes elsewhere."""
-    rows = context(nodes)
+    rows = nodes if "gone" in nodes.columns else context(nodes)
     return apply_rules(rows, [*docbook_rules(), Rule(("br",), "</para><para>", "", F.col("parent_local") == "noteBasPage")])
 
 
@@ -261,8 +267,10 @@ HTML = [
     Rule(("li",), "<element>", "</element>"), Rule(("b",), "<b>", "</b>"), Rule(("article",), "<section>", "</section>"),
 ]
 
+HTML_DROPPED = ["script", "style", "nav", "footer", "meta"]
+
 
 def html_to_article(nodes: DataFrame) -> DataFrame:
     """doc_id and xml of HTML nodes in the article markup; links keep their targets."""
     rules = [*HTML, Rule(("a",), tag("link", href=attr("href")), "</link>")]
-    return apply_rules(nodes, rules, ["script", "style", "nav", "footer", "meta"])
+    return apply_rules(nodes, rules, HTML_DROPPED)

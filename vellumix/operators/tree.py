@@ -92,7 +92,7 @@ def numbering(nodes: DataFrame, levels: list[str], formats: list) -> DataFrame:
 
 def serialise(nodes: DataFrame, opening: Column, closing: Column) -> DataFrame:
     """doc_id and xml: every node's opening at its beginning and closing at its end, text between; one group per document."""
-    end = F.max("pre").over(Window.partitionBy("doc_id").orderBy("post").rowsBetween(Window.unboundedPreceding, 0))  # the last node within
+    end = F.col("last") if "last" in nodes.columns else F.max("pre").over(Window.partitionBy("doc_id").orderBy("post").rowsBetween(Window.unboundedPreceding, 0))  # the last node within
     rows = nodes.withColumn("__end", F.greatest(end, "pre"))
     # tokens: an opening or a text at (pre, 0), a closing at (last node within, 1, deepest first)
     first = F.struct(F.col("pre").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), F.when(F.col("kind") == "elem", opening).otherwise(F.coalesce("text", F.lit(""))).alias("tok"))

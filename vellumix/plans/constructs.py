@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import articles, mapping
-from ..sources import markup, word
+from ..sources import context, markup, word
 from .registry import query
 
 HEAD = '<article xmlns="http://docbook.org/ns/docbook" xmlns:xlink="http://www.w3.org/1999/xlink" version="5.2">'
@@ -62,13 +62,13 @@ def _sql(text: str) -> str:
 @query("N04 N19 N20 N22 N24 N25 N26 N27 N28 N29 N30 N31 N32 N33 N34 N36", f"SELECT p_partkey AS doc_id, {_sql('<document><section noNumber=\"1\">' + ''.join(b for _, b in THERE) + '</section><section id=\"I\"><title>X</title></section></document>')} AS xml FROM part")
 def constructs_there(t, _):
     docs = t("part").select("p_partkey", _fill(HEAD + "".join(a for a, _ in THERE) + "<section><title>X</title></section></article>").alias("content"))
-    return mapping.to_article(markup.shredded(docs, "p_partkey", "content"))
+    return mapping.to_article(context.in_context(docs, "p_partkey", "content", dropped=mapping.DROPPED))
 
 
 @query("O05 O06 O07 O08 O09 O10 O11 O12 O13 O14", f"SELECT p_partkey AS doc_id, {_sql(HEAD + ''.join(b for _, b in BACK) + '</article>')} AS xml FROM part")
 def constructs_back(t, _):
     docs = t("part").select("p_partkey", _fill("<document>" + "".join(a for a, _ in BACK) + "</document>").alias("content"))
-    return mapping.to_docbook(markup.shredded(docs, "p_partkey", "content"))
+    return mapping.to_docbook(context.in_context(docs, "p_partkey", "content"))
 
 
 INFO = '<info><title>X</title><titleabbrev>aP</titleabbrev><keywordset><keyword>k</keyword><keyword>kP</keyword></keywordset><abstract role="description"><para>dP</para></abstract><abstract><para>X</para><para><simplelist><member>&lt;X&gt;</member><member>^P</member></simplelist></para></abstract>'

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import checks, mapping, tree
-from ..sources import markup, word
+from ..sources import context, markup, word
 from .registry import query
 
 
@@ -27,14 +27,14 @@ def shred_articles(t, _):
 @query("N02 N10 N17 N18 N23", """SELECT doc_id, '<document><entete><titre>' || source || '</titre></entete><section id="I"><title>' || lang || '</title>' || array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''),
 lambda x: '<paragraph>' || replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</paragraph>'), '') || '</section></document>' AS xml FROM documents""")
 def articles_mapped(t, _):
-    return mapping.to_article(markup.shredded(_articles(t), "doc_id", "content"))
+    return mapping.to_article(context.in_context(_articles(t), "doc_id", "content", dropped=mapping.DROPPED))
 
 
 @query("O01 O04", """SELECT doc_id, '<article xmlns="http://docbook.org/ns/docbook" xmlns:xlink="http://www.w3.org/1999/xlink" version="5.2"><info><title>' || source || '</title></info><section><title>' || lang || '</title>' || array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''),
 lambda x: '<para>' || replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</para>'), '') || '</section></article>' AS xml FROM documents""")
 def articles_there_and_back(t, _):
-    there = mapping.to_article(markup.shredded(_articles(t), "doc_id", "content"))
-    return mapping.to_docbook(markup.shredded(there, "doc_id", "xml"))
+    there = mapping.to_article(context.in_context(_articles(t), "doc_id", "content", dropped=mapping.DROPPED))
+    return mapping.to_docbook(context.in_context(there, "doc_id", "xml"))
 
 
 @query("A08 M5 C15")
@@ -45,7 +45,7 @@ def shred_pages(t, _):
 
 @query("A08 N37 O04")
 def pages_mapped(t, _):
-    return mapping.html_to_article(markup.shredded(t("pages"), "page_id", "html", "html"))
+    return mapping.html_to_article(context.in_context(t("pages"), "page_id", "html", "html", mapping.HTML_DROPPED))
 
 
 @query("C15 C11 D25", "SELECT page_id, list_transform(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1), lambda x: replace(x, '&amp;', '&'))[1] AS title FROM pages")

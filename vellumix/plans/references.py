@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import mapping, reconcile, tree
-from ..sources import markup
+from ..sources import context, markup
 from .constructs import HEAD
 from .registry import query
 from .trees import NODES, section_nodes
@@ -21,7 +21,7 @@ def bibliographies(t, _):
     rows = t("lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(cite)), lambda x: x["s"]), "").alias("s"))
     end = '</para><para><xref linkend="b"/></para><bibliography xml:id="b"><title>Sources</title><bibliomixed xml:id="e"/></bibliography></article>'
     docs = rows.select("l_orderkey", F.concat(F.lit(HEAD + "<para>"), "s", F.lit(end)).alias("content"))
-    return mapping.to_article(markup.shredded(docs, "l_orderkey", "content"))
+    return mapping.to_article(context.in_context(docs, "l_orderkey", "content", dropped=mapping.DROPPED))
 
 
 @query("R-C2 C15 E04", """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="/([^"]*)">', 1)) AS target, unnest(regexp_extract_all(html, '<li><a href="/[^"]*">([^<]*)</a>', 1)) AS shown FROM pages)
