@@ -222,7 +222,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def blocks(docs: DataFrame) -> DataFrame:
     """All rows in blocks: their words as places in the block's distinct words, sentence beside sentence."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cut(rows.mapInArrow(_block_batches, BLOCK))
+    return cut(rows.mapInArrow(_block_batches, BLOCK), "zstd")
 
 
 def _chunks(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -268,6 +268,7 @@ def _unpacked(raw: bytes, states: int) -> np.ndarray:
 
 
 def _word_row(bucket: int, h: np.ndarray, n: np.ndarray, c: np.ndarray) -> pa.Table:
+    c = c.astype(np.float32).astype(float)  # what is below single precision only takes room
     return pa.table({"bucket": pa.array([bucket], pa.int32()), "h": [h.tobytes()], "n": [n.tobytes()], "c": [c.tobytes()], "total": pa.array([c.sum(axis=0)], pa.list_(pa.float64()))})
 
 
@@ -473,14 +474,14 @@ def train(docs: DataFrame, coded: DataFrame, states: int = STATES, tolerance: fl
     bits = max(0, int(np.ceil(np.log2(asked / BUCKET_WORDS))))
     vocab, share, initial, transition = _sample_model(coded, total, states)
     counts = coded.select("vocab", "place", "symbols").mapInArrow(_frequency_batches(bits), "bucket int, h binary, n binary")
-    words = cut(counts.groupBy("bucket").applyInArrow(_first_words(bits, vocab, share, states), WORDS))
+    words = cut(counts.groupBy("bucket").applyInArrow(_first_words(bits, vocab, share, states), WORDS), "zstd")
     model = Trained(words, bits, initial, transition, _totals(words, states), [])
     lean = coded.select("block", "vocab", "place", "symbols", "alive", "steps").groupBy("block")
     while True:
         found = emissions(coded, model, False).groupBy("block").cogroup(lean)
         found = found.applyInArrow(_count_block(model.initial, model.transition, model.occupied, bits), "bucket int, h binary, c binary, sums array<double>")
         known = model.words.select("bucket", "h", "n").filter("bucket >= 0").groupBy("bucket")
-        words = cut(found.groupBy("bucket").cogroup(known).applyInArrow(_sum_words(total, model.occupied), WORDS))
+        words = cut(found.groupBy("bucket").cogroup(known).applyInArrow(_sum_words(total, model.occupied), WORDS), "zstd")
         drop(model.words)
         rows = words.filter("bucket < 0").select(F.posexplode("total").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
         sums = np.zeros(states + states**2 + 1)
