@@ -124,10 +124,13 @@ def article_rules() -> list[Rule]:
         Rule(("date",), "<miseajour>", "</miseajour>"),
         Rule(("abstract",), "<synopsis>", "</synopsis>"),
         Rule(("author", "othercredit"), tag("auteur", role=lookup(attr("class", "author"), AUTHOR, "author")), "</auteur>"),
-        Rule(("personname",), "<nom>", "</nom>"),
+        Rule(("personname",), "<nom>", "</nom>", parent.isin("author", "othercredit", "editor")),
+        Rule(("personname",), "", ""),
+        Rule(("surname", "lineage"), F.when(F.col("nth") + F.when(F.col("before").isNotNull(), 1).otherwise(0) > 1, F.lit(" ")).otherwise(F.lit("")), ""),
         Rule(("uri",), "<url>", "</url>"),
         Rule(tuple(SECTIONS), F.concat(tag("section", id=F.coalesce("number", F.lit(""))), F.when(attr("xml:id") != "", F.concat(F.lit('<signet id="'), T.xml_escape(attr("xml:id")), F.lit('"/>'))).otherwise(F.lit(""))), "</section>"),
         Rule(("title",), "<titre>", "</titre>", parent.isin("info", "article")),
+        Rule(("title",), "<i>", "</i>", parent.isin("biblioentry", "biblioset")),
         Rule(("title",), "<title>", "</title>"),
         Rule(("para", "simpara", "address"), "<paragraph>", F.when(F.col("split"), F.lit("")).otherwise(F.lit("</paragraph>"))),
         Rule(("bridgehead",), "<paragraph><b>", "</b></paragraph>"),
@@ -148,10 +151,12 @@ def article_rules() -> list[Rule]:
         Rule(("tr", "row"), F.when(F.col("in_head"), F.lit("<entete>")).otherwise(F.lit("<ligne>")), F.when(F.col("in_head"), F.lit("</entete>")).otherwise(F.lit("</ligne>"))),
         Rule(("td", "th", "entry"), "<colonne>", "</colonne>"),
         Rule(("tgroup", "tbody", "thead", "colspec", "imageobject", "videoobject", "audioobject", "textobject"), "", ""),
+        Rule(("formalgroup",), "<tableau><ligne>", "</ligne></tableau>"),
+        Rule(("figure", "informalfigure"), "<colonne>", "</colonne>", parent == "formalgroup"),
         Rule(("figure", "informalfigure", "mediaobject"), _split(F.lit("")), ""),
         Rule(("inlinemediaobject",), "", ""),
-        Rule(("imagedata",), tag("image", src=attr("fileref"), align=attr("align")), "</image>"),
-        Rule(("videodata", "audiodata"), tag("animation", width=attr("width", "640"), height=attr("height", "480"), src=T.video_embed(attr("fileref"))), "</animation>"),
+        Rule(("imagedata",), tag("image", src=attr("fileref"), align=attr("align"), titre=attr("media:titre"), alt=attr("media:alt"), legende=attr("media:legende"), url=attr("media:url")), "</image>"),
+        Rule(("videodata", "audiodata"), tag("animation", width=attr("width", "640"), height=attr("height", "480"), src=T.video_embed(attr("fileref")), type=F.when(F.col("local") == "audiodata", "audio").otherwise(attr("role")), titre=attr("media:titre"), legende=attr("media:legende")), "</animation>"),
         Rule(("equation", "informalequation", "inlineequation"), _split(F.lit("<latex>")), "</latex>"),
         Rule(("mathphrase", "alt"), "", ""),
         Rule(("anchor",), tag("signet", id=attr("xml:id")), "</signet>"),
@@ -172,7 +177,7 @@ def article_rules() -> list[Rule]:
         Rule(("indexterm",), "<index>", "</index>"),
         Rule(("primary",), "<index1>", "</index1>"),
         Rule(("secondary",), "<index2>", "</index2>"),
-        Rule(("bibliography",), '<section noNumber="1">', "</section>"),
+        Rule(("bibliography", "bibliodiv"), '<section noNumber="1">', "</section>"),
         Rule(("biblioentry", "bibliomixed"), tag("signet", id=attr("xml:id")), "</signet>"),
     ]
 
@@ -187,6 +192,8 @@ def docbook_rules() -> list[Rule]:
     note = lookup(attr("type", "info"), back, "note")
     return [
         Rule(("document",), '<article xmlns="http://docbook.org/ns/docbook" xmlns:xlink="http://www.w3.org/1999/xlink" version="5.2">', "</article>"),
+        Rule(("livre",), '<book xmlns="http://docbook.org/ns/docbook" xmlns:xlink="http://www.w3.org/1999/xlink" version="5.2">', "</book>"),
+        Rule(("chapitre",), "<chapter>", "</chapter>"),
         Rule(("entete",), "<info>", "</info>", parent == "document"),
         Rule(("date",), "<pubdate>", "</pubdate>"),
         Rule(("miseajour",), "<date>", "</date>"),
@@ -198,13 +205,14 @@ def docbook_rules() -> list[Rule]:
         Rule(("section",), "<section>", "</section>"),
         Rule(("titre", "title"), "<title>", "</title>"),
         Rule(("paragraph",), "<para>", "</para>"),
-        Rule(("liste",), F.when(ordered, tag("orderedlist", numeration=lookup(kind, kinds, "arabic"))).otherwise(F.lit("<itemizedlist>")), F.when(ordered, F.lit("</orderedlist>")).otherwise(F.lit("</itemizedlist>"))),
+        Rule(("liste",), F.concat(F.when(ordered, tag("orderedlist", numeration=lookup(kind, kinds, "arabic"), continuation=F.when(attr("debut") != "", F.lit("continues")).otherwise(F.lit("")))).otherwise(F.lit("<itemizedlist>")), F.when(attr("titre") != "", F.concat(F.lit("<title>"), T.xml_escape(attr("titre")), F.lit("</title>"))).otherwise(F.lit(""))), F.when(ordered, F.lit("</orderedlist>")).otherwise(F.lit("</itemizedlist>"))),
         Rule(("element",), "<listitem>", "</listitem>", attr("useText", "1") == "0"),
         Rule(("element",), "<listitem><para>", "</para></listitem>"),
         Rule(("rich-imgtext", "imgtext"), F.concat(F.lit("<"), note, F.lit(">")), F.concat(F.lit("</"), note, F.lit(">"))),
         Rule(("citation",), "<blockquote>", "</blockquote>"),
         Rule(("code",), tag("programlisting", language=attr("langage")), "</programlisting>"),
         Rule(("html-brut",), '<programlisting role="raw-html"><![CDATA[', "]]></programlisting>"),
+        Rule(("tableau",), F.concat(tag("table", width=attr("width"), border=attr("border")), F.lit("<title>"), T.xml_escape(attr("titre")), F.lit("</title>")), "</table>", attr("titre") != ""),
         Rule(("tableau",), tag("informaltable", width=attr("width"), border=attr("border")), "</informaltable>"),
         Rule(("entete",), "<thead><tr>", "</tr></thead>", parent == "tableau"),
         Rule(("ligne",), "<tr>", "</tr>"),
@@ -258,8 +266,9 @@ def to_article(nodes: DataFrame) -> DataFrame:
 
 def to_docbook(nodes: DataFrame) -> DataFrame:
     """doc_id and xml of article-markup nodes in DocBook; br ends a footnote's paragraph and goes elsewhere."""
-    rows = nodes if "gone" in nodes.columns else context(nodes)
-    return apply_rules(rows, [*docbook_rules(), Rule(("br",), "</para><para>", "", F.col("parent_local") == "noteBasPage")])
+    told = "gone" in nodes.columns
+    around = (F.col("around_open"), F.col("around_close")) if told else None
+    return apply_rules(nodes if told else context(nodes), [*docbook_rules(), Rule(("br",), "</para><para>", "", F.col("parent_local") == "noteBasPage")], around=around)
 
 
 HTML = [

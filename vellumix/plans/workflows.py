@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import checks, mapping, merge, reconcile, repair, revise
-from ..sources import context, markup, members, office
+from ..sources import assembly, markup, members, office
 
 DOCBOOK, ARTICLE, WORD = "docbook", "article", "word"
 MARKS = {DOCBOOK: "http://docbook.org/ns/docbook", ARTICLE: "<document"}
@@ -39,7 +39,7 @@ def out_name(name: Column, source: str, target: str) -> Column:
 def _in_docbook(docs: DataFrame, files: DataFrame) -> DataFrame:
     """Articles and word-processing files in DocBook."""
     some = docs.filter(F.col("fmt") == ARTICLE)
-    xml = mapping.to_docbook(context.in_context(some, "doc_id", "content"))
+    xml = assembly.to_docbook(some, "doc_id", "content")
     texts = some.select("doc_id", out_name(F.col("name"), ARTICLE, DOCBOOK).alias("out_path")).join(xml, "doc_id").select("out_path", F.col("xml").alias("content"))
     read = office.from_word(files, "doc_id", "file").filter("xml IS NOT NULL")
     return texts.unionByName(files.select("doc_id", out_name(F.col("name"), WORD, DOCBOOK).alias("out_path")).join(read, "doc_id").select("out_path", F.col("xml").alias("content")))
@@ -58,7 +58,7 @@ def transform(spark: SparkSession, folder: str, target: str | None = None) -> Da
     docs = documents(spark, folder)
     if target == ARTICLE:
         some = docs.filter(F.col("fmt") == DOCBOOK)
-        xml = mapping.to_article(context.in_context(some, "doc_id", "content", dropped=mapping.DROPPED))
+        xml = assembly.to_article(some, "doc_id", "content")
         return some.select("doc_id", out_name(F.col("name"), DOCBOOK, ARTICLE).alias("out_path")).join(xml, "doc_id").select("out_path", F.col("xml").alias("content"))
     if target == DOCBOOK:
         return _in_docbook(docs, word_documents(spark, folder))
