@@ -283,3 +283,12 @@ def html_to_article(nodes: DataFrame) -> DataFrame:
     """doc_id and xml of HTML nodes in the article markup; links keep their targets."""
     rules = [*HTML, Rule(("a",), tag("link", href=attr("href")), "</link>")]
     return apply_rules(nodes, rules, HTML_DROPPED)
+
+
+#: A paragraph right below one of these is one of its own; elsewhere only if nothing stands before it.
+PARA_PARENTS = ("article", "section", "chapter", "listitem", "blockquote", "note", "tip", "warning", "caution", "important", "td")
+
+
+def para_admitted() -> Column:
+    """Over nodes in context: whether a paragraph becomes a paragraph of the other markup."""
+    return F.col("parent_local").isin(*PARA_PARENTS) | F.col("before").isNull()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembled, constructs, damage, lookups, markup, office, references, revisions, scans, sequences, texts, trees  # noqa: F401
+from . import assembled, constructs, damage, extras, lookups, markup, office, references, revisions, scans, sequences, texts, trees  # noqa: F401
 from .registry import QUERIES, SQL
 
 

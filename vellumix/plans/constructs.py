@@ -103,7 +103,7 @@ def article_links(t, _):
     return articles.ids(nodes).join(articles.navigation(nodes), "doc_id").join(articles.obsolete_by(nodes), "doc_id")
 
 
-@query("N12 R-C4 O02", """WITH a AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size END AS n, CASE WHEN p_size % 3 = 0 THEN 2024 END AS y, CASE WHEN p_size % 2 = 0 THEN p_brand END AS w, CASE WHEN p_size % 5 = 0 THEN p_type END AS x, CASE WHEN p_size % 7 = 0 THEN p_size END AS topic, CASE WHEN p_size % 4 = 0 THEN 1 END AS post FROM part)
+@query("N12 R-C4 L10", """WITH a AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size END AS n, CASE WHEN p_size % 3 = 0 THEN 2024 END AS y, CASE WHEN p_size % 2 = 0 THEN p_brand END AS w, CASE WHEN p_size % 5 = 0 THEN p_type END AS x, CASE WHEN p_size % 7 = 0 THEN p_size END AS topic, CASE WHEN p_size % 4 = 0 THEN 1 END AS post FROM part)
 SELECT p_partkey, CASE WHEN n IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL AND x IS NULL THEN '<licence type="' || n || '" annee="2024" auteur="' || w || '"/>' WHEN NOT (n IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL) AND x IS NOT NULL THEN '<licence>' || x || '</licence>' END AS licence,
 CASE WHEN (n IS NOT NULL OR y IS NOT NULL OR w IS NOT NULL) AND x IS NOT NULL THEN 'licence_twice' WHEN (n IS NOT NULL OR y IS NOT NULL OR w IS NOT NULL) AND NOT (n IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL) THEN 'licence_incomplete' WHEN post IS NOT NULL AND topic IS NULL THEN 'post_without_topic' ELSE '' END AS problem FROM a""")
 def article_config(t, _):
@@ -122,7 +122,7 @@ def books_in_parts(t, _):
     return mapping.to_article(articles.parts(markup.shredded(books, "c_nationkey", "content"))).select(F.col("doc_id").alias("out_path"), "xml")
 
 
-@query("P01 R-C3 N01", "SELECT c_nationkey AS doc_id, CASE WHEN c_acctbal < 0 THEN 'set_not_supported' ELSE 'bad_nesting' END AS \"check\", count(*) AS n FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING' GROUP BY ALL")
+@query("P01 N01", "SELECT c_nationkey AS doc_id, CASE WHEN c_acctbal < 0 THEN 'set_not_supported' ELSE 'bad_nesting' END AS \"check\", count(*) AS n FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING' GROUP BY ALL")
 def nesting_findings(t, _):
     piece = F.when(F.col("c_acctbal") < 0, "<set/>").when(F.col("c_mktsegment") == "BUILDING", "<part/>").otherwise("<para/>")
     docs = t("customer").groupBy("c_nationkey").agg(F.concat(F.lit("<article>"), F.array_join(F.collect_list(piece), ""), F.lit("</article>")).alias("content"))

@@ -24,7 +24,7 @@ def bibliographies(t, _):
     return mapping.to_article(context.in_context(docs, "l_orderkey", "content", dropped=mapping.DROPPED))
 
 
-@query("R-C2 C15 E04", """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="/([^"]*)">', 1)) AS target, unnest(regexp_extract_all(html, '<li><a href="/[^"]*">([^<]*)</a>', 1)) AS shown FROM pages)
+@query("C15 E04", """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="/([^"]*)">', 1)) AS target, unnest(regexp_extract_all(html, '<li><a href="/[^"]*">([^<]*)</a>', 1)) AS shown FROM pages)
 SELECT page_id, count(DISTINCT target) AS n_left, count(DISTINCT shown) AS n_right, bool_and(target = shown) AS equal FROM a GROUP BY page_id""")
 def inherited_by(t, _):
     """The targets of a page's list of links against what they show."""

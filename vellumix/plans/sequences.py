@@ -17,7 +17,7 @@ def group_ending_with(t, _):
     return S.group_ending_with(t("events"), K, O, F.col("event_type") == "purchase").select("event_id", "grp")
 
 
-@query("F06 N23 B15", "SELECT event_id, coalesce(max(CAST(event_type = 'purchase' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) = 1 AS after FROM events")
+@query("F06 N23 ", "SELECT event_id, coalesce(max(CAST(event_type = 'purchase' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) = 1 AS after FROM events")
 def split_at_first_block(t, _):
     return S.split_at_first(t("events"), K, O, F.col("event_type") == "purchase").select("event_id", "after")
 
@@ -33,13 +33,13 @@ def skip_repeats(t, _):
     return t("events").withColumn("b", before).filter(~F.col("b").eqNullSafe(F.col("event_type"))).select("event_id")
 
 
-@query("F10 F13 Q08", f"""WITH a AS (SELECT *, event_type = 'click' AS c FROM events), b AS (SELECT *, c OR coalesce((lag(c) {W}) AND (lead(c) {W}), false) AS i FROM a)
+@query("F10 Q08", f"""WITH a AS (SELECT *, event_type = 'click' AS c FROM events), b AS (SELECT *, c OR coalesce((lag(c) {W}) AND (lead(c) {W}), false) AS i FROM a)
 SELECT event_id, i AS inside, i AND NOT coalesce(lag(i) {W}, false) AS open, i AND NOT coalesce(lead(i) {W}, false) AS close FROM b""")
 def bridged_islands(t, _):
     return S.bridged(t("events"), K, O, F.col("event_type") == "click").select("event_id", "inside", "open", "close")
 
 
-@query("F10 F13", f"""SELECT event_id, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM (SELECT *, CAST(lag(event_type) {W} IS DISTINCT FROM event_type AS INTEGER) AS n FROM events)""")
+@query("F10 ", f"""SELECT event_id, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM (SELECT *, CAST(lag(event_type) {W} IS DISTINCT FROM event_type AS INTEGER) AS n FROM events)""")
 def islands_event_type(t, _):
     return S.islands(t("events"), K, O, "event_type").select("event_id", "island")
 

@@ -48,7 +48,7 @@ def forum_links(t, _):
     return rows.select("o_orderkey", topic.alias("topic"), at.alias("post"), T.forum_url("x", topic, at).alias("rebuilt"), T.video_embed(F.replace("url", F.lit("showthread.php?t="), F.lit("watch?v="))).alias("video"))
 
 
-@query("I18 I19 I13", """SELECT c_custkey, repeat('  ', c_nationkey % 4) || replace(replace(replace(replace(c_name || ' & <' || c_mktsegment || '> "q"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS line,
+@query("I18 I19", """SELECT c_custkey, repeat('  ', c_nationkey % 4) || replace(replace(replace(replace(c_name || ' & <' || c_mktsegment || '> "q"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS line,
 'd1e' || c_custkey AS id FROM customer""")
 def xml_writer_functions(t, _):
     s = F.concat("c_name", F.lit(" & <"), "c_mktsegment", F.lit('> "q"'))
@@ -63,7 +63,7 @@ def labelled_fields(t, spark):
     line = F.concat(F.when(n == 0, "Author : ").when(n == 1, "Auteur : ").otherwise(""), F.col("c_name"))
     rows = t("customer").select("c_custkey", T.label_name(line).alias("label"), T.label_value(line).alias("value"))
     labels = spark.createDataFrame([("author", "author"), ("auteur", "author"), ("date", "date")], "label string, field string")
-    return rows.join(F.broadcast(labels), "label", "left").select("c_custkey", "field", "value")
+    return rows.join(labels, "label", "left").select("c_custkey", "field", "value")
 
 
 @query("I23 I24 K05 K06 B20 N19 N40", """SELECT p_partkey, p_size * CASE p_partkey % 5 WHEN 0 THEN 914400 WHEN 1 THEN 360000 WHEN 2 THEN 36000 WHEN 3 THEN 12700 ELSE 9525 END AS emu, CAST(p_size * 10 // 72 AS VARCHAR) || 'in' AS inches,
@@ -103,7 +103,7 @@ def roman_numerals(t, _):
     return t("orders").select("o_orderkey", N.roman(n).alias("roman"), N.heading((n % 12).cast("int")).alias("style"))
 
 
-@query("K02 K03 K04 M16", """WITH a AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN l_partkey || '.' || l_suppkey WHEN 1 THEN l_partkey || '.' || l_suppkey || '.' || l_linenumber ELSE 'x' || l_partkey END AS v FROM lineitem)
+@query("K02 K03 M16", """WITH a AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN l_partkey || '.' || l_suppkey WHEN 1 THEN l_partkey || '.' || l_suppkey || '.' || l_linenumber ELSE 'x' || l_partkey END AS v FROM lineitem)
 SELECT l_orderkey, l_linenumber, TRY_CAST(NULLIF(regexp_extract(v, '^([0-9]+)[.]', 1), '') AS INTEGER) AS major, CASE WHEN regexp_matches(v, '^[0-9]') THEN v ELSE '' END AS shown, coalesce(TRY_CAST(string_split(v, '.')[3] AS INTEGER), 21) AS patch FROM a""")
 def versions(t, _):
     p, s, k = (F.col(c).cast("string") for c in ("l_partkey", "l_suppkey", "l_linenumber"))
@@ -112,7 +112,7 @@ def versions(t, _):
     return rows.select("l_orderkey", "l_linenumber", F.col("v.major").alias("major"), N.version_text(F.col("v")).alias("shown"), F.coalesce("v.patch", F.lit(21)).alias("patch"))
 
 
-@query("L01 L03 L04 L06 L07 D16 D24 M17", """SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'info' WHEN 'MACHINERY' THEN 'idea' WHEN 'HOUSEHOLD' THEN 'warning' ELSE 'error' END AS kind,
+@query("L01 L03 L06 L07 D16 D24 M17", """SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'info' WHEN 'MACHINERY' THEN 'idea' WHEN 'HOUSEHOLD' THEN 'warning' ELSE 'error' END AS kind,
 CASE WHEN c_acctbal > 0 THEN 2 ELSE 1 END AS n_keys, coalesce(CASE WHEN c_acctbal > 0 THEN c_name END, 'none') AS value FROM customer""")
 def map_functions(t, _):
     kinds = F.create_map(*(F.lit(x) for x in ("BUILDING", "info", "MACHINERY", "idea", "HOUSEHOLD", "warning")))
@@ -121,9 +121,9 @@ def map_functions(t, _):
     return t("customer").select("c_custkey", F.coalesce(F.try_element_at(kinds, F.col("c_mktsegment")), F.lit("error")).alias("kind"), F.size(inverse).alias("n_keys"), F.coalesce(F.try_element_at(m, F.lit("name")), F.lit("none")).alias("value"))
 
 
-@query("L09 E09 E10 L10", """WITH p AS (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS parts FROM pages), q AS (SELECT page_id, parts, regexp_extract(parts[1], '[a-z]+$') AS zone FROM p),
-e AS (SELECT zone, i, count(DISTINCT parts[i]) AS n, count(*) AS c, min(parts[i]) AS v FROM q, range(1, 20) r(i) WHERE i <= len(parts) GROUP BY ALL), m AS (SELECT zone, min(len(parts)) AS least, count(*) AS pages FROM q GROUP BY zone),
-x AS (SELECT zone, coalesce(min(i) FILTER (n > 1 OR c < pages), 99) AS stop FROM e JOIN m USING (zone) GROUP BY zone)
+@query("E09 E10", """WITH p AS (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS parts FROM pages), q AS (SELECT page_id, parts, regexp_extract(parts[1], '[a-z]+$') AS zone FROM p),
+e AS (SELECT zone, i, count(DISTINCT parts[i]) AS n, count(*) AS c, min(parts[i]) AS v FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM q) GROUP BY ALL), m AS (SELECT zone, min(len(parts)) AS least, count(*) AS pages FROM q GROUP BY zone),
+x AS (SELECT zone, coalesce(min(i) FILTER (n > 1 OR c < pages), 1000000000) AS stop FROM e JOIN m USING (zone) GROUP BY zone)
 SELECT zone, least, pages, coalesce((SELECT string_agg(v, '/' ORDER BY i) FROM e WHERE e.zone = m.zone AND i < stop), '') AS prefix FROM m JOIN x USING (zone)""")
 def common_prefix(t, _):
     rows = t("pages").select("page_id", F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/").alias("parts"))
@@ -132,7 +132,7 @@ def common_prefix(t, _):
     steps = rows.select("zone", F.posexplode("parts").alias("i", "v")).groupBy("zone", "i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("c"))
     joined = steps.join(least, "zone").withColumn("same", (F.col("lo") == F.col("hi")) & (F.col("c") == F.col("pages")))
     stop = joined.groupBy("zone", "least", "pages").agg(F.min(F.when(~F.col("same"), F.col("i"))).alias("stop"), F.array_sort(F.collect_list(F.struct("i", "lo"))).alias("s"))
-    kept = F.filter("s", lambda x: x["i"] < F.coalesce("stop", F.lit(99)))
+    kept = F.filter("s", lambda x: x["i"] < F.coalesce("stop", F.lit(1_000_000_000)))
     return stop.select("zone", "least", "pages", F.array_join(F.transform(kept, lambda x: x["lo"]), "/").alias("prefix"))
 
 

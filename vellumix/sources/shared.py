@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests, a single machine) one of our own."""
+    """The folder named by spark.checkpoint.dir; only where that is unset and all runs on one machine, as in tests, one of our own."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vellumix-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellumix-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
