@@ -86,7 +86,7 @@ def test_fix_twice(spark, folder):
 
 def test_validate_and_check(spark, folder):
     assert tuple(W.validate(spark, str(folder)).first()) == (5, 1, 3, 1)
-    assert {(r.name, r.check) for r in W.findings(spark, str(folder)).collect()} == {("bad", "not_allowed")}
+    assert {(r.name, r.check) for r in W.findings(spark, str(folder)).collect()} == {("bad", "child_lacks")}
 
 
 def test_consistency(spark, folder, tmp_path):

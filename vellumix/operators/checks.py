@@ -9,20 +9,90 @@ from pyspark.sql import functions as F
 
 from . import mapping, tree
 
-#: Which elements may stand below which: the structural part of a grammar, as a small table.
-ALLOWED = {
-    "article": ["info", "title", "section", "para", "simpara", "itemizedlist", "orderedlist", "programlisting", "table", "informaltable", "note", "tip", "warning", "caution", "important", "figure", "informalfigure", "mediaobject", "bibliography", "bridgehead", "anchor", *mapping.SYNOPSES],
-    "itemizedlist": ["title", "info", "listitem"],
-    "orderedlist": ["title", "info", "listitem"],
-    "variablelist": ["title", "info", "varlistentry"],
-    "varlistentry": ["term", "listitem"],
-    "simplelist": ["member"],
-    "table": ["title", "caption", "info", "tgroup", "thead", "tbody", "tfoot", "tr", "colgroup", "col"],
-    "tr": ["td", "th"],
-    "row": ["entry"],
-    "mediaobject": ["info", "imageobject", "videoobject", "audioobject", "textobject", "caption", "alt"],
+INLINES = frozenset(
+    "emphasis code literal command varname classname function filename replaceable phrase quote link xref anchor footnote footnoteref indexterm superscript subscript acronym abbrev personname inlinemediaobject inlineequation "
+    "biblioref term simplelist option parameter type systemitem uri email guilabel guimenu keycap trademark productname remark tag constant symbol userinput computeroutput prompt envar property methodname".split()
+)
+LISTS = frozenset("itemizedlist orderedlist variablelist simplelist segmentedlist".split())
+BLOCKS = LISTS | frozenset(
+    "para simpara formalpara programlisting screen synopsis literallayout address blockquote epigraph note tip warning caution important table informaltable figure informalfigure example informalexample equation informalequation "
+    "mediaobject bridgehead anchor remark indexterm sidebar procedure task revhistory formalgroup".split()
+) | frozenset((*mapping.SYNOPSES, "namespacesynopsis"))
+SECTION, HEADS = frozenset(mapping.SECTIONS), frozenset(("title", "subtitle", "titleabbrev", "info"))
+PLAIN: frozenset = frozenset()
+#: What may stand below which element: the content models of the schema's commonly used part. An element that isn't listed isn't judged.
+ALLOWED: dict[str, frozenset] = {
+    "article": HEADS | BLOCKS | SECTION | {"bibliography", "appendix", "index", "glossary"},
+    "book": HEADS | {"part", "chapter", "preface", "appendix", "bibliography", "glossary", "index", "article"},
+    "part": HEADS | {"partintro", "chapter", "preface", "appendix", "bibliography"},
+    "chapter": HEADS | BLOCKS | SECTION | {"bibliography"},
+    **{s: HEADS | BLOCKS | SECTION | {"bibliography"} for s in mapping.SECTIONS if s != "chapter"},
+    "info": HEADS | frozenset("abstract author authorgroup editor othercredit date pubdate releaseinfo copyright legalnotice keywordset subjectset bibliorelation extendedlink productname productnumber edition revhistory org orgname mediaobject cover annotation".split()),
+    "authorgroup": frozenset(("author", "editor", "othercredit")),
+    **{p: frozenset("personname orgname org personblurb affiliation email uri address contrib".split()) for p in ("author", "editor", "othercredit")},
+    "personname": frozenset("firstname givenname surname othername lineage honorific".split()) | INLINES,
+    "abstract": frozenset(("title", "para", "simpara", "info")),
+    "keywordset": frozenset(("keyword",)),
+    **{p: INLINES | BLOCKS for p in ("para",)},
+    **{p: INLINES for p in ("simpara", "title", "subtitle", "titleabbrev", "bridgehead", "member", "term", "emphasis", "link", "phrase", "quote", "programlisting", "screen", "literallayout", "synopsis", "code", "segtitle")},
+    **{p: HEADS | BLOCKS | {"listitem"} for p in ("itemizedlist", "orderedlist")},
+    "listitem": BLOCKS,
+    "variablelist": HEADS | {"varlistentry"},
+    "varlistentry": frozenset(("term", "listitem")),
+    "simplelist": frozenset(("member",)),
+    "segmentedlist": HEADS | {"segtitle", "seglistitem"},
+    "seglistitem": frozenset(("seg",)),
+    **{p: HEADS | BLOCKS for p in ("note", "tip", "warning", "caution", "important", "sidebar")},
+    "blockquote": HEADS | BLOCKS | {"attribution"},
+    "footnote": BLOCKS,
+    "table": HEADS | frozenset("caption tgroup thead tbody tfoot tr colgroup col mediaobject textobject alt".split()),
+    "informaltable": frozenset("info caption tgroup thead tbody tfoot tr colgroup col mediaobject textobject alt".split()),
+    "tgroup": frozenset("colspec spanspec thead tfoot tbody".split()),
+    **{p: frozenset(("tr", "row")) for p in ("thead", "tbody", "tfoot")},
+    "tr": frozenset(("td", "th")),
+    "row": frozenset(("entry", "entrytbl")),
+    **{p: INLINES | BLOCKS for p in ("td", "th", "entry")},
+    "figure": HEADS | BLOCKS | {"alt", "caption"},
+    "informalfigure": frozenset(("info", "caption")) | BLOCKS,
+    "mediaobject": frozenset("info imageobject videoobject audioobject textobject caption alt".split()),
+    "inlinemediaobject": frozenset("info imageobject videoobject audioobject textobject alt".split()),
+    "imageobject": frozenset(("info", "imagedata")),
+    "videoobject": frozenset(("info", "videodata")),
+    "audioobject": frozenset(("info", "audiodata")),
+    "imagedata": frozenset(("info", "svg", "math")),
+    "videodata": frozenset(("info", "multimediaparam")),
+    "bibliography": HEADS | BLOCKS | {"bibliodiv", "biblioentry", "bibliomixed"},
+    "indexterm": frozenset("primary secondary tertiary see seealso".split()),
+    **{p: PLAIN for p in ("anchor", "xref", "biblioref", "multimediaparam", "colspec", "pubdate", "date", "keyword", "uri", "email")},
 }
-REQUIRED = {"imagedata": "fileref", "anchor": "xml:id", "xref": "linkend", "biblioref": "endterm"}
+#: What has to stand below an element: one of each group.
+NEEDED: dict[str, tuple[tuple[str, ...], ...]] = {
+    "article": (("title", "info"),), "book": (("title", "info"),), "section": (("title", "info"),), "chapter": (("title", "info"),),
+    "itemizedlist": (("listitem",),), "orderedlist": (("listitem",),), "variablelist": (("varlistentry",),), "varlistentry": (("term",), ("listitem",)), "simplelist": (("member",),), "segmentedlist": (("seglistitem",),),
+    "listitem": (tuple(BLOCKS),), "note": (tuple(BLOCKS),), "tip": (tuple(BLOCKS),), "warning": (tuple(BLOCKS),), "caution": (tuple(BLOCKS),), "important": (tuple(BLOCKS),), "abstract": (("para", "simpara"),),
+    "table": (("title", "caption", "info"), ("tgroup", "tr", "tbody", "mediaobject")), "informaltable": (("tgroup", "tr", "tbody", "mediaobject"),), "tr": (("td", "th"),), "row": (("entry", "entrytbl"),), "tgroup": (("tbody",),),
+    "mediaobject": (("imageobject", "videoobject", "audioobject", "textobject"),), "imageobject": (("imagedata",),), "figure": (("title", "info"),), "keywordset": (("keyword",),), "indexterm": (("primary",),),
+}
+REQUIRED = {"imagedata": "fileref", "anchor": "xml:id", "xref": "linkend", "biblioref": "endterm", "multimediaparam": "name", "tgroup": "cols"}
+#: The same for the article markup.
+ARTICLE_ALLOWED: dict[str, frozenset] = {
+    "document": frozenset("entete voiraussi authorDescriptions synopsis multi-page summary section tableau soustitre".split()),
+    "entete": frozenset("rubrique meta titre date miseajour licauteur lictype licannee lictext serveur chemin urlhttp extratag googleAnalytics colonne".split()),
+    "meta": frozenset(("description", "keywords")),
+    "titre": frozenset(("page", "article", "soustitre")),
+    "voiraussi": frozenset(("lien",)),
+    "lien": frozenset(("texte", "url")),
+    "authorDescriptions": frozenset(("authorDescription",)),
+    "authorDescription": frozenset("fullname url homepage blog".split()),
+    **{p: frozenset("title section paragraph liste tableau code html-brut image animation imgtext rich-imgtext citation latex signet index br".split()) for p in ("summary", "section", "synopsis", "element", "colonne", "rich-imgtext", "citation")},
+    "paragraph": frozenset("b i u s important inline sup sub font acronyme link renvoi lien-forum signet index noteBasPage image latex br".split()),
+    "liste": frozenset(("element",)),
+    "tableau": frozenset("entete ligne legende".split()),
+    "ligne": frozenset(("colonne",)),
+    "index": frozenset(("index1", "index2")),
+}
+ARTICLE_NEEDED: dict[str, tuple[tuple[str, ...], ...]] = {"document": (("entete",),), "section": (("title", "signet", "paragraph", "section"),), "liste": (("element",),), "ligne": (("colonne",),), "voiraussi": (("lien",),), "authorDescriptions": (("authorDescription",),)}
+ARTICLE_REQUIRED = {"image": "src", "animation": "src", "link": "href", "renvoi": "id", "signet": "id", "liste": "type", "authorDescription": "name"}
 
 
 def finding(rows: DataFrame, check: str, severity: Column | str, element: str = "local") -> DataFrame:
@@ -52,13 +122,30 @@ def sanity(nodes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def grammar(nodes: DataFrame) -> DataFrame:
-    """Elements where the grammar doesn't allow them, and required attributes that lack; the rules are literals of the plan."""
-    elem = tree.parents(nodes.filter("kind = 'elem'"), "local")
+def grammar(nodes: DataFrame, allowed: dict[str, frozenset] = ALLOWED, needed: dict[str, tuple[tuple[str, ...], ...]] = NEEDED, required: dict[str, str] = REQUIRED) -> DataFrame:
+    """Elements where the grammar doesn't allow them, children and attributes that lack, and documents that aren't well-formed or are empty of elements; the rules are literals of the plan."""
+    elem = nodes.filter("kind = 'elem'") if "parent_local" in nodes.columns else tree.parents(nodes.filter("kind = 'elem'"), "local")
     may = F.lit(True)
-    for parent, names in ALLOWED.items():
-        may = F.when(F.col("parent_local") == parent, F.col("local").isin(names)).otherwise(may)
+    for parent, names in allowed.items():
+        may = F.when(F.col("parent_local") == parent, F.col("local").isin(sorted(names)) if names else F.lit(False)).otherwise(may)
     lacking = F.lit(False)
-    for name, attribute in REQUIRED.items():
+    for name, attribute in required.items():
         lacking = lacking | ((F.col("local") == name) & F.try_element_at("attrs", F.lit(attribute)).isNull())
-    return finding(elem.filter(~may), "not_allowed", "error").unionByName(finding(elem.filter(lacking), "attribute_lacks", "error")).unionByName(finding(nodes.filter("kind = 'error'"), "not_well_formed", "error", "text"))
+    owners = elem.filter(F.col("local").isin(*needed)).select("doc_id", "pre", "local")
+    below = elem.filter(F.col("parent_local").isin(*needed)).groupBy("doc_id", F.col("parent").alias("pre")).agg(F.collect_set("local").alias("has"))
+    rows = owners.join(below, ["doc_id", "pre"], "left").withColumn("has", F.coalesce("has", F.array().cast("array<string>")))
+    short = F.lit(False)
+    for name, groups in needed.items():
+        for group in groups:
+            short = short | ((F.col("local") == name) & ~F.arrays_overlap("has", F.array(*map(F.lit, sorted(group)))))
+    return (
+        finding(elem.filter(~may), "not_allowed", "error")
+        .unionByName(finding(elem.filter(lacking), "attribute_lacks", "error"))
+        .unionByName(finding(rows.filter(short), "child_lacks", "error"))
+        .unionByName(finding(nodes.filter("kind = 'error'"), "not_well_formed", "error", "text"))
+    )
+
+
+def article_grammar(nodes: DataFrame) -> DataFrame:
+    """The same of the article markup."""
+    return grammar(nodes, ARTICLE_ALLOWED, ARTICLE_NEEDED, ARTICLE_REQUIRED)

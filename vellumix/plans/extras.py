@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import include, mapping
+from ..operators import checks, include, mapping
 from ..sources import context
+from ..sources.shared import cut
 from .registry import query
 
 HEAD = '<article xmlns="http://docbook.org/ns/docbook">'
@@ -134,3 +135,35 @@ def relative_paths(t, _):
     to = F.when(k == 0, "/a/b").when(k == 1, F.concat(F.lit("/a/b/sub/"), n)).when(k == 2, "/a").otherwise(F.concat(F.lit("/n"), n, F.lit("/x")))
     return t("customer").select("c_custkey", paths.relative(F.lit("/a/b"), to).alias("relative"))
 
+
+
+DB = '<article xmlns="http://docbook.org/ns/docbook"><title>t</title>'
+#: check, element, the piece that has the fault; the last ones have none.
+FAULTS = [
+    ("not_allowed", "para", "<itemizedlist><listitem><para>a</para></listitem></itemizedlist><table><title>t</title><tr><para>b</para><td/></tr></table>"),
+    ("child_lacks", "itemizedlist", "<itemizedlist><title>no items</title></itemizedlist>"),
+    ("child_lacks", "varlistentry", "<variablelist><varlistentry><term>t</term></varlistentry></variablelist>"),
+    ("attribute_lacks", "xref", "<para><xref/></para>"),
+    ("not_allowed", "section", "<para><section><title>s</title></section></para>"),
+    ("child_lacks", "section", "<section><para>no title</para></section>"),
+    ("not_allowed", "b", "<para>html <b>tags</b></para>"),
+    ("", "", "<section><title>s</title><para>a<footnote><para>f</para></footnote><emphasis>e</emphasis></para><mediaobject><imageobject><imagedata fileref='x'/></imageobject></mediaobject></section>"),
+]
+ARTICLE_FAULTS = [("not_allowed", "para", "<summary><para>x</para></summary>"), ("attribute_lacks", "image", '<summary><image/></summary>'), ("child_lacks", "liste", '<summary><liste type="1"></liste></summary>'), ("", "", '<summary><section id="I"><title>s</title><paragraph>x <b>y</b></paragraph></section></summary>')]
+
+
+def _faults_sql() -> str:
+    every = [*FAULTS, *ARTICLE_FAULTS]
+    rows = ", ".join(f"({k}, '{c}', '{e}')" for k, (c, e, _) in enumerate(every) if c)
+    return f'SELECT CAST(o_orderkey AS BIGINT) AS doc_id, "check", element FROM orders JOIN (VALUES {rows}) v(k, "check", element) ON o_orderkey % {len(every)} = k'
+
+
+@query("R-V1", _faults_sql())
+def grammar_faults(t, _):
+    """Documents of both markups with one fault each, and some without, by the grammar of their markup."""
+    k = (F.col("o_orderkey") % (len(FAULTS) + len(ARTICLE_FAULTS)) + 1).cast("int")
+    texts = [DB + x + "</article>" for *_, x in FAULTS] + [f"<document><entete></entete>{x}</document>" for *_, x in ARTICLE_FAULTS]
+    docs = t("orders").select("o_orderkey", k.alias("k"), F.element_at(F.array(*map(F.lit, texts)), k).alias("content"))
+    nodes = lambda df: cut(context.in_context(df, "o_orderkey", "content"))
+    found = checks.grammar(nodes(docs.filter(F.col("k") <= len(FAULTS)))).unionByName(checks.article_grammar(nodes(docs.filter(F.col("k") > len(FAULTS)))))
+    return found.select("doc_id", "check", "element")

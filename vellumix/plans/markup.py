@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import checks, mapping, tree
-from ..sources import context, markup, word
+from ..sources import context, markup, office, word
 from .registry import query
 
 
@@ -75,8 +75,7 @@ def grammar_of_pages(t, _):
 @query("A09 A10 P04 P06 P07 Q02 Q10 M8", "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(2 + len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS BIGINT) AS n_paras, md5(source || lang || array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), '')) AS text_md5 FROM documents")
 def word_round_trip(t, _):
     """Articles are written as word-processing files and read again; the text and the paragraphs are the same."""
-    files = word.write(word.paragraphs_of(markup.shredded(_articles(t), "doc_id", "content")))
-    back = word.read(files, "doc_id", "file")
+    back = word.read(office.to_word(_articles(t), "doc_id", "content"), "doc_id", "file")
     text = F.array_join(F.transform("runs", lambda r: r["text"]), "")
     ordered = F.array_sort(F.collect_list(F.struct("pos", text.alias("s"))))
     return back.groupBy("doc_id").agg(F.count("*").alias("n_paras"), F.md5(F.array_join(F.transform(ordered, lambda x: x["s"]), "")).alias("text_md5"))
@@ -86,8 +85,7 @@ def word_round_trip(t, _):
 lambda x: '<para>' || replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</para>'), '') || '</section></article>' AS xml FROM documents""")
 def word_to_articles(t, _):
     """Word-processing files become the articles that they were made from."""
-    paras = word.paragraphs_of(markup.shredded(_articles(t), "doc_id", "content"))
-    return word.to_docbook(word.read(word.write(paras), "doc_id", "file"))
+    return office.from_word(office.to_word(_articles(t), "doc_id", "content"), "doc_id", "file").select("doc_id", "xml")
 
 
 @query("A10 Q09 M19", """SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(1 AS INTEGER) AS tbl, '<informaltable>' || string_agg('<tr><td><para>' || c_custkey || '</para></td><td><para>' || c_name || '</para></td></tr>', '' ORDER BY c_custkey) || '</informaltable>' AS xml FROM customer GROUP BY c_nationkey""")

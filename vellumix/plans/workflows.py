@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import checks, mapping, merge, reconcile, repair, revise
-from ..sources import assembly, markup, members, office
+from ..sources import assembly, context, markup, members, office
+from ..sources.shared import cut
 
 DOCBOOK, ARTICLE, WORD = "docbook", "article", "word"
 MARKS = {DOCBOOK: "http://docbook.org/ns/docbook", ARTICLE: "<document"}
@@ -96,11 +97,16 @@ def fix(spark: SparkSession, folder: str, day: str, authors: str = "") -> DataFr
     return out.select("name", F.when(F.length("before") > 0, T.flatten_link(c)).otherwise(F.col("before")).alias("content"), "before").withColumn("changed", F.col("content") != F.col("before")).drop("before")
 
 
+def _grammar(docs: DataFrame) -> DataFrame:
+    """Each document by the grammar of its markup."""
+    nodes = lambda df: cut(context.in_context(df, "doc_id", "content"))
+    return checks.grammar(nodes(docs.filter(F.col("fmt") != ARTICLE))).unionByName(checks.article_grammar(nodes(docs.filter(F.col("fmt") == ARTICLE))))
+
+
 def validate(spark: SparkSession, folder: str) -> DataFrame:
     """One row: documents in all, empty, valid and invalid; empty ones count for themselves."""
     docs = documents(spark, folder)
-    nodes = markup.shredded(docs, "doc_id", "content")
-    bad = checks.grammar(nodes).filter("severity = 'error'").select("doc_id", F.lit(True).alias("bad")).distinct()
+    bad = _grammar(docs).filter("severity = 'error'").select("doc_id", F.lit(True).alias("bad")).distinct()
     rows = docs.select("doc_id", (F.length("content") == 0).alias("empty")).join(bad, "doc_id", "left")
     broken = F.coalesce("bad", F.lit(False))
     return rows.agg(F.count("*").alias("n_total"), F.count_if("empty").alias("n_empty"), F.count_if(~F.col("empty") & ~broken).alias("n_valid"), F.count_if(~F.col("empty") & broken).alias("n_invalid"))
@@ -108,8 +114,8 @@ def validate(spark: SparkSession, folder: str) -> DataFrame:
 
 def findings(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    nodes = markup.shredded(docs, "doc_id", "content")
-    return checks.sanity(nodes).unionByName(checks.grammar(nodes)).join(docs.select("doc_id", "name"), "doc_id")
+    nodes = markup.shredded(docs.filter(F.col("fmt") != ARTICLE), "doc_id", "content")
+    return checks.sanity(nodes).unionByName(_grammar(docs)).join(docs.select("doc_id", "name"), "doc_id")
 
 
 def consistency(spark: SparkSession, docbook: str, html: str, local: str = "link") -> DataFrame:

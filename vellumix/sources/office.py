@@ -366,7 +366,7 @@ class WordReader:
                 marks = link + ((("code", code),) if code else ()) + tuple((k, "") for k in ("strike", "u", "b", "i") if has(k)) + (((val("vertAlign"), ""),) if val("vertAlign") in ("superscript", "subscript") else ())
                 for x in run:
                     if x.tag == f"{W}t":
-                        out.append((marks, escape(x.text or "")))
+                        out.append((marks, escape(x.text or "", {'"': "&quot;"})))
                     elif x.tag in (f"{W}tab", f"{W}br"):
                         out.append((marks, "\t" if x.tag.endswith("tab") else "\n"))
                     elif x.tag == f"{W}drawing":
