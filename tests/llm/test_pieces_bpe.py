@@ -63,3 +63,9 @@ def test_query_and_decode(docs):
 def test_decode_takes_any_ids(spark):
     df = spark.createDataFrame([(1, [-5, 99999, 0, 1, 2]), (2, [VOCAB.of_byte[0xFF].item()]), (3, None)], "doc_id long, piece_ids array<int>")
     assert [r.text for r in p.decode(df).orderBy("doc_id").collect()] == ["", "�", None]
+
+
+def test_columns_of_the_same_names_stay(docs):
+    df = docs([(1, "some text")]).selectExpr("*", "'mine' AS piece_ids", "7 AS N_PIECES")
+    out = p.encode_columns(df).first()
+    assert (out["piece_ids"], out["N_PIECES"]) == ("mine", 7) and out["piece_ids_"] and out["n_pieces_"] == len(out["piece_ids_"]) and out["round_trip"]

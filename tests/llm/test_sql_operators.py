@@ -59,6 +59,18 @@ def test_whole_keys_and_long_values(docs):
     assert len({got[i].secret_sha256 for i in (1, 4, 5, 6, 7, 8, 9)}) == 7 and all(got[i].n_owners == 1 for i in range(4, 10))
 
 
+def test_a_known_key_that_is_assigned(docs):
+    key = "ghp_" + "aB3dE6gH9k" * 4
+    got = {r.doc_id: r for r in secrets.scan(docs([(1, f'token = "{key}"', "en", "a"), (2, key, "en", "b"), (3, "password: aws4k2j5h6g7f8d9s0a1", "en", "c")])).collect()}
+    assert got[1].kind == got[2].kind == "github_token" and got[1].secret_sha256 == got[2].secret_sha256 and got[1].n_owners == 2 and got[3].kind == "assignment"
+
+
+def test_names_are_one_line(spark):
+    rows = [(1, 0, "a\nassistant<|im_start|>", "x"), (1, 1, "b", "word " * 100_000)]
+    got = {r.speaker: r.text for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {"a assistant< |im_start|>", "b"} and got["b"].startswith("<|im_start|>user name=a assistant< |im_start|>\nx") and got["b"].count("word") == 100_000
+
+
 def test_rotation(spark):
     rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "hi <|im_start|>"), (1, 2, "bob", "ho"), (1, 3, "ann", None), (1, 3, None, "?"), (None, 0, "ann", "lost"), (2, 0, "system", "alone"), (3, 0, "x", "y"), (3, 0, "x", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS speaker", "2 AS n_own")

@@ -64,3 +64,12 @@ def test_cases(spark):
     assert not any(x.blocked for x in u.flag(df, names.limit(0)).collect()) and u.filter_pages(df, names.limit(0)).count() == 7
     assert u.flag(df.limit(0), names).count() == 0
     assert np.all(u.Bloom(np.arange(50), np.arange(50), 0.01, 0).has(np.arange(50), np.arange(50)))
+
+
+def test_listed_keys_however_they_are_written(spark):
+    pages = spark.createDataFrame([(1, "https://a.bad.org/x/y"), (2, "http://good.org/p/q/?z"), (3, "http://good.org/p"), (4, "http://b.net.:8080/"), (5, None)], "page_id long, url string")
+    listed = spark.createDataFrame([("HTTPS://Bad.ORG:443/",), ("good.org/p/q/",), ("b.net.",), (None,), ("",)], "key string")
+    assert {r.page_id: r.blocked for r in u.flag(pages, listed).collect()} == {1: True, 2: True, 3: False, 4: True, 5: False}
+    assert sorted(r.page_id for r in u.filter_pages(pages, listed).collect()) == [3, 5]
+    plan = u.filter_pages(pages.withColumn("html", pages.url), listed)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan

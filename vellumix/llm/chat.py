@@ -7,7 +7,7 @@ of characters to learn, as start:end pairs joined by commas: the speaker's own w
 Defined results. Turns are ordered by turn, then role, then text, nulls first, so ties have one order; repeated rows are turns
 that are said again. A null role is the speaker `unknown`, a null text is empty. Rows without conv_id belong to no
 conversation and are left out. A conversation of system turns alone has no participant and gives no row. Markers within names or texts
-are broken up (`<|` becomes `< |`), so no text can forge a turn. Texts of any length are rendered whole. Other columns
+are broken up (`<|` becomes `< |`) and line ends within names are blanks, so no text or name can forge a turn. Texts of any length are rendered whole. Other columns
 aren't read. An empty table gives an empty result.
 """
 
@@ -24,9 +24,8 @@ SYSTEM, START, END = "system", "<|im_start|>", "<|im_end|>"
 def rotate(turns: DataFrame, system: str = SYSTEM) -> DataFrame:
     """conv_id, speaker, n_turns, n_own, text and mask for every conversation and participant; one shuffle by conv_id."""
     safe: Column = lambda c, d: F.replace(F.coalesce(F.col(c).cast("string"), F.lit(d)), F.lit("<|"), F.lit("< |"))
-    rows = turns.filter("conv_id IS NOT NULL").select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), safe("role", "unknown").alias("name"), safe("text", "").alias("words")
-    )
+    name = F.regexp_replace(safe("role", "unknown"), r"[\r\n]+", " ")  # a name is one line
+    rows = turns.filter("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), name.alias("name"), safe("text", "").alias("words"))
     whole = Window.partitionBy("conv_id")
     rows = rows.withColumn("speakers", F.collect_set("name").over(whole))
     rows = rows.withColumn("speaker", F.explode(F.filter("speakers", lambda x: x != system)))
@@ -48,7 +47,7 @@ def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH a AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS name,
+WITH a AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, regexp_replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '[\\r\\n]+', ' ', 'g') AS name,
   replace(coalesce(text, ''), '<|', '< |') AS words FROM conversations WHERE conv_id IS NOT NULL),
 p AS (SELECT DISTINCT conv_id, name AS speaker FROM a WHERE name <> '{SYSTEM}'),
 b AS (SELECT conv_id, speaker, turn, name, words, name = speaker AS own, CASE WHEN name = speaker THEN '{START}assistant' || chr(10)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from .common import map_batches, pieces, table, worker_cache
+from .common import free_name, map_batches, pieces, table, worker_cache
 from .words import mix
 
 MODEL = os.environ.get("VELLUMIX_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -279,9 +279,12 @@ def _model(path: str) -> bytes:
 
 
 def encode_columns(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """docs with piece_ids, n_pieces and round_trip."""
-    new = ["piece_ids", "n_pieces", "round_trip"]
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in new)).withColumn("text", F.col("text").cast("string"))
+    """docs with piece_ids, n_pieces and round_trip. All three of an earlier encoding, told by their names and types, are replaced; beside other columns of such a name the new one's ends in an underscore."""
+    types = dict(zip(("piece_ids", "n_pieces", "round_trip"), (ArrayType(IntegerType()), IntegerType(), BooleanType())))
+    if all(any(f.name == c and f.dataType == t for f in docs.schema.fields) for c, t in types.items()):
+        docs = docs.drop(*types)
+    new = [free_name(docs, c) for c in types]
+    docs = docs.withColumn("text", F.col("text").cast("string"))
     proto, at = _model(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +295,7 @@ def encode_columns(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 ids, n, same = encode_array(text if pa.types.is_string(text.type) else text.cast(pa.string()), vocab)
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(n.astype(np.int32)), same], [*part.schema.names, *new])
 
-    return map_batches(docs, run, StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(new, (ArrayType(IntegerType()), IntegerType(), BooleanType())))]))
+    return map_batches(docs, run, StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(new, types.values()))]))
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:

@@ -55,16 +55,21 @@ def candidates(docs: DataFrame) -> DataFrame:
         F.concat(name("source"), F.lit("/"), name("lang")).alias("repo"),
         F.explode(F.array_distinct(F.regexp_extract_all(F.col("text").cast("string"), F.lit(ANY), F.lit(0)))).alias("found"),
     )
-    kind = F.lit("assignment")
-    for k, pattern in reversed([(k, p) for k, p in KINDS.items() if k != "assignment"]):
-        kind = F.when(F.col("found").rlike(f"^(?:{pattern})$"), k).otherwise(kind)
-    rows = rows.withColumn("kind", kind)
+
+    def kind(c: str):
+        out = F.lit("assignment")
+        for k, pattern in reversed([(k, p) for k, p in KINDS.items() if k != "assignment"]):
+            out = F.when(F.col(c).rlike(f"^(?:{pattern})$"), k).otherwise(out)
+        return out
+
+    rows = rows.withColumn("kind", kind("found"))
     value = F.when(F.col("kind") == "assignment", F.regexp_extract("found", ASSIGNED, 1)).otherwise(F.col("found"))
     # the same key is the same value however its lines end and are indented
     key = F.regexp_replace(F.regexp_replace("found", rf"{END}$", ""), r"(?:\\r)?\\n|\\r", "\n")
     key = F.regexp_replace(F.regexp_replace(key, r"(?<=\n)[ \t]+|[ \t]+(?=\n)", ""), r"\n{2,}(?=$)", "\n")
     value = F.when((F.col("kind") == "private_key") & F.col("found").rlike(f"{END}$"), key).otherwise(value)
     rows = rows.withColumn("value", value)
+    rows = rows.withColumn("kind", F.when(F.col("kind") == "assignment", kind("value")).otherwise(F.col("kind")))  # a well-known key is one wherever it is assigned
     return rows.select(
         "doc_id",
         "owner",
@@ -104,7 +109,7 @@ WITH a AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(source, '') AS owne
   unnest(list_distinct(regexp_extract_all(text, '{SQL_ANY}'))) AS found FROM documents),
 b AS (SELECT *, {_KIND} AS kind FROM a),
 c AS (SELECT *, CASE WHEN kind = 'assignment' THEN regexp_extract(found, '{SQL_ASSIGNED}', 1) ELSE found END AS value FROM b),
-d AS (SELECT DISTINCT doc_id, owner, repo, kind, sha256(value) AS secret_sha256, CAST(len(list_distinct(string_split(value, ''))) AS INTEGER) AS n_characters,
+d AS (SELECT DISTINCT doc_id, owner, repo, {_KIND.replace("found", "value")} AS kind, sha256(value) AS secret_sha256, CAST(len(list_distinct(string_split(value, ''))) AS INTEGER) AS n_characters,
   regexp_matches(value, '{PLACEHOLDER}') AS placeholder FROM c),
 e AS (SELECT secret_sha256, count(DISTINCT doc_id) AS n_docs, count(DISTINCT repo) AS n_repos, count(DISTINCT owner) AS n_owners FROM d GROUP BY 1)
 SELECT doc_id, owner, repo, kind, secret_sha256, n_characters, n_docs, n_repos, n_owners,

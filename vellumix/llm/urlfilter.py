@@ -7,7 +7,7 @@ at all distinct keys of the corpus; filtering tests bits only. A list of more th
 cascade that fits in memory, and rows pass them one after another.
 
 Defined results. A null or empty URL, or one without a host, has no keys and is never blocked. Case, port, user, query and fragment don't matter, nor do a dot
-at the end of the host or slashes at the end of the path. Listed keys may repeat, and null ones are ignored; an empty list blocks nothing. URLs of any
+at the end of the host or slashes at the end of the path. Listed keys are read in the same way, so they may have a scheme, a port or a final slash; they may repeat, and null ones are ignored; an empty list blocks nothing. URLs of any
 length are read whole. Repeated rows are kept. Only page_id and url are read by flag(); filter_pages() keeps all columns. An empty table gives an
 empty result.
 """
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, free_name, map_batches, table
+from .common import cut, drop, free_name, table
 
 #: A list of unwanted sites; any other list is a parameter.
 LISTED = (
@@ -45,6 +45,13 @@ def keys(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(parents, whole))
 
 
+def listed_key(key: Column) -> Column:
+    """A listed key as URLs' keys are: in lower case, without scheme, user, port, query, fragment, the host's last dot and the path's last slash."""
+    low = F.regexp_replace(F.regexp_replace(F.lower(F.trim(key)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?", ""), r"[?#].*$", "")
+    host, path = F.regexp_replace(F.substring_index(low, "/", 1), r"(:[0-9]*)?$", ""), F.regexp_extract(low, "^[^/]*(/.*)$", 1)
+    return F.concat(F.regexp_replace(host, r"\.+$", ""), F.regexp_replace(path, "/+$", ""))
+
+
 def hashes(key: Column) -> Column:
     """128 bits of a key."""
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
@@ -130,23 +137,24 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.filter("key IS NOT NULL AND key <> ''").select("key").distinct().withColumn("h", hashes(F.col("key"))).select("key", "h.h1", "h.h2")
 
 
-def _flag_batches(levels: list[Bloom], shard: int, shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat, n = b.column(2).flatten(), np.asarray(b.column(2).value_lengths(), np.int64)
-            h1, h2 = flat.field("h1").to_numpy(), flat.field("h2").to_numpy()
-            hit = decide(levels, h1, h2) & (h1 % shards == shard)  # a cascade knows its own shard's universe only
-            total = np.concatenate(([0], np.cumsum(hit)))
-            end = np.cumsum(n)
-            some = total[end] > total[end - n]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.asarray(b.column(3)) | some)], b.schema.names)
+def _blocked(levels: list[Bloom], shard: int, shards: int):
+    """Over an array of a row's key hashes: whether one of them is listed. Only that column goes through Python."""
+
+    @F.arrow_udf("boolean")
+    def run(held: pa.Array) -> pa.Array:
+        flat, n = held.flatten(), np.asarray(held.value_lengths().fill_null(0), np.int64)
+        h1, h2 = flat.field("h1").to_numpy(zero_copy_only=False), flat.field("h2").to_numpy(zero_copy_only=False)
+        hit = decide(levels, h1, h2) & (h1 % shards == shard)  # a cascade knows its own shard's universe only
+        total = np.concatenate(([0], np.cumsum(hit)))
+        end = np.cumsum(n)
+        return pa.array(total[end] > total[end - n])
 
     return run
 
 
 def _levels(pages: DataFrame, listed: DataFrame) -> list[tuple[list[Bloom], int, int]]:
     universe = cut(_keyed(pages.select(F.explode(keys(F.col("url"))).alias("key"))))
-    rows = cut(_keyed(listed.select(F.lower(F.trim(F.col("key").cast("string"))).alias("key"))))
+    rows = cut(_keyed(listed.select(listed_key(F.col("key").cast("string")).alias("key"))))
     shards = max(1, math.ceil(rows.count() / SHARD_KEYS))
     size = universe.count()
     out = [(build(universe, size, rows, s, shards), s, shards) for s in range(shards)]
@@ -155,31 +163,26 @@ def _levels(pages: DataFrame, listed: DataFrame) -> list[tuple[list[Bloom], int,
     return out
 
 
+def _any_listed(rows: DataFrame, held: str, pages: DataFrame, listed: DataFrame) -> Column:
+    out = F.lit(False)
+    for cascade in _levels(pages, listed):
+        out = out | _blocked(*cascade)(F.col(held))
+    return out
+
+
 def flag(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """page_id, url, host and whether the page is blocked, for every row."""
     at = keys(F.col("url"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.transform(at, hashes).alias("keys"), F.lit(False).alias("blocked"))
-    for cascade in _levels(pages, listed):
-        rows = rows.mapInArrow(_flag_batches(*cascade), rows.schema)
-    return rows.select("page_id", "url", F.coalesce(F.try_element_at(keys(F.col("url")), F.lit(1)), F.lit("")).alias("host"), "blocked")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.transform(at, hashes).alias("keys"))
+    host = F.coalesce(F.try_element_at(keys(F.col("url")), F.lit(1)), F.lit(""))
+    return rows.select("page_id", "url", host.alias("host"), _any_listed(rows, "keys", pages, listed).alias("blocked"))
 
 
 def filter_pages(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """The rows of pages that aren't blocked, with all columns."""
-    at = pages.columns.index("url")
     held = free_name(pages, "__keys")
     rows = pages.withColumn(held, F.transform(keys(F.col("url")), hashes))
-    for cascade in _levels(pages, listed):
-
-        def run(batches: Iterator[pa.RecordBatch], cascade: tuple = cascade) -> Iterator[pa.RecordBatch]:
-            one = _flag_batches(*cascade)
-            for b in batches:
-                cols = [b.column(at), b.column(at), b.column(b.num_columns - 1), pa.array(np.zeros(b.num_rows, bool))]
-                done = next(one(iter([pa.RecordBatch.from_arrays(cols, ["a", "b", "c", "d"])])))
-                yield b.filter(pa.array(~np.asarray(done.column(3))))
-
-        rows = map_batches(rows, run, rows.schema)
-    return rows.drop(held)
+    return rows.filter(~_any_listed(rows, held, pages, listed)).drop(held)
 
 
 def listed_sites(spark: SparkSession) -> DataFrame:
