@@ -7,7 +7,11 @@ import pytest
 from vellumix.plans import catalog, registry
 
 DATA = Path("/root/testdata/sf0.001")
-SOME = "scan_extension referenced_files json_sidecar repair_rules common_prefix compare_member_sets nearest_ancestor set_operations shredded_tree mapped_documents list_moves run_format_delta coalesce_adjacent articles_mapped".split()
+SOME = (
+    "scan_extension referenced_files json_sidecar repair_rules common_prefix compare_member_sets nearest_ancestor set_operations ordered_union bibliography_numbers shredded_tree mapped_documents list_moves run_format_delta "
+    "coalesce_adjacent articles_mapped article_assembled books_assembled constructs_assembled documents_disassembled forms_disassembled mapping_warnings no_formatting office_metadata office_tables office_lists office_named_lists "
+    "office_books office_problems merged_after_proofreading merged_translation members_compared repair_damage xinclude sidecar_chain grammar_faults relative_paths"
+).split()
 
 
 def test_all_sql_belongs_to_a_query():
