@@ -37,9 +37,9 @@ def expand(docs: DataFrame, name: str, content: str, most: int = 5) -> DataFrame
 
 
 def configured(docs: DataFrame, path: str, given: str, files: DataFrame) -> DataFrame:
-    """docs with `config`: what is given, else the first there of the files (file, config) that may stand beside a document: its name with .json, without a final _dvp; its whole name and .json; related.json of its folder."""
+    """docs with `config`: what is given, else the first there of the files (file, config) that may stand beside a document: its name with .json, without a final _article; its whole name and .json; related.json of its folder."""
     folder = F.regexp_replace(path, "[^/]*$", "")
-    asked = [F.regexp_replace(path, "(_dvp)?[.]xml$", ".json"), F.concat(path, F.lit(".json")), F.concat(folder, F.lit("related.json"))]
+    asked = [F.regexp_replace(path, "(_article)?[.]xml$", ".json"), F.concat(path, F.lit(".json")), F.concat(folder, F.lit("related.json"))]
     out = docs
     for k, file in enumerate(asked):
         out = out.withColumn("__file", file).join(files.select(F.col("file").alias("__file"), F.col("config").alias(f"__config{k}")), "__file", "left").drop("__file")

@@ -45,7 +45,7 @@ DAMAGE: list[tuple[str, str, str, str]] = [
     ("R16", "command-reference", f'<variablelist role="macros-x">\n{ITEM}</variablelist>', f'<itemizedlist role="macros-x">\n{ITEM}</itemizedlist>'),
     ("R17", "blur-effect", f"a{{n}}\n{PICTURE}", f"a{{n}}\n{FIGURE}"),
     ("R18", "combo-box", f"<td>\n{PICTURE}\n</td>\n<td>\n{PICTURE}\n</td>", f"<td>\n{FIGURE}\n</td>\n<td>\n{FIGURE}\n</td>"),
-    ("R19", "colours", '{n} <div style="padding:10px;color:#fff;background:#a1B2c3;"></div>', '{n} <phrase role="color:#a1B2c3">' + "&#160;" * 10 + "</phrase>"),
+    ("R19", "colours", '{n} <div style="border:0;background:#a1B2c3;"></div>', '{n} <phrase role="color:#a1B2c3">' + "&#160;" * 10 + "</phrase>"),
     ("R20", "licence-list", '<bridgehead renderas="sect2" xml:id="more">More</bridgehead><para>{n}</para>\n<variablelist>\n</variablelist>\n</article>', '<section xml:id="more"><title>More</title><para>{n}</para>\n<variablelist>\n</variablelist>\n</section>\n</article>'),
     ("R21", "markup-commands", '    <blockquote>\n<h1 class="title">{n}</h1>\n<p>x</p>\n    </blockquote>', '<blockquote><programlisting role="raw-html"><![CDATA[<h1 class="title">{n}</h1>\n<p>x</p>]]></programlisting></blockquote>'),
     ("R22", "any", '<videodata fileref="v{n}"></videodata>', '<?db video="iframe"?>\n<videodata format="youtube" fileref="v{n}"></videodata>'),

@@ -65,14 +65,14 @@ def attribute_templates(t, _):
     return t("orders").select("o_orderkey", made.alias("opening"))
 
 
-@query("D10 D12 D11", """WITH p AS (SELECT p_partkey, 'd' || p_size || '/' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '_dvp' ELSE '' END || '.xml' AS path, p_size, p_partkey % 4 AS k FROM part)
+@query("D10 D12 D11", """WITH p AS (SELECT p_partkey, 'd' || p_size || '/' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '_article' ELSE '' END || '.xml' AS path, p_size, p_partkey % 4 AS k FROM part)
 SELECT p_partkey, CASE WHEN k = 0 THEN 'given' WHEN k = 1 THEN 'sidecar ' || p_partkey WHEN k = 2 THEN 'appended ' || p_partkey WHEN p_size % 2 = 0 THEN 'related ' || p_size ELSE '{}' END AS config FROM p""")
 def sidecar_chain(t, _):
-    """A document's configuration: given, else the file of its name with .json (without _dvp), else its whole name and .json, else its folder's related.json, else nothing."""
+    """A document's configuration: given, else the file of its name with .json (without _article), else its whole name and .json, else its folder's related.json, else nothing."""
     part = t("part").withColumn("k", F.col("p_partkey") % 4)
     folder = F.concat(F.lit("d"), F.col("p_size").cast("string"))
     key = F.col("p_partkey").cast("string")
-    path = F.concat(folder, F.lit("/"), key, F.when(F.col("p_partkey") % 3 == 0, "_dvp").otherwise(""), F.lit(".xml"))
+    path = F.concat(folder, F.lit("/"), key, F.when(F.col("p_partkey") % 3 == 0, "_article").otherwise(""), F.lit(".xml"))
     docs = part.select("p_partkey", path.alias("path"), F.when(F.col("k") == 0, "given").alias("given"))
     beside = part.filter("k = 1").select(F.concat(folder, F.lit("/"), key, F.lit(".json")).alias("file"), F.concat(F.lit("sidecar "), key).alias("config"))
     behind = part.filter("k = 2").select(F.concat(path, F.lit(".json")).alias("file"), F.concat(F.lit("appended "), key).alias("config"))
