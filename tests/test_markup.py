@@ -105,5 +105,5 @@ def test_reading_folders(spark, tmp_path):
         p.write_text("<x/>")
     names = lambda depth: sorted(r.name for r in markup.read_folder(spark, str(tmp_path), depth=depth).collect())
     assert names(1) == ["a"] and names(2) == ["a", "c"] and names(None) == ["a", "c", "d"]
-    markup.write_documents(spark.createDataFrame([("p1", "one"), ("p2", "two")], "out_path string, content string"), str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).filter("out_path = 'p2'").first().value == "two"
+    assert markup.write_files(spark.createDataFrame([("p1", "one"), ("p2", "two")], "out_path string, content string"), str(tmp_path / "out")) == 2
+    assert spark.read.text(str(tmp_path / "out" / "p2")).first().value == "two"
