@@ -1,4 +1,4 @@
-"""Tree navigation, numbering, mapping and checks over a tree of regions, nations and customers (C, F, N, R, S)."""
+"""Tree navigation, numbering, mapping and checks over trees of customers, priorities and orders (C, F, N, R, S)."""
 
 from __future__ import annotations
 
@@ -11,16 +11,16 @@ from .registry import query
 
 
 def section_nodes(t):
-    """One document per region: article > section (nations) > para (customers, their names as text)."""
-    r, n, c = t("region"), t("nation"), t("customer")
-    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    rows = rows.select(F.col("r_regionkey").cast("long").alias("doc_id"), "r_name", "n_nationkey", "n_name", "c_custkey", "c_name", "c_mktsegment")
-    doc = Window.partitionBy("doc_id").orderBy("n_nationkey", "c_custkey")
-    rows = rows.withColumn("row", F.row_number().over(doc)).withColumn("sec", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("n_nationkey")))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "n_nationkey").orderBy("c_custkey")))
-    rows = rows.withColumn("size", F.count("*").over(Window.partitionBy("doc_id", "n_nationkey"))).withColumn("all", F.count("*").over(Window.partitionBy("doc_id")))
+    """One document per customer with orders: article > section (priorities) > para (orders, their days as text). Documents grow in number, not in size."""
+    c, o = t("customer"), t("orders")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.select(F.col("c_custkey").cast("long").alias("doc_id"), "c_name", F.coalesce("o_orderpriority", F.lit("")).alias("part"), "o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    doc = Window.partitionBy("doc_id").orderBy("part", "o_orderkey")
+    rows = rows.withColumn("row", F.row_number().over(doc)).withColumn("sec", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("part")))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("o_orderkey")))
+    rows = rows.withColumn("size", F.count("*").over(Window.partitionBy("doc_id", "part"))).withColumn("all", F.count("*").over(Window.partitionBy("doc_id")))
     rows = rows.withColumn("secs", F.max("sec").over(Window.partitionBy("doc_id")))
-    # each customer is a para and a text; before a row stand its sections (one each) and the rows before it (two each)
+    # each order is a para and a text; before a row stand its sections (one each) and the rows before it (two each)
     at = F.col("sec") + 2 * F.col("row")  # pre of the para
     first = F.col("row") - F.col("k")  # rows before the section
     sec_pre = F.col("sec") + 2 * first + 1
@@ -28,20 +28,20 @@ def section_nodes(t):
     none = F.lit(None).cast("string")
     para_post = 2 * F.col("row") + F.col("sec") - 1
     nodes = F.array(
-        node(at, para_post, sec_pre, 2, F.col("k"), "elem", "para", F.col("c_mktsegment"), none),
-        node(at + 1, para_post - 1, at, 3, F.lit(1), "text", "#text", none, F.col("c_name")),
+        node(at, para_post, sec_pre, 2, F.col("k"), "elem", "para", F.col("o_orderstatus"), none),
+        node(at + 1, para_post - 1, at, 3, F.lit(1), "text", "#text", none, F.col("day")),
     )
-    section = F.when(F.col("k") == 1, F.array(node(sec_pre, 2 * (first + F.col("size")) + F.col("sec"), F.lit(1), 1, F.col("sec"), "elem", "section", F.col("n_name"), none))).otherwise(F.array().cast("array<struct<pre:int,post:int,parent:int,depth:int,sib:int,kind:string,local:string,id:string,text:string>>"))
-    root = F.when(F.col("row") == 1, F.array(node(F.lit(1), 2 * F.col("all") + F.col("secs") + 1, F.lit(0), 0, F.lit(1), "elem", "article", F.col("r_name"), none))).otherwise(F.array().cast("array<struct<pre:int,post:int,parent:int,depth:int,sib:int,kind:string,local:string,id:string,text:string>>"))
+    section = F.when(F.col("k") == 1, F.array(node(sec_pre, 2 * (first + F.col("size")) + F.col("sec"), F.lit(1), 1, F.col("sec"), "elem", "section", F.col("part"), none))).otherwise(F.array().cast("array<struct<pre:int,post:int,parent:int,depth:int,sib:int,kind:string,local:string,id:string,text:string>>"))
+    root = F.when(F.col("row") == 1, F.array(node(F.lit(1), 2 * F.col("all") + F.col("secs") + 1, F.lit(0), 0, F.lit(1), "elem", "article", F.col("c_name"), none))).otherwise(F.array().cast("array<struct<pre:int,post:int,parent:int,depth:int,sib:int,kind:string,local:string,id:string,text:string>>"))
     return rows.select("doc_id", F.explode(F.concat(nodes, section, root)).alias("n")).select("doc_id", "n.*")
 
 
-NODES = """WITH base AS (SELECT CAST(r_regionkey AS BIGINT) AS doc_id, r_name, n_nationkey, n_name, c_custkey, c_name, c_mktsegment FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON n_nationkey = c_nationkey),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n_nationkey, c_custkey) AS r, dense_rank() OVER (PARTITION BY doc_id ORDER BY n_nationkey) AS s, row_number() OVER (PARTITION BY doc_id, n_nationkey ORDER BY c_custkey) AS k FROM base),
-flat AS (SELECT doc_id, 1 AS pre, 0 AS parent, 0 AS depth, 'elem' AS kind, 'article' AS local, any_value(r_name) AS id, NULL AS text FROM numbered GROUP BY doc_id
-UNION ALL SELECT doc_id, min(s + 2 * (r - k) + 1), 1, 1, 'elem', 'section', any_value(n_name), NULL FROM numbered GROUP BY doc_id, n_nationkey
-UNION ALL SELECT doc_id, s + 2 * r, s + 2 * (r - k) + 1, 2, 'elem', 'para', c_mktsegment, NULL FROM numbered
-UNION ALL SELECT doc_id, s + 2 * r + 1, s + 2 * r, 3, 'text', '#text', NULL, c_name FROM numbered),
+NODES = """WITH base AS (SELECT CAST(c_custkey AS BIGINT) AS doc_id, c_name, coalesce(o_orderpriority, '') AS part, o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders JOIN customer ON o_custkey = c_custkey),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, o_orderkey) AS r, dense_rank() OVER (PARTITION BY doc_id ORDER BY part) AS s, row_number() OVER (PARTITION BY doc_id, part ORDER BY o_orderkey) AS k FROM base),
+flat AS (SELECT doc_id, 1 AS pre, 0 AS parent, 0 AS depth, 'elem' AS kind, 'article' AS local, any_value(c_name) AS id, NULL AS text FROM numbered GROUP BY doc_id
+UNION ALL SELECT doc_id, min(s + 2 * (r - k) + 1), 1, 1, 'elem', 'section', part, NULL FROM numbered GROUP BY doc_id, part
+UNION ALL SELECT doc_id, s + 2 * r, s + 2 * (r - k) + 1, 2, 'elem', 'para', o_orderstatus, NULL FROM numbered
+UNION ALL SELECT doc_id, s + 2 * r + 1, s + 2 * r, 3, 'text', '#text', NULL, day FROM numbered),
 ends AS (SELECT *, coalesce(min(pre) FILTER (depth <= 0) OVER w, 2147483647) AS e0, coalesce(min(pre) FILTER (depth <= 1) OVER w, 2147483647) AS e1, coalesce(min(pre) FILTER (depth <= 2) OVER w, 2147483647) AS e2 FROM flat WINDOW w AS (PARTITION BY doc_id ORDER BY pre ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 nodes AS (SELECT doc_id, CAST(pre AS INTEGER) AS pre, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE depth WHEN 3 THEN pre + 1 WHEN 2 THEN e2 WHEN 1 THEN e1 ELSE e0 END, depth DESC) AS INTEGER) AS post, CAST(parent AS INTEGER) AS parent, depth,
 CAST(row_number() OVER (PARTITION BY doc_id, parent ORDER BY pre) AS INTEGER) AS sib, kind, local, id, text FROM ends)
@@ -53,10 +53,10 @@ def shredded_tree(t, _):
     return section_nodes(t)
 
 
-@query("C01", NODES + "SELECT doc_id, pre, id FROM nodes WHERE (doc_id, parent) IN (SELECT doc_id, pre FROM nodes WHERE local = 'section' AND id LIKE '%A%')")
+@query("C01", NODES + "SELECT doc_id, pre, id FROM nodes WHERE (doc_id, parent) IN (SELECT doc_id, pre FROM nodes WHERE local = 'section' AND id LIKE '%E%')")
 def child_axis(t, _):
     nodes = section_nodes(t)
-    return tree.children(nodes, nodes.filter("local = 'section' AND id LIKE '%A%'")).select("doc_id", "pre", "id")
+    return tree.children(nodes, nodes.filter("local = 'section' AND id LIKE '%E%'")).select("doc_id", "pre", "id")
 
 
 @query("C03 C18 ", NODES + "SELECT a.doc_id, a.pre, b.local AS parent_local, b.id AS parent_id FROM nodes a LEFT JOIN nodes b ON a.doc_id = b.doc_id AND a.parent = b.pre")
@@ -81,15 +81,15 @@ def preceding_sibling_axis(t, _):
     return rows.filter(~F.col("before").eqNullSafe(F.col("id"))).select("doc_id", "pre", "before")
 
 
-@query("C06 F08", NODES + "SELECT doc_id, pre FROM nodes a WHERE EXISTS (SELECT 1 FROM nodes b WHERE a.doc_id = b.doc_id AND a.parent = b.parent AND a.pre > b.pre AND b.id = 'BUILDING')")
+@query("C06 F08", NODES + "SELECT doc_id, pre FROM nodes a WHERE EXISTS (SELECT 1 FROM nodes b WHERE a.doc_id = b.doc_id AND a.parent = b.parent AND a.pre > b.pre AND b.id = 'F')")
 def following_sibling_axis(t, _):
     nodes = section_nodes(t)
-    return tree.following_siblings(nodes, nodes.filter("id = 'BUILDING'")).select("doc_id", "pre")
+    return tree.following_siblings(nodes, nodes.filter("id = 'F'")).select("doc_id", "pre")
 
 
-@query("C07 F04 ", NODES + "SELECT doc_id, pre, count(*) FILTER (id = 'BUILDING') OVER (PARTITION BY doc_id ORDER BY pre ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM nodes")
+@query("C07 F04 ", NODES + "SELECT doc_id, pre, count(*) FILTER (id = 'F') OVER (PARTITION BY doc_id ORDER BY pre ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM nodes")
 def count_preceding_axis(t, _):
-    return section_nodes(t).select("doc_id", "pre", tree.count_preceding(F.col("id") == "BUILDING").alias("n"))
+    return section_nodes(t).select("doc_id", "pre", tree.count_preceding(F.col("id") == "F").alias("n"))
 
 
 @query("C09 F01", NODES + "SELECT doc_id, pre, row_number() OVER (PARTITION BY doc_id, parent, local ORDER BY pre) AS position, count(*) OVER (PARTITION BY doc_id, parent, local) AS last FROM nodes")
