@@ -114,8 +114,11 @@ def filter_docs(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     work = free_name(docs, WORK)
     needed = {r.measure for r in rules} | {"n_words"}
     rows = docs.withColumn(work, tokens())
-    rows = rows.withColumn(work, F.struct(*(c.alias(k) for k, c in measures(work).items() if k in needed)))
-    return rows.filter(broken(rules, {k: F.col(f"{work}.{k}") for k in needed}) == "").drop(work)
+    # a filter isn't pushed through a generator: else it would spell out the tokens anew for each measure in each rule
+    measured = F.explode(F.array(F.struct(*(c.alias(k) for k, c in measures(work).items() if k in needed))))
+    found = free_name(rows, work)
+    kept = broken(rules, {k: F.col(f"{found}.{k}") for k in needed}) == ""
+    return rows.select("*", measured.alias(found)).filter(kept).drop(work, found)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
