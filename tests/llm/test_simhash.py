@@ -63,10 +63,46 @@ def test_recall_and_precision(docs):
     assert all(root[i] == root[j] for i, j in got.items())
 
 
-def test_the_plan_keeps_recall_at_every_size():
-    for n in (2, 10**3, 10**6, 10**9, 10**11):
-        bits, tries = s.plan_tries(n)
-        assert 1 - (1 - (1 - s.BUDGET / s.BITS) ** bits) ** tries >= 0.9
+def far_copies(n=500, seed=12):
+    """Texts and copies with so many words changed that their fingerprints differ in about as many bits as the budget."""
+    r = random.Random(seed)
+    words = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    rows = []
+    for _ in range(n):
+        text = words(r.randint(60, 250))
+        for _ in range(2):
+            copy = list(text)
+            for k in r.sample(range(len(copy)), int(len(copy) * r.uniform(0.04, 0.07))):
+                copy[k] = words(1)[0]
+            rows.append(" ".join(copy))
+    return rows
+
+
+def test_no_pair_within_the_budget_is_left_out(docs):
+    """Pairs that use up nearly the whole budget, too: the groups are those of all pairs."""
+    texts = far_copies()
+    _, f, pairs = all_pairs(texts)
+    assert sum(np.bitwise_count(f[a] ^ f[b]).sum() > s.BUDGET - 4 for a, b in pairs) >= 50
+    got = {r.doc_id: r.duplicate_of for r in s.near_duplicates(docs(list(enumerate(texts)))).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == groups(pairs, len(texts))
+
+
+def test_cells_of_a_band_are_all_paired(docs, monkeypatch):
+    monkeypatch.setattr(s, "CELL", 60)
+    texts = corpus(600)
+    _, _, pairs = all_pairs(texts)
+    got = {r.doc_id: r.duplicate_of for r in s.near_duplicates(docs(list(enumerate(texts)))).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == groups(pairs, len(texts))
+
+
+def test_tries_equal_all_pairs_within_and_across(monkeypatch):
+    n, f, pairs = all_pairs(far_copies(400) + corpus(300))
+    side = np.random.default_rng(1).integers(0, 2, len(f)).astype(np.int8)
+    for across in (False, True):
+        want = groups([(a, b) for a, b in pairs if not across or side[a] != side[b]], len(f))
+        for limit in (1 << 30, 0):  # all pairs, then tries
+            monkeypatch.setattr(s, "DENSE_PAIRS", limit)
+            assert groups(s.near_pairs(side if across else side * 0, f, n, across).tolist(), len(f)) == want
 
 
 def test_cases(docs):
@@ -95,22 +131,25 @@ def test_components_of_a_hub_and_a_chain(spark):
     assert got == {i: 0 for i in range(1, 400)} | {1001 + i: 1000 for i in range(60)}
 
 
-def test_simulated_recall_with_long_prefixes():
+def test_every_set_of_bits_within_the_budget_passes_some_ring():
     r = np.random.default_rng(8)
-    base = r.integers(0, 2, (2000, s.BITS))
-    other = base.copy()
-    for row in other:
-        row[r.permutation(s.BITS)[: s.BUDGET]] ^= 1
-    f, g = (np.packbits(x.astype(np.uint8), axis=1, bitorder="little").view(np.uint64) for x in (base, other))
-    for n in (10**5, 10**8, 10**11):
-        bits, tries = s.plan_tries(n)
-        met = np.zeros(len(f), bool)
-        for i in range(tries):
-            met |= s.prefix_of(f, i, bits) == s.prefix_of(g, i, bits)
-        assert met.mean() >= s.RECALL - 0.02, n
-
-
-def test_prefix_is_the_top_of_the_permuted_fingerprint():
-    f = np.random.default_rng(9).integers(0, 1 << 63, (50, 4)).astype(np.uint64)
-    top = s._permuted(f, s.bit_order(5))[:, 0] >> np.uint64(64 - 27)
-    assert (top.view(np.int64) == s.prefix_of(f, 5, 27)).all()
+    rings = s.rings(s.BUDGET)
+    assert all(len(most) == s.BITS + 1 and most[-1] == s.BUDGET for _, most in rings)
+    spread = np.arange(s.BUDGET) * s.BITS // s.BUDGET
+    runs = [np.arange(s.BUDGET) + k for k in range(0, s.BITS, 5)]
+    for at in [r.permutation(s.BITS)[: s.BUDGET] for _ in range(2000)] + [spread + k for k in range(7)] + runs:
+        bits = np.zeros(s.BITS, int)
+        bits[at % s.BITS] = 1
+        assert any((np.cumsum(np.roll(bits, -start)) <= most[1:]).all() for start, most in rings)
+
+
+def test_rotation_begins_with_the_bit():
+    f = np.random.default_rng(9).integers(0, 1 << 64, (50, 4), dtype=np.uint64)
+    bits = np.unpackbits(f.astype(">u8").view(np.uint8), axis=1)
+    for start in (0, 1, 63, 64, 100, 255):
+        assert (np.unpackbits(s.rotated(f, start).astype(">u8").view(np.uint8), axis=1) == np.roll(bits, -start, axis=1)).all()
+
+
+def test_counts_within_the_ratio_are_one_band_apart_at_most():
+    low = np.concatenate((np.arange(1, 200_000), np.random.default_rng(2).integers(1, 1 << 30, 100_000)))
+    assert (s.band_of(np.floor(low / s.LENGTH_RATIO + 1e-6)) - s.band_of(low) <= 1).all()

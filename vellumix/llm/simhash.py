@@ -1,16 +1,18 @@
-"""Near-duplicate documents by SimHash, found with a self-join of binary tries.
+"""Near-duplicate documents by SimHash: all pairs within the budget are found, in large sets with binary tries.
 
 A document's fingerprint has 256 bits: each distinct lower-cased word votes on every bit. Two documents are near copies
 if their fingerprints differ in at most `budget` bits and their word counts in at most a fifth. Groups are the connected
 components of that relation; the smallest doc_id of a group stands for it.
 
-Search: the fingerprints are put into several binary tries, each over the 256 bits in another random order, so that tries
-miss a pair independently of each other. A trie is
-distributed by the subtrees below its first `prefix_bits` levels. Within a subtree pairs of nodes are traversed together,
-level by level, adding up the bits in which they differ, and a pair is pruned once it has more than the budget. A pair of
-documents is missed only if it differs within the first bits of every trie; plan_tries() picks the number of tries so
-that a pair that uses up the whole budget is met with a chance of RECALL or more (nearer pairs nearly always), and lengthens
-the prefix with the corpus, so that subtrees keep their size. Any two documents met are compared exactly: no false pairs.
+Search, exact in two steps. (1) Word counts fall into bands, each somewhat wider than the ratio allowed, so near copies lie in one band
+or in two neighbouring ones. Bands of more than CELL leaves are split into cells by a hash; each pair of cells of one band or of neighbouring bands, and each
+cell with itself, is a task. (2) A small task compares all pairs whose word counts allow it. In a large one the bits are read as a ring of boxes; the boxes are allowed ALLOWED differing bits each, budget + 1 in all.
+A pair that differs in budget bits at most stays below what is allowed in all; so there is a box from which on, around the ring,
+it stays below what the boxes so far are allowed, after each of them (the cycle lemma). The leaves are put into one trie for each box to begin with, pairs of nodes are traversed
+together, level by level, adding up the bits in which they differ, and a pair is pruned once it has what its boxes are allowed. No pair is
+missed, whatever bits it differs in, and pairs met are compared over all bits: no false ones.
+
+The work grows with the leaves of a task to the power 1 to 2; beyond CELL leaves in a band it grows with their square, as the number of tasks does.
 
 Defined results. Null or empty texts and texts without a word are never grouped. Rows with a null doc_id are left out of
 near_duplicates() and kept by deduplicate(). Rows that repeat a doc_id count as one document; deduplicate() keeps one of
@@ -32,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import cut, drop, free_name, pieces, table, text_of, utf8
 from .words import WordHasher, mix
 
-BITS, BUDGET, LENGTH_RATIO, RECALL, LEAF_BITS = 256, 40, 0.8, 0.92, 9
-PIECE_BYTES, CHUNK_ROWS, LEAF_PAIRS, SLICE, ORDER_SEED = 1 << 20, 1 << 16, 64, 1 << 20, 17
+BITS, BUDGET, LENGTH_RATIO, ALLOWED = 256, 40, 0.8, 2
+BAND_RATIO = 1 / LENGTH_RATIO + 0.01  # somewhat more than the ratio, so that rounding can't put near copies two bands apart
+PIECE_BYTES, CELL, LEAF_PAIRS, SLICE, MOST_TASKS = 1 << 20, 1 << 19, 256, 1 << 18, 4096
+DENSE_PAIRS, DENSE_ROWS, DENSE_COLUMNS = 1 << 30, 32, 2048  # up to so many pairs of leaves, all pairs take less time than tries
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -77,91 +81,110 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_fingerprint_batches, FINGERPRINT).filter("n_words > 0")
 
 
-def plan_tries(n_docs: int) -> tuple[int, int]:
-    """Prefix bits and number of tries for a corpus of this size."""
-    bits = min(27, max(6, math.ceil(math.log2(max(2, n_docs))) - LEAF_BITS))  # 27: beyond, subtrees grow instead of the number of tries
-    met = math.comb(BITS - BUDGET, bits) / math.comb(BITS, bits)  # none of the BUDGET differing bits is among the prefix's
-    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - met))
-
-
-def bit_order(trie: int) -> np.ndarray:
-    """The trie's own random permutation of the bits; its first prefix_bits are the trie's prefix."""
-    return np.random.default_rng((ORDER_SEED, trie)).permutation(BITS)
-
-
-def _permuted(f: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Fingerprints with their bits (bit i: bit i % 64 of word i // 64) in this order, so that the trie's first bit is the highest of word 0."""
-    bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little")[:, order]
-    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(">u8").astype(np.uint64)
-
-
-def prefix_of(f: np.ndarray, trie: int, prefix_bits: int) -> np.ndarray:
-    """The subtree of each fingerprint in a trie."""
-    out = np.zeros(len(f), np.uint64)
-    for i in bit_order(trie)[:prefix_bits].tolist():
-        out = (out << np.uint64(1)) | ((f[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1))
-    return out.view(np.int64)
-
-
-def trie_self_join(group: np.ndarray, f: np.ndarray, n_words: np.ndarray, depth: int, budget: int = BUDGET) -> np.ndarray:
-    """Component label (smallest position) of every leaf. group: the subtree of each leaf, in runs; f: permuted
-    fingerprints, equal in the first `depth` bits within a subtree."""
+def rings(budget: int) -> list[tuple[int, np.ndarray]]:
+    """The bit at which each trie begins, and the most differing bits that a pair may have after each number of its bits."""
+    boxes = max(1, (budget + 1) // ALLOWED)
+    allowed = np.full(boxes, ALLOWED)
+    allowed[-1] += budget + 1 - allowed.sum()
+    edge = np.concatenate(([0], np.round(np.cumsum(allowed) * BITS / (budget + 1)).astype(np.int64)))  # wider where more is allowed
+    out = []
+    for k in range(boxes):
+        bits, most = np.roll(np.diff(edge), -k), np.cumsum(np.roll(allowed, -k)) - 1
+        out.append((int(edge[k]), np.concatenate(([0], np.repeat(most, bits)))))
+    return out
+
+
+def rotated(f: np.ndarray, start: int) -> np.ndarray:
+    """Fingerprints (bit i: bit 63 - i % 64 of word i // 64) that begin with bit `start` and go around."""
+    word, bit = divmod(start, 64)
+    f = np.roll(f, -word, axis=1)
+    return f if bit == 0 else (f << np.uint64(bit)) | (np.roll(f, -1, axis=1) >> np.uint64(64 - bit))
+
+
+def connect(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the components of all pairs a, b; a component's label is the smallest position in it."""
+    while len(a):
+        x, y = label[a], label[b]
+        open_ = x != y
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label[:] = up
+
+
+def dense_join(group: np.ndarray, f: np.ndarray, n_words: np.ndarray, across: bool, budget: int = BUDGET) -> np.ndarray:
+    """The same labels as trie_self_join(), from all pairs whose numbers of words allow it."""
+    label = np.arange(len(group))
+    u = np.argsort(n_words, kind="stable")
+    u, v = (u[group[u] == group.min()], u[group[u] != group.min()]) if across else (u, u)
+    u_words, v_words, v_bits = n_words[u], n_words[v], [np.ascontiguousarray(f[v, part]) for part in range(4)]
+    for i in range(0, len(u), DENSE_ROWS):
+        row = u[i : i + DENSE_ROWS]
+        begin = np.searchsorted(v_words, int(LENGTH_RATIO * u_words[i]))
+        end = np.searchsorted(v_words, u_words[i : i + DENSE_ROWS][-1] / LENGTH_RATIO + 1, side="right")
+        for j in range(begin, end, DENSE_COLUMNS):
+            at = slice(j, min(end, j + DENSE_COLUMNS))
+            err = np.bitwise_count(f[row, 0][:, None] ^ v_bits[0][at])
+            err += np.bitwise_count(f[row, 1][:, None] ^ v_bits[1][at])
+            a, b = np.divmod(np.flatnonzero(err <= budget), at.stop - j)
+            a, b = row[a], v[b + j]
+            lo, hi = np.minimum(n_words[a], n_words[b]), np.maximum(n_words[a], n_words[b])
+            ok = (lo >= LENGTH_RATIO * hi) & (a != b)
+            ok[ok] = np.bitwise_count(f[a[ok]] ^ f[b[ok]]).sum(axis=1, dtype=np.int32) <= budget
+            connect(label, a[ok], b[ok])
+    return label
+
+
+def trie_self_join(group: np.ndarray, f: np.ndarray, n_words: np.ndarray, across: bool, budget: int = BUDGET, most: np.ndarray | None = None) -> np.ndarray:
+    """Component label (smallest position) of every leaf. group: each leaf's set; pairs within sets count or, across, those of the first set with the second.
+    most: the differing bits that a pair may have after each number of bits, if fewer than the budget."""
     n = len(group)
+    most = np.full(BITS + 1, budget) if most is None else np.minimum(most, budget)
     order = np.lexsort((f[:, 3], f[:, 2], f[:, 1], f[:, 0], group))
     g, f, words = group[order], f[order], n_words[order]
+    words_of = [np.ascontiguousarray(f[:, part]) for part in range(4)]
     label = np.arange(n)
     zeros: dict[int, np.ndarray] = {}
 
     def zeros_before(level: int) -> np.ndarray:
         if level not in zeros:
-            if len(zeros) > 8:
+            if len(zeros) > 24:
                 zeros.clear()
             bit = (f[:, level // 64] >> np.uint64(63 - level % 64)) & np.uint64(1)
-            zeros[level] = np.concatenate(([0], np.cumsum(bit == 0)))
+            zeros[level] = np.concatenate((np.zeros(1, np.int32), np.cumsum(bit == 0, dtype=np.int32)))
         return zeros[level]
 
-    def connect(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal label
-        while len(a):
-            x, y = label[a], label[b]
-            open_ = x != y
-            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                up = label[label]
-                if np.array_equal(up, label):
-                    break
-                label = up
-
     def compare(ulo, uhi, vlo, vhi) -> None:
-        """All pairs of leaves below pairs of nodes."""
-        size = (uhi - ulo) * (vhi - vlo)
-        total = np.cumsum(size)
+        """All pairs of leaves below pairs of nodes: a row for each leaf of the first, a run of leaves of the second."""
+        rows = uhi - ulo
+        left = np.arange(rows.sum()) + np.repeat(ulo - np.cumsum(rows) + rows, rows)
+        width, first = np.repeat(vhi - vlo, rows), np.repeat(vlo, rows)
+        total = np.cumsum(width)
         start = 0
-        while start < len(size):
-            base = total[start] - size[start]
+        while start < len(left):
+            base = total[start] - width[start]
             end = max(start + 1, int(np.searchsorted(total, base + SLICE, side="right")))
-            s = size[start:end]
-            which = np.repeat(np.arange(start, end), s)
-            k = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-            width = (vhi - vlo)[which]
-            a, b = ulo[which] + k // width, vlo[which] + k % width
-            keep = a < b
-            a, b = a[keep], b[keep]
-            for part in range(4):  # the budget prunes after every 64 levels
-                err = np.bitwise_count(f[a, part] ^ f[b, part]).astype(np.int32) + (0 if part == 0 else err)
-                ok = err <= budget
+            w, upto = width[start:end], total[start:end] - base
+            b = np.arange(upto[-1]) + np.repeat(first[start:end] - upto + w, w)
+            err = np.bitwise_count(np.repeat(words_of[0][left[start:end]], w) ^ words_of[0][b])
+            ok = np.flatnonzero(err <= most[64])
+            a, b, err = left[start + np.searchsorted(upto, ok, side="right")], b[ok], err[ok].astype(np.int32)
+            for part in range(1, 4):  # pruned after every 64 levels
+                err = err + np.bitwise_count(words_of[part][a] ^ words_of[part][b])
+                ok = np.flatnonzero((err <= most[64 * part + 64]) & (a < b))
                 a, b, err = a[ok], b[ok], err[ok]
             lo, hi = np.minimum(words[a], words[b]), np.maximum(words[a], words[b])
             ok = lo >= LENGTH_RATIO * hi
-            connect(a[ok], b[ok])
+            connect(label, a[ok], b[ok])
             start = end
 
     begin = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if n else np.zeros(0, np.int64)
     stop = np.append(begin[1:], n)
-    busy = stop - begin > 1
-    begin, stop = begin[busy], stop[busy]
-    stack = [(depth, begin, stop, begin, stop, np.zeros(len(begin), np.int32))]
+    u, v = (slice(0, 1), slice(1, 2)) if across else (slice(None), slice(None))
+    stack = [(0, begin[u], stop[u], begin[v], stop[v], np.zeros(len(begin[u]), np.int32))] if not across or len(begin) == 2 else []
     while stack:
         level, ulo, uhi, vlo, vhi, err = stack.pop()
         small = ((uhi - ulo) * (vhi - vlo) <= LEAF_PAIRS) | (level >= BITS)
@@ -174,7 +197,7 @@ def trie_self_join(group: np.ndarray, f: np.ndarray, n_words: np.ndarray, depth:
         other = ulo != vlo  # a node paired with itself has one mixed pair of children, not two
         children = [(ulo, umid, vlo, vmid, err), (umid, uhi, vmid, vhi, err), (ulo, umid, vmid, vhi, err + 1), (umid[other], uhi[other], vlo[other], vmid[other], err[other] + 1)]
         nxt = [np.concatenate(x) for x in zip(*children)]
-        alive = (nxt[4] <= budget) & (nxt[1] > nxt[0]) & (nxt[3] > nxt[2]) & ~((nxt[0] == nxt[2]) & (nxt[1] - nxt[0] == 1))
+        alive = (nxt[4] <= most[level + 1]) & (nxt[1] > nxt[0]) & (nxt[3] > nxt[2]) & ~((nxt[0] == nxt[2]) & (nxt[1] - nxt[0] == 1))
         nxt = [x[alive] for x in nxt]
         for i in range(0, len(nxt[0]), SLICE // 4):
             stack.append((level + 1, *(x[i : i + SLICE // 4] for x in nxt)))
@@ -186,51 +209,80 @@ def trie_self_join(group: np.ndarray, f: np.ndarray, n_words: np.ndarray, depth:
     return back
 
 
-def _join_batches(prefix_bits: int, n_tries: int, budget: int):
-    def chunk_edges(rows: pa.Table) -> pa.RecordBatch:
+def near_pairs(side: np.ndarray, f: np.ndarray, n_words: np.ndarray, across: bool, budget: int = BUDGET) -> np.ndarray:
+    """Pairs of positions that connect all near leaves of one cell or, across, all near pairs of leaves of two cells (sides 0 and 1)."""
+    first = np.count_nonzero(side == side[0])
+    if first * (len(side) - first if across else first) <= DENSE_PAIRS:
+        found = [dense_join(side, f, n_words, across, budget)]
+    else:
+        found = (trie_self_join(side, rotated(f, start), n_words, across, budget, most) for start, most in rings(budget))
+    edges = []
+    for top in found:
+        a = np.flatnonzero(top != np.arange(len(top)))
+        edges.append(a * len(top) + top[a])
+    return np.stack(np.divmod(np.unique(np.concatenate(edges)), max(1, len(side))), axis=1)
+
+
+def _join_batches(budget: int):
+    def task_edges(rows: pa.Table) -> pa.RecordBatch:
         num = {c: rows.column(c).to_numpy() for c in rows.column_names}
-        trie, prefix = num["trie"].astype(np.int64), num["prefix"]
-        change = np.concatenate(([True], (trie[1:] != trie[:-1]) | (prefix[1:] != prefix[:-1])))
-        f = np.stack([num[f"f{k}"].astype(np.int64).view(np.uint64) for k in range(4)], axis=1)
-        for lo, hi in zip((edges := np.flatnonzero(np.concatenate(([True], trie[1:] != trie[:-1], [True]))))[:-1], edges[1:]):
-            f[lo:hi] = _permuted(f[lo:hi], bit_order(int(trie[lo])))
-        top = trie_self_join(np.cumsum(change), f, num["n_words"], prefix_bits, budget)
-        leaf = num["leaf"]
-        edge = leaf != leaf[top]
-        return pa.RecordBatch.from_arrays([pa.array(leaf[edge]), pa.array(leaf[top][edge])], ["a", "b"])
+        f = np.stack([num[f"f{k}"].view(np.uint64) for k in range(4)], axis=1)
+        across = bool(num["low"][0] != num["high"][0])
+        pairs = near_pairs(num["side"], f, num["n_words"], across, budget)
+        return pa.RecordBatch.from_arrays([pa.array(num["leaf"][pairs[:, k]]) for k in range(2)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held, task = [], None
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= CHUNK_ROWS:
-                rows = pa.Table.from_batches(held)
-                t, p = rows.column("trie").to_numpy(), rows.column("prefix").to_numpy()
-                edge = np.flatnonzero((t[1:] != t[:-1]) | (p[1:] != p[:-1]))
-                if len(edge):  # the last subtree may go on in the next batch
-                    yield chunk_edges(rows.slice(0, int(edge[-1]) + 1))
-                    rows = rows.slice(int(edge[-1]) + 1)
-                held = rows.to_batches()
-        if sum(b.num_rows for b in held):
-            yield chunk_edges(pa.Table.from_batches(held))
+            low, high = (batch.column(c).to_numpy() for c in ("low", "high"))
+            edges = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))[: batch.num_rows]
+            for lo, hi in zip(edges, np.append(edges[1:], batch.num_rows)):
+                if held and task != (low[lo], high[lo]):
+                    yield task_edges(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                task = low[lo], high[lo]
+        if held:
+            yield task_edges(pa.Table.from_batches(held))
 
     return run
 
 
-def near_edges(leaves: DataFrame, prefix_bits: int, n_tries: int, budget: int = BUDGET) -> DataFrame:
-    """Edges a, b that connect each group of near leaves found within one subtree of one trie."""
+def band_of(n_words: np.ndarray) -> np.ndarray:
+    """Bands of word counts: counts within the ratio lie in one band or in neighbouring ones."""
+    return np.floor(np.log(n_words.astype(np.float64)) / math.log(BAND_RATIO)).astype(np.int64)
+
+
+def near_edges(leaves: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Edges a, b that connect all near leaves."""
+
+    def band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(band_of(batch.column(0).to_numpy()))], ["band"])
+
+    sizes = leaves.select("n_words").mapInArrow(band_batches, "band long").groupBy("band").count().collect()  # a row for each band: some 60
+    cells = {r["band"]: math.ceil(r["count"] / CELL) for r in sizes}
+    first = dict(zip(sorted(cells), np.cumsum([0, *(cells[b] for b in sorted(cells))]).tolist()))
 
     def spread_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = np.stack([batch.column(f"f{k}").to_numpy().view(np.uint64) for k in range(4)], axis=1)
-            for i in range(n_tries):
-                at = [pa.array(np.full(len(f), i, np.int16)), pa.array(prefix_of(f, i, prefix_bits))]
-                yield pa.RecordBatch.from_arrays([*at, *batch.columns], ["trie", "prefix", *batch.schema.names])
+            band = band_of(batch.column("n_words").to_numpy())
+            hashed = mix(batch.column("leaf").to_numpy().view(np.uint64) + SEEDS[0])
+            for b in np.unique(band).tolist():
+                at = np.flatnonzero(band == b)
+                part = batch.take(pa.array(at))
+                own = first[b] + (hashed[at] % np.uint64(cells[b])).astype(np.int64)
+                for other in (first[x] + k for x in (b - 1, b, b + 1) if x in cells for k in range(cells[x])):
+                    low, high = np.minimum(own, other), np.maximum(own, other)
+                    key = [pa.array(low), pa.array(high), pa.array((own > other).astype(np.int8))]
+                    yield pa.RecordBatch.from_arrays([*key, *part.columns], ["low", "high", "side", *part.schema.names])
 
     wanted = leaves.select("leaf", "n_words", "f0", "f1", "f2", "f3")
-    rows = wanted.mapInArrow(spread_batches, "trie short, prefix long, leaf long, n_words int, f0 long, f1 long, f2 long, f3 long")
-    rows = rows.repartition("trie", "prefix").sortWithinPartitions("trie", "prefix")
-    return rows.mapInArrow(_join_batches(prefix_bits, n_tries, budget), "a long, b long")
+    rows = wanted.mapInArrow(spread_batches, "low long, high long, side byte, leaf long, n_words int, f0 long, f1 long, f2 long, f3 long")
+    tasks = sum(n * (n + 1) // 2 + n * cells.get(b + 1, 0) for b, n in cells.items())
+    # few bytes and much work: a fixed number of partitions, so that they aren't joined by size
+    rows = rows.repartition(max(1, min(MOST_TASKS, 2 * tasks)), "low", "high").sortWithinPartitions("low", "high")
+    return rows.mapInArrow(_join_batches(budget), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,8 +307,7 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     print_ = ["n_words", "f0", "f1", "f2", "f3"]
     known = cut(fingerprints(docs))
     leaves = cut(known.groupBy(*print_).agg(F.min("doc_id").alias("leaf")))
-    edges = near_edges(leaves, *plan_tries(leaves.count()), budget)
-    roots = components(edges)
+    roots = components(near_edges(leaves, budget))
     same = known.join(leaves, print_).select("doc_id", "leaf")
     found = same.join(roots, same.leaf == roots.node, "left").select("doc_id", F.coalesce("root", "leaf").alias("root"))
     # a doc_id with several texts counts once, with the smallest of its groups
