@@ -10,7 +10,7 @@ import corpus_pipeline
 from vellumix.llm import decontaminate, pieces_bpe, pii, quality, simhash
 from vellumix.llm.words import WordHasher
 
-from . import test_pii
+from . import test_pii, test_simhash
 
 STOP = "the of and to in is it that for with".split()
 
@@ -92,3 +92,11 @@ def test_stages_keep_columns_and_take_empty_tables(spark, docs, tmp_path):
                 assert out.count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "personal_data", "sentence_pieces"]
     assert quality.RULES and decontaminate.MIN_WORDS == 8
+
+
+def test_near_dedup_leaves_no_pair_within_the_budget(spark, docs):
+    """Pairs that use up nearly the whole budget go as well: one document of each group of all pairs stays."""
+    texts = test_simhash.far_copies()
+    _, _, pairs = test_simhash.all_pairs(texts)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(list(enumerate(texts))), "").collect()}
+    assert kept == set(test_simhash.groups(pairs, len(texts)))
