@@ -1,6 +1,7 @@
 """Near duplicates against all pairs of fingerprints."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -153,3 +154,20 @@ def test_rotation_begins_with_the_bit():
 def test_counts_within_the_ratio_are_one_band_apart_at_most():
     low = np.concatenate((np.arange(1, 200_000), np.random.default_rng(2).integers(1, 1 << 30, 100_000)))
     assert (s.band_of(np.floor(low / s.LENGTH_RATIO + 1e-6)) - s.band_of(low) <= 1).all()
+
+
+def test_votes_of_long_texts_are_counted_whole_and_in_little_memory():
+    """Counts beyond one byte, against plain addition; the votes of a piece never stand in memory as whole numbers."""
+    texts = [" ".join(f"w{i * k % 4001}" for i in range(m)) for k, m in ((1, 1), (3, 254), (5, 255), (7, 256), (11, 511), (13, 4000))] + [""]
+    n, f = s.fingerprint_arrays(pa.array(texts), WordHasher())
+    for text, count, print_ in zip(texts, n, f):
+        _, h = WordHasher()(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        low = np.unique(h >> np.uint64(16))
+        want = [sum(1 << b for b in range(64) if 2 * int(((s.mix(low * seed + seed) >> np.uint64(b)) & np.uint64(1)).sum()) > len(low)) for seed in s.SEEDS]
+        assert count == len(h) and print_.tolist() == want
+    many = pa.array([" ".join(f"w{i}x{k}" for i in range(1500)) for k in range(100)])
+    tracemalloc.start()
+    s.fingerprint_arrays(many, WordHasher())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 800 * 150_000  # bytes a word

@@ -36,10 +36,13 @@ from .words import WordHasher, mix
 
 BITS, BUDGET, LENGTH_RATIO, ALLOWED = 256, 40, 0.8, 2
 BAND_RATIO = 1 / LENGTH_RATIO + 0.01  # somewhat more than the ratio, so that rounding can't put near copies two bands apart
-PIECE_BYTES, CELL, LEAF_PAIRS, SLICE, MOST_TASKS = 1 << 20, 1 << 19, 256, 1 << 18, 4096
+PIECE_BYTES, CELL, LEAF_PAIRS, SLICE, MOST_TASKS = 1 << 18, 1 << 19, 256, 1 << 18, 4096
 DENSE_PAIRS, DENSE_ROWS, DENSE_COLUMNS = 1 << 30, 32, 2048  # up to so many pairs of leaves, all pairs take less time than tries
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
+#: For each byte its bits, the lowest first, as 8 bytes.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
 
 def fingerprint_arrays(texts: pa.Array, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
     """Number of words, and the fingerprint as four 64-bit words, of each text."""
@@ -56,8 +59,11 @@ def fingerprint_arrays(texts: pa.Array, hasher: WordHasher) -> tuple[np.ndarray,
         size = np.diff(np.append(begin, len(key)))
         low = key & np.uint64((1 << 48) - 1)
         votes = np.stack([mix(low * s + s) for s in SEEDS], axis=1).view(np.uint8)
-        votes = np.unpackbits(votes, axis=1, bitorder="little")
-        total = np.add.reduceat(votes, begin, axis=0, dtype=np.int32)
+        runs = (size + 254) // 255  # of at most 255 words, whose votes are added in bytes, 8 bits at once
+        last = np.cumsum(runs)
+        start = np.repeat(begin, runs) + 255 * (np.arange(last[-1]) - np.repeat(last - runs, runs))
+        part = np.add.reduceat(LANES[votes], start, axis=0).view(np.uint8)
+        total = np.add.reduceat(part.astype(np.int32), last - runs, axis=0)
         set_bits = np.packbits(2 * total > size[:, None], axis=1, bitorder="little")
         out[owner[begin]] = np.ascontiguousarray(set_bits).view(np.uint64)
     return count, out
