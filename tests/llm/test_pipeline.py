@@ -100,3 +100,20 @@ def test_near_dedup_leaves_no_pair_within_the_budget(spark, docs):
     _, _, pairs = test_simhash.all_pairs(texts)
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(list(enumerate(texts))), "").collect()}
     assert kept == set(test_simhash.groups(pairs, len(texts)))
+
+
+def test_near_dedup_leaves_out_no_link_through_a_document_of_several_texts(spark, docs):
+    """Rows of one doc_id are one document: what is near to any of its texts is in its group, whichever doc_id is the smallest."""
+    texts = test_simhash.far_copies(150)
+    _, _, pairs = test_simhash.all_pairs(texts)
+    r = random.Random(4)
+    ids = [r.randrange(10**6) if r.random() < 0.6 else 500_000 + k // 8 for k in range(len(texts))]
+    texts, ids = texts + texts[:40], ids + [r.randrange(10**6) for _ in range(40)]
+    nodes = sorted(set(ids))
+    at = [nodes.index(i) for i in ids]
+    root = test_simhash.groups([(at[a], at[b]) for a, b in pairs + [(k, len(texts) - 40 + k) for k in range(40)]], len(nodes))
+    kept = sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs(list(zip(ids, texts))), "").collect())
+    assert kept == [i for k, i in enumerate(nodes) if root[k] == k]
+    a, b, c, d, e, f = texts[:24:4]
+    rows = [(3, a), (5, a), (5, b), (4, b), (11, c), (11, d), (12, c), (13, d), (16, e), (17, e), (17, f), (15, f)]
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs(rows), "").collect()) == [3, 11, 15]

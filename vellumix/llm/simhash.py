@@ -15,9 +15,10 @@ missed, whatever bits it differs in, and pairs met are compared over all bits: n
 The work grows with the leaves of a task to the power 1 to 2; beyond CELL leaves in a band it grows with their square, as the number of tasks does.
 
 Defined results. Null or empty texts and texts without a word are never grouped. Rows with a null doc_id are left out of
-near_duplicates() and kept by deduplicate(). Rows that repeat a doc_id count as one document; deduplicate() keeps one of
-them. Equal fingerprints (ties) go to the smallest doc_id. Only doc_id and text are read, so other columns may have any
-name. An empty table gives an empty result. Texts of any length are read whole.
+near_duplicates() and kept by deduplicate(). Rows that repeat a doc_id count as one document, near to all that any of its
+texts is near to; deduplicate() keeps one of them. Equal fingerprints (ties) go to the smallest doc_id. Only doc_id and
+text are read, so other columns may have any name. An empty table gives an empty result. Texts of any length are read
+whole.
 """
 
 from __future__ import annotations
@@ -313,11 +314,15 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     print_ = ["n_words", "f0", "f1", "f2", "f3"]
     known = cut(fingerprints(docs))
     leaves = cut(known.groupBy(*print_).agg(F.min("doc_id").alias("leaf")))
-    roots = components(near_edges(leaves, budget))
-    same = known.join(leaves, print_).select("doc_id", "leaf")
-    found = same.join(roots, same.leaf == roots.node, "left").select("doc_id", F.coalesce("root", "leaf").alias("root"))
-    # a doc_id with several texts counts once, with the smallest of its groups
-    return found.groupBy("doc_id").agg(F.min("root").alias("duplicate_of")).filter("doc_id <> duplicate_of")
+    same = cut(known.join(leaves, print_).select("doc_id", "leaf"))
+    drop(known)
+    own = same.groupBy("doc_id").agg(F.min("leaf").alias("low"), F.max("leaf").alias("high"))
+    # a doc_id with several texts is one document, so it links the groups of all of them
+    links = same.join(own.filter("low < high"), "doc_id").filter("leaf <> low").select(F.col("leaf").alias("a"), F.col("low").alias("b"))
+    roots = components(near_edges(leaves, budget).union(links))
+    drop(leaves)
+    found = own.join(roots, own.low == roots.node, "left").select("doc_id", F.coalesce("root", "low").alias("duplicate_of"))
+    return found.filter("doc_id <> duplicate_of")
 
 
 def deduplicate(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
