@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import mapping
 from ..operators.tree import NODE
 from . import markup
+from .shared import PIECE_BYTES, pieces, tasks
 
 CONTEXT = (
     "parent_local string, before string, nth int, in_code boolean, in_head boolean, splits boolean, split boolean, number string, label string, ref_number int, opens boolean, closes boolean, "
@@ -36,9 +37,12 @@ class Document:
     def __init__(self, rows: list[list], dropped: frozenset) -> None:
         self.rows, self.extra = rows, []
         below: dict[int, list[int]] = {}
+        kids: dict[int, list[list]] = {}
         for r in rows:
             below.setdefault(r[PARENT], []).append(r[PRE])
-        self.below = below
+            if r[KIND] == "elem":
+                kids.setdefault(r[PARENT], []).append(r)
+        self.below, self.kids = below, kids  # all nodes, and the elements alone
         names: dict[tuple[int, str], int] = {}
         last_of: dict[int, str] = {}
         ids: dict[str, list] = {}
@@ -77,7 +81,8 @@ class Document:
                 parent = self.extra[r[PARENT] - 1]
                 parent["last"] = max(parent["last"], x["last"])
         for r, x in zip(rows, self.extra):
-            ref = r[ATTRS].get("linkend", r[ATTRS].get("endterm")) if r[KIND] == "elem" else None
+            a = r[ATTRS]
+            ref = a.get("linkend", a.get("endterm")) if a else None
             if ref is not None:
                 x["ref_number"] = uses.get(ref)
                 title = self.child(ids[ref][PRE], "title") if ref in ids else None
@@ -88,10 +93,14 @@ class Document:
         return self.rows[pre - 1]
 
     def elements(self, pre: int, *names: str) -> list[list]:
-        return [self.node(p) for p in self.below.get(pre, ()) if self.node(p)[KIND] == "elem" and (not names or self.node(p)[LOCAL] in names)]
+        own = self.kids.get(pre, ())
+        return [r for r in own if r[LOCAL] in names] if names else list(own)
 
     def child(self, pre: int, name: str) -> list | None:
-        return next(iter(self.elements(pre, name)), None)
+        for r in self.kids.get(pre, ()):
+            if r[LOCAL] == name:
+                return r
+        return None
 
     def all(self, pre: int, *names: str) -> Iterator[list]:
         for r in self.rows[pre : self.extra[pre - 1]["last"]]:
@@ -121,33 +130,71 @@ class Document:
                     self.extra[early[0] - 1]["opens"] = self.extra[early[-1] - 1]["closes"] = True
 
 
-def in_context(docs: DataFrame, doc_id: str, content: str, fmt: str = "xml", dropped: list[str] = (), more: Callable[[Document, dict], None] | None = None, config: str | None = None) -> DataFrame:
-    """The nodes of all documents with CONTEXT. more: changes a document's extra columns, given its configuration (a column map<string,string>)."""
-    shred, gone = {"xml": markup.shred_xml, "html": markup.shred_html}[fmt], frozenset(dropped)
-    types = [pa.int32()] * 5 + [pa.string()] * 4 + [pa.map_(pa.string(), pa.string()), pa.string()]
-    extra = [{"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[f.split()[1]] for f in CONTEXT.split(", ")]
+def in_context(docs: DataFrame, doc_id: str, content: str, fmt: str = "xml", dropped: list[str] = (), more: Callable[[Document, dict], None] | None = None, config: str | None = None, only: tuple[str, ...] | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The nodes of all documents with CONTEXT. more: changes a document's extra columns, given its configuration (a column map<string,string>).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit() -> pa.RecordBatch:
-            cols = list(zip(*rows)) if rows else [()] * len(markup.FIELDS)
-            told = [pa.array([e[f] for e in extras], t) for f, t in zip(FIELDS, extra)]
-            nodes = [pa.array([list(x.items()) for x in c] if f == "attrs" else c, t) for f, c, t in zip(markup.FIELDS, cols, types)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *nodes, *told], ["doc_id", *markup.FIELDS, *FIELDS])
+    Documents go over all cores by the hash of doc_id first. Where a plan reads no others: only names the columns that it reads, keep the elements that are given with what is right below them.
+    What is returned has `written`, by which mappings write the documents at once, without the table of nodes."""
+    shred, left_out = {"xml": markup.shred_xml, "html": markup.shred_html}[fmt], frozenset(dropped)
+    types = dict(zip(markup.FIELDS, [pa.int32()] * 5 + [pa.string()] * 4 + [pa.map_(pa.string(), pa.string()), pa.string()]))
+    types |= {f.split()[0]: {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[f.split()[1]] for f in CONTEXT.split(", ")}
+    schema = [f for f in f"{NODE}, {CONTEXT}".split(", ") if only is None or f.split()[0] in ("doc_id", *only)]
+    names = [f.split()[0] for f in schema[1:]]
+    place = {f: k for k, f in enumerate(markup.FIELDS)}
 
-        ids, rows, extras = [], [], []
-        for batch in batches:
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Document, int]]:
+        for batch in pieces(batches):
             for i, text, given in zip(*(c.to_pylist() for c in batch.columns)):
                 if text:
-                    d = Document(shred(text), gone)
+                    d = Document(shred(text), left_out)
                     if more is not None:
                         more(d, dict(given or ()))
-                    rows += d.rows
-                    extras += d.extra
-                    ids += [i] * len(d.rows)
-                if len(rows) > 20_000:
-                    yield emit()
-                    ids, rows, extras = [], [], []
+                    yield i, d, len(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def column(f: str) -> list:
+            if f not in place:
+                return [e[f] for e in extras]
+            k = place[f]
+            return [list(r[k].items()) for r in rows] if f == "attrs" else [r[k] for r in rows]
+
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(column(f), types[f]) for f in names)], ["doc_id", *names])
+
+        ids, rows, extras, size = [], [], [], 0
+        for i, d, n in documents(batches):
+            kept = d.rows if keep is None else [r for r in d.rows if r[LOCAL] in keep or d.extra[r[PRE] - 1]["parent_local"] in keep]
+            rows += kept
+            extras += d.extra if keep is None else [d.extra[r[PRE] - 1] for r in kept]
+            ids += [i] * len(kept)
+            size += n
+            if len(rows) > 20_000 or size > PIECE_BYTES:
+                yield emit()
+                ids, rows, extras, size = [], [], [], 0
         yield emit()
 
+    def written(markup: str, lead: bool = False, pages: bool = False) -> DataFrame:
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def emit() -> pa.RecordBatch:
+                cols = list(zip(*out)) or [(), (), ()]
+                arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string()))]
+                return pa.RecordBatch.from_arrays(arrays if pages else [arrays[0], arrays[2]], ["doc_id", "page", "xml"] if pages else ["doc_id", "xml"])
+
+            out, size = [], 0
+            rules = mapping.calls(markup)
+            for i, d, n in documents(batches):
+                out += [(i, *x) for x in mapping.written(d.rows, d.extra, rules, lead, pages)]
+                size += n
+                if size > PIECE_BYTES:
+                    yield emit()
+                    out, size = [], 0
+            yield emit()
+
+        return texts.mapInArrow(write, "doc_id long, page int, xml string" if pages else "doc_id long, xml string")
+
     given = F.col(config) if config else F.lit(None).cast("map<string,string>")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(content).cast("string").alias("content"), given.alias("config")).mapInArrow(run, f"{NODE}, {CONTEXT}")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(content).cast("string").alias("content"), given.alias("config"))
+    texts = texts.repartition(tasks(docs.sparkSession), "doc_id")
+    nodes = texts.mapInArrow(run, ", ".join(schema))
+    nodes.written = written
+    return nodes

@@ -5,9 +5,14 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: What a Python step holds at once as objects: rows, and bytes of their columns.
+PIECE_ROWS, PIECE_BYTES = 1024, 4 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset and all runs on one machine, as in tests, one of our own."""
@@ -40,3 +45,26 @@ def tidy(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that nothing refers to any more: it does so when the driver's JVM collects its garbage, which in a long loop is late."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def tasks(spark: SparkSession) -> int:
+    """Into how many tasks rows go that Python works on: several for each core."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def spread(docs: DataFrame, *by: str) -> DataFrame:
+    """The rows over all cores, by the hash of columns, where files alone would give fewer tasks than that: a scan makes tasks by bytes, and a row group isn't split, however long Python works on its rows."""
+    plan = docs._jdf.queryExecution().executedPlan()
+    if "FileScan" not in plan.toString() or plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # what was shuffled is over all cores
+        return docs
+    if docs._jdf.queryExecution().toRdd().getNumPartitions() >= 2 * docs.sparkSession.sparkContext.defaultParallelism:
+        return docs
+    return docs.repartition(tasks(docs.sparkSession), *by)
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of some PIECE_BYTES and at most PIECE_ROWS rows."""
+    for batch in batches:
+        step = max(1, min(PIECE_ROWS, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes)))
+        for k in range(0, batch.num_rows, step):
+            yield batch.slice(k, step)
