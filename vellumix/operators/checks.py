@@ -131,9 +131,11 @@ def grammar(nodes: DataFrame, allowed: dict[str, frozenset] = ALLOWED, needed: d
     lacking = F.lit(False)
     for name, attribute in required.items():
         lacking = lacking | ((F.col("local") == name) & F.try_element_at("attrs", F.lit(attribute)).isNull())
-    owners = elem.filter(F.col("local").isin(*needed)).select("doc_id", "pre", "local")
-    below = elem.filter(F.col("parent_local").isin(*needed)).groupBy("doc_id", F.col("parent").alias("pre")).agg(F.collect_set("local").alias("has"))
-    rows = owners.join(below, ["doc_id", "pre"], "left").withColumn("has", F.coalesce("has", F.array().cast("array<string>")))
+    # what an element is and what it has in one group, not in a join: a side that is small when compressed would be broadcast through the driver
+    owner = F.struct("pre", F.when(F.col("local").isin(*needed), F.col("local")).alias("local"), F.lit(None).cast("string").alias("has"))
+    child = F.struct(F.col("parent").alias("pre"), F.lit(None).cast("string").alias("local"), F.when(F.col("parent_local").isin(*needed), F.col("local")).alias("has"))
+    pairs = elem.select("doc_id", F.explode(F.array(owner, child)).alias("x")).select("doc_id", "x.*").filter("local IS NOT NULL OR has IS NOT NULL")
+    rows = pairs.groupBy("doc_id", "pre").agg(F.max("local").alias("local"), F.collect_set("has").alias("has"))
     short = F.lit(False)
     for name, groups in needed.items():
         for group in groups:
@@ -146,6 +148,30 @@ def grammar(nodes: DataFrame, allowed: dict[str, frozenset] = ALLOWED, needed: d
     )
 
 
+def judged(rows: list[list], allowed: dict[str, frozenset] = ALLOWED, needed: dict[str, tuple[tuple[str, ...], ...]] = NEEDED, required: dict[str, str] = REQUIRED) -> list[tuple[int, str, str, str]]:
+    """What grammar() finds in one document, for where the parser has its nodes at hand: pre, check, severity and element."""
+    out, has = [], {}
+    for r in rows:
+        if r[5] == "error":
+            out.append((r[0], "not_well_formed", "error", r[10]))
+        if r[5] != "elem":
+            continue
+        name, up = r[8], rows[r[2] - 1][8] if r[2] else None
+        if name in needed:
+            has.setdefault(r[0], set())
+        if up in needed:
+            has[r[2]].add(name)
+        if up in allowed and name not in allowed[up]:
+            out.append((r[0], "not_allowed", "error", name))
+        if name in required and required[name] not in r[9]:
+            out.append((r[0], "attribute_lacks", "error", name))
+    out += [(pre, "child_lacks", "error", rows[pre - 1][8]) for pre, own in has.items() if any(own.isdisjoint(group) for group in needed[rows[pre - 1][8]])]
+    return out
+
+
+ARTICLE = (ARTICLE_ALLOWED, ARTICLE_NEEDED, ARTICLE_REQUIRED)
+
+
 def article_grammar(nodes: DataFrame) -> DataFrame:
     """The same of the article markup."""
     return grammar(nodes, ARTICLE_ALLOWED, ARTICLE_NEEDED, ARTICLE_REQUIRED)

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import checks, include, mapping
-from ..sources import context
-from ..sources.shared import cut
+from ..sources import context, markup
 from .registry import query
 
 HEAD = '<article xmlns="http://docbook.org/ns/docbook">'
@@ -31,31 +30,25 @@ def xinclude(t, _):
     return include.expand(docs.unionByName(text), "name", "content").filter("name <> 'snippet.txt'")
 
 
-def _nodes(t):
+def _lists(t):
     """An order's lines as a list of terms: some items are a paragraph, some two, some text alone; paragraphs stand in items, sections and behind other elements."""
     n = F.col("l_linenumber")
     item = F.when(n % 3 == 0, F.lit("<para>a</para><para>b</para>")).when(n % 3 == 1, F.lit("<para>a</para>")).otherwise(F.lit("text"))
     entry = F.concat(F.lit("<varlistentry><term>t</term><listitem>"), item, F.lit("</listitem></varlistentry>"))
     rows = t("lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", entry.alias("s")))), lambda x: x["s"]), "").alias("s"))
-    docs = rows.select("l_orderkey", F.concat(F.lit(HEAD + "<variablelist>"), "s", F.lit("</variablelist><quote><para>first</para><para>second</para></quote></article>")).alias("content"))
-    return context.in_context(docs, "l_orderkey", "content")
+    return rows.select("l_orderkey", F.concat(F.lit(HEAD + "<variablelist>"), "s", F.lit("</variablelist><quote><para>first</para><para>second</para></quote></article>")).alias("content"))
 
 
 @query("B15", "SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(sum(CASE l_linenumber % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) + 1 AS BIGINT) AS admitted, CAST(1 AS BIGINT) AS refused FROM lineitem GROUP BY l_orderkey")
 def paragraphs_admitted(t, _):
     """A paragraph counts in one of eleven parents, or where nothing stands before it."""
-    ok = mapping.para_admitted()
-    return _nodes(t).filter("local = 'para'").groupBy("doc_id").agg(F.count_if(ok).alias("admitted"), F.count_if(~ok).alias("refused"))
+    return markup.each(_lists(t), "l_orderkey", "content", mapping.paras_counted, "admitted long, refused long")
 
 
 @query("B16 N28", "SELECT CAST(l_orderkey AS BIGINT) AS doc_id, count(*) FILTER (l_linenumber % 3 <> 1) AS complex, count(*) AS items FROM lineitem GROUP BY l_orderkey")
 def complex_items(t, _):
     """An item is complex if it has more than one element, or no paragraph."""
-    nodes = _nodes(t)
-    inside = nodes.filter("parent_local = 'listitem'").groupBy("doc_id", F.col("parent").alias("pre")).agg(F.count_if(F.col("kind") != "text").alias("elements"), F.count_if(F.col("local") == "para").alias("paras"))
-    items = nodes.filter("local = 'listitem'").select("doc_id", "pre").join(inside, ["doc_id", "pre"], "left")
-    many = (F.coalesce("elements", F.lit(0)) > 1) | (F.coalesce("paras", F.lit(0)) == 0)
-    return items.groupBy("doc_id").agg(F.count_if(many).alias("complex"), F.count("*").alias("items"))
+    return markup.each(_lists(t), "l_orderkey", "content", mapping.items_counted, "complex long, items long")
 
 
 @query("B18 I18", """SELECT o_orderkey, '<link href="' || replace(replace(o_orderpriority || '&' || o_orderkey, '&', '&amp;'), '<', '&lt;') || '"' || CASE WHEN o_orderstatus <> 'O' THEN ' langue="' || o_orderstatus || '"' ELSE '' END || '>' AS opening FROM orders""")
@@ -164,6 +157,6 @@ def grammar_faults(t, _):
     k = (F.col("o_orderkey") % (len(FAULTS) + len(ARTICLE_FAULTS)) + 1).cast("int")
     texts = [DB + x + "</article>" for *_, x in FAULTS] + [f"<document><entete></entete>{x}</document>" for *_, x in ARTICLE_FAULTS]
     docs = t("orders").select("o_orderkey", k.alias("k"), F.element_at(F.array(*map(F.lit, texts)), k).alias("content"))
-    nodes = lambda df: cut(context.in_context(df, "o_orderkey", "content"))
-    found = checks.grammar(nodes(docs.filter(F.col("k") <= len(FAULTS)))).unionByName(checks.article_grammar(nodes(docs.filter(F.col("k") > len(FAULTS)))))
+    judged = lambda df, *tables: markup.each(df, "o_orderkey", "content", lambda nodes: checks.judged(nodes, *tables), "pre int, check string, severity string, element string")
+    found = judged(docs.filter(F.col("k") <= len(FAULTS))).unionByName(judged(docs.filter(F.col("k") > len(FAULTS)), *checks.ARTICLE))
     return found.select("doc_id", "check", "element")
