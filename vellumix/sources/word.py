@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import mapping, sequence
+from .shared import pieces
 
 RUN = "struct<text:string,bold:boolean,italic:boolean,underline:boolean,strike:boolean,vert:string,style:string,href:string,footnote_id:string,image:string>"
 PARAS = f"doc_id long, pos int, style string, num_id string, num_lvl int, align string, runs array<{RUN}>"
@@ -112,10 +113,8 @@ def read(files: DataFrame, doc_id: str, file: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("style", pa.string()), ("num_id", pa.string()), ("num_lvl", pa.int32()), ("align", pa.string()), ("runs", pa.list_(run))])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if f:
-                    yield pa.RecordBatch.from_pylist([{"doc_id": i, **p} for p in _paras(f)], schema=schema)
+        for batch in pieces(batches):
+            yield pa.RecordBatch.from_pylist([{"doc_id": i, **p} for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if f for p in _paras(f)], schema=schema)
 
     return files.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(file).alias("file")).mapInArrow(each, PARAS)
 
@@ -126,7 +125,7 @@ def write(paras: DataFrame) -> DataFrame:
     docs = paras.groupBy("doc_id").agg(F.array_sort(F.collect_list(p), lambda a, b: a["pos"] - b["pos"]).alias("paras"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             files = [_file(ps) for ps in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["doc_id", "file"])
 
@@ -137,7 +136,7 @@ def write_tables(tables: DataFrame) -> DataFrame:
     """doc_id and file for rows of doc_id and rows, an array of arrays of cell texts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             files = [_file([], [rows]) for rows in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["doc_id", "file"])
 
@@ -232,12 +231,14 @@ def images(files: DataFrame, doc_id: str, file: str) -> DataFrame:
     """doc_id, name and bytes of every picture within the files."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
+            found = []
             for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if f:
                     with zipfile.ZipFile(io.BytesIO(f)) as z:
-                        found = [(n.rpartition("/")[2], z.read(n)) for n in z.namelist() if n.startswith("word/media/")]
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.int64()), pa.array([n for n, _ in found], pa.string()), pa.array([b for _, b in found], pa.binary())], ["doc_id", "name", "image"])
+                        found += [(i, n.rpartition("/")[2], z.read(n)) for n in z.namelist() if n.startswith("word/media/")]
+            cols = list(zip(*found)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.binary()))], ["doc_id", "name", "image"])
 
     return files.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(file).alias("file")).mapInArrow(each, "doc_id long, name string, image binary")
 
@@ -247,7 +248,7 @@ def cells(files: DataFrame, doc_id: str, file: str) -> DataFrame:
     w = f"{{{W}}}"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not f:
                     continue
