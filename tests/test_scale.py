@@ -105,3 +105,33 @@ def test_members_of_a_long_page(spark):
     is_class, found = members.of_docbook(xml)
     assert is_class and len(found) == n + 1 and ("types", "own") in found and ("types", "e0s") not in found
     assert time.process_time() - began < 10
+
+
+def test_what_is_told_of_one_document_is_what_joins_tell(spark):
+    from vellumix.operators import articles
+    from vellumix.sources import word
+
+    info = fill(constructs.INFO, 3) + fill(constructs.PEOPLE, 3) + fill(constructs.LINKS, 3)
+    odd = "<info><title> A\n <emphasis>b</emphasis></title><abstract/><keywordset><keyword/><keyword>k</keyword></keywordset><author class='translator'><personname><surname> z </surname><surname>a</surname></personname></author><author><othername>o</othername></author></info>"
+    words = constructs._marked(constructs.WORDS.replace("{i}", "<emphasis>v</emphasis>")).replace("{x}", "x").replace("{p}", "7")
+    deep = "<section>" * 11 + "<title>t</title>" + "</section>" * 11 + '<para>a<emphasis role="strike">s<subscript>1<superscript>2</superscript></subscript></emphasis><link xlink:href="b">l<link linkend="c">m</link></link><para>inner</para>rest</para><tip><orderedlist><listitem><screen>c</screen></listitem></orderedlist></tip>'
+    texts = [HEAD + x + "</article>" for x in (info + "<section><title>s</title></section>", odd, words, deep, "<para/>", "text")] + ["<para>root</para>", "<broken"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
+    nodes = markup.shredded(df, "doc_id", "content")
+    rows = {k: markup.shred_xml(t) for k, t in enumerate(texts)}
+    same = lambda found, mine: sorted(map(str, map(tuple, found.collect()))) == sorted(str((k, *x)) for k, r in rows.items() for x in mine(r))
+    assert same(articles.header(nodes), articles.header_of) and same(articles.authors(nodes), articles.authors_of)
+    files = {r.doc_id: bytes(r.file) for r in word.files_of(df, "doc_id", "content").collect()}
+    assert files == {r.doc_id: bytes(r.file) for r in word.write(word.paragraphs_of(nodes)).collect()} and len(files) == 5
+    assert "Join" not in word.files_of(df, "doc_id", "content")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_html_gives_what_the_parser_gives():
+    row = '<tr><td>int</td><td class="a b"><b><a href="#1">m1</a></b><br/>x<br></td></tr>'
+    odd = ["", "a & b&amp", "<p>x&amp<b>y", "<p>&#6&;x<p>y", "<b><p>z</b></p>", "<li>a<li>b</ul>", "</p>", "<p >x", "<P>x</P>", "a < b", "<p/>t", '<td a="1" a="2">x', '<a href="x&amp;y">z</a>', "<!-- c --><p>", "<title>a<b>c</title>", "\n<p>\n", "x<", "x<p", "<a b>", "<script>a<b</script>", '<p a="">', f"<table>{row * 3}</table>"]
+    for text in odd:
+        p = markup._Html()
+        p.feed(text)
+        p.close()
+        assert markup.shred_html(text) == p.out.done(), text
+    assert markup._plain_html(f"<table>{row}</table>") is not None and markup._plain_html("<!-- c -->") is None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,54 @@ def authors(nodes: DataFrame, nobody: str = "Dummy") -> DataFrame:
     return every.select("doc_id", pos.alias("pos"), *(F.coalesce(c, F.lit(d)).alias(c) for c, d in (("role", "author"), ("key", nobody), ("fullname", nobody))))
 
 
+def _below(rows: list[list], r: list) -> list[list]:
+    """The nodes within a node, which stand right behind it."""
+    end = r[0]
+    while end < len(rows) and rows[end][1] < r[1]:
+        end += 1
+    return rows[r[0] : end]
+
+
+def _value(rows: list[list], r: list) -> str | None:
+    """The text within a node, null if there is none."""
+    texts = [x[10] for x in _below(rows, r) if x[5] == "text"]
+    return "".join(texts) if texts else None
+
+
+def header_of(rows: list[list]) -> list[tuple]:
+    """The row that header() gives for one document, for where the parser has its nodes at hand."""
+    normal = lambda s: re.sub("[ \\t\\r\\n]+", " ", s).strip(" ")
+    info, words = [], []
+    for r in rows:
+        up = rows[r[2] - 1][8] if r[5] == "elem" and r[2] else None
+        if up == "info":
+            info.append(r)
+        elif up == "keywordset" and (v := _value(rows, r)) is not None:
+            words.append(normal(v))
+    if not info:
+        return []
+    first = lambda *fits: next((normal(_value(rows, r) or "") for r in info if (r[8], r[8] == "abstract" and r[9].get("role") == "description") == fits), None)
+    title, abbrev, told, abstract = first("title", False), first("titleabbrev", False), first("abstract", True), first("abstract", False)
+    return [(title, first("subtitle", False), title if abbrev is None else abbrev, next((x for x in (told, abstract, title) if x is not None), None), ",".join(words), abstract)]
+
+
+def authors_of(rows: list[list], nobody: str = "Dummy") -> list[tuple]:
+    """The rows that authors() gives for one document."""
+    out = []
+    for a in rows:
+        if a[5] != "elem" or a[8] not in ("author", "othercredit"):
+            continue
+        found: dict[str, str] = {}
+        for r in _below(rows, a):
+            name = r[8] if r[8] != "othername" else "pseudonym" if r[9].get("role") == "pseudonym" else ""
+            if r[5] == "elem" and name in ("pseudonym", "firstname", "surname", "personname", "orgname") and (v := _value(rows, r)) is not None:
+                found[name] = min(found.get(name, v.strip(" ")), v.strip(" "))
+        both = " ".join(found[k] for k in ("firstname", "surname") if k in found) if found.keys() & {"firstname", "surname"} else None
+        full = next((x for x in (both, found.get("personname"), found.get("orgname"), found.get("pseudonym")) if x is not None), nobody)
+        out.append((len(out) + 1, mapping.AUTHOR.get(a[9].get("class", "author"), "author"), found.get("pseudonym", full), full))
+    return out or ([(1, "author", nobody, nobody)] if rows else [])
+
+
 def licence(number: Column, year: Column, author: Column, text: Column) -> Column:
     """Either all of number, year and author, or a text; both or neither give null (see licence_findings)."""
     fields = number.isNotNull() & year.isNotNull() & author.isNotNull()

@@ -76,20 +76,24 @@ PEOPLE = '<author><personname><firstname>A</firstname><surname>X</surname><other
 LINKS = '<extendedlink><locator xlink:label="prev" xlink:href="pP.xml"/><locator xlink:label="next" xlink:href="nP.xml"/></extendedlink><bibliorelation type="isreplacedby" xlink:href="rP.xml"/></info>'
 
 
-def _articles(t):
+def _texts(t):
     body = '<section xml:id="sP"><title>X</title><para xml:id="tP">b</para></section></article>'
-    return markup.shredded(t("part").select("p_partkey", _fill(HEAD + INFO + PEOPLE + LINKS + body).alias("content")), "p_partkey", "content")
+    return t("part").select("p_partkey", _fill(HEAD + INFO + PEOPLE + LINKS + body).alias("content"))
+
+
+def _articles(t):
+    return markup.shredded(_texts(t), "p_partkey", "content")
 
 
 @query("N10 N16", "SELECT p_partkey AS doc_id, p_name AS title, CAST(NULL AS VARCHAR) AS subtitle, 'a' || p_partkey AS abbrev, 'd' || p_partkey AS description, 'k,k' || p_partkey AS keywords, p_name || '<' || p_name || '>^' || p_partkey AS abstract FROM part")
 def article_header(t, _):
-    return articles.header(_articles(t))
+    return markup.each(_texts(t), "p_partkey", "content", articles.header_of, "title string, subtitle string, abbrev string, description string, keywords string, abstract string")
 
 
 @query("N11 O03", """SELECT p_partkey AS doc_id, CAST(1 AS INTEGER) AS pos, 'author' AS role, 'n' || p_partkey AS key, 'A ' || p_name AS fullname FROM part UNION ALL SELECT p_partkey, 2, 'reviewer', 'o' || p_partkey, 'o' || p_partkey FROM part
 UNION ALL SELECT p_partkey, 3, 'author', 'Y ' || p_partkey, 'Y ' || p_partkey FROM part""")
 def article_authors(t, _):
-    return articles.authors(_articles(t))
+    return markup.each(_texts(t), "p_partkey", "content", articles.authors_of, "pos int, role string, key string, fullname string")
 
 
 @query("N13", "SELECT p_partkey AS doc_id, CAST(1 AS INTEGER) AS pos, p_name AS entry FROM part UNION ALL SELECT p_partkey, 2, CAST(p_partkey AS VARCHAR) FROM part")
@@ -140,5 +144,5 @@ WORDS = (
 def word_constructs(t, _):
     """Articles with headings, lists, notes, listings and formats, through word-processing files and back; italics within code come back as replaceable."""
     docs = t("part").select("p_partkey", _fill((HEAD + WORDS + "</article>").replace("{i}", "<emphasis>v</emphasis>")).alias("content"))
-    files = word.write(word.paragraphs_of(markup.shredded(docs, "p_partkey", "content")))
+    files = word.files_of(docs, "p_partkey", "content")
     return word.to_docbook(word.read(files, "doc_id", "file"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import mapping, sequence
+from . import markup
 from .shared import pieces
 
 RUN = "struct<text:string,bold:boolean,italic:boolean,underline:boolean,strike:boolean,vert:string,style:string,href:string,footnote_id:string,image:string>"
@@ -178,6 +179,57 @@ def paragraphs_of(nodes: DataFrame) -> DataFrame:
     return out.select("doc_id", pos.cast("int").alias("pos"), "style", "num_id", "num_lvl", F.lit(None).cast("string").alias("align"), F.coalesce(F.transform("runs", lambda x: x["r"]), F.array().cast(f"array<{RUN}>")).alias("runs"))
 
 
+HOLDERS = ("title", "para", "programlisting", "screen")
+
+
+def paragraphs_in(rows: list[list]) -> list[dict]:
+    """What paragraphs_of() gives for one document, for where the parser has its nodes at hand."""
+    above: dict[int, dict] = {}  # by elements: what holds for all below them
+    paras: dict[int, dict] = {}
+    for r in rows:
+        up = above.get(r[2])
+        if up is not None and r[5] == "text" and up["holder"] in paras:
+            run = {k: up[k] for k in ("bold", "italic", "underline", "strike", "vert", "style", "href")}
+            paras[up["holder"]]["runs"].append({"text": r[10], **run, "footnote_id": None, "image": None})
+        if r[5] != "elem":
+            continue
+        name, role = r[8], r[9].get("role", "")
+        if up is not None and name in HOLDERS:
+            box = STYLES.get(name) or STYLES.get(up["box"]) or "Normal"
+            style = box if name != "title" else f"Heading{min(up['depth'], 9)}" if up["depth"] else "Title"
+            paras[r[0]] = {"style": style, "num_id": ("2" if up["list"] == "orderedlist" else "1") if up["lists"] else None, "num_lvl": up["lists"] - 1 if up["lists"] else None, "align": None, "runs": []}
+        now = dict(up) if up else {"depth": 0, "lists": 0, "list": None, "box": None, "holder": None, "bold": False, "italic": False, "underline": False, "strike": False, "vert": None, "style": None, "href": None}
+        now["depth"] += name in mapping.SECTIONS
+        if name in ("itemizedlist", "orderedlist"):
+            now["lists"], now["list"] = now["lists"] + 1, name
+        if name in STYLES:
+            now["box"] = name
+        if name in HOLDERS:
+            now["holder"] = r[0]
+        if name == "emphasis":
+            kind = {"bold": "bold", "strong": "bold", "": "italic", "underline": "underline", "strike": "strike", "strikethrough": "strike"}.get(role)
+            if kind:
+                now[kind] = True
+        elif name in ("superscript", "subscript"):
+            now["vert"] = max(now["vert"] or "", name)
+        elif name in mapping.CODE:
+            now["style"] = "Code"
+        elif name == "link":
+            now["href"] = max(now["href"] or "", r[9].get("xlink:href", ""))
+        above[r[0]] = now
+    return [{"pos": k, **p} for k, p in enumerate(paras.values())]
+
+
+def files_of(docs: DataFrame, doc_id: str, content: str) -> DataFrame:
+    """doc_id and file of DocBook documents: what write() makes of paragraphs_of(), without a table of nodes. Documents without a paragraph have no file."""
+
+    def rows(nodes: list[list]) -> list[tuple]:
+        paras = paragraphs_in(nodes)
+        return [(_file(paras),)] if paras else []
+
+    return markup.each(docs, doc_id, content, rows, "file binary")
+
+
 def to_docbook(paras: DataFrame) -> DataFrame:
     """doc_id and xml: headings nest sections, numbered paragraphs nest lists, neighbouring boxes of a style are one."""
     w = Window.partitionBy("doc_id").orderBy("pos")
