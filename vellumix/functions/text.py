@@ -71,9 +71,9 @@ def xml_unescape(c: Column) -> Column:
     return c
 
 
-def closed_references(c: Column) -> Column:
-    """Markup in which an ampersand is text unless it begins a reference that has its semicolon; HTML parsers take `&amp` for one, too."""
-    return F.regexp_replace(c, "&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)", "&amp;")
+def ampersands_only(c: Column) -> Column:
+    """Markup in which `&amp;` is the only reference: every other ampersand is text, as in `&quot;` or in an `&amp` that was cut; HTML parsers read those as references, too."""
+    return F.regexp_replace(c, "&(?!amp;)", "&amp;")
 
 
 def indent(c: Column, depth: Column, unit: str = "  ") -> Column:
